@@ -12,7 +12,7 @@ if __name__ == "__main__":
     registered.load()
     names = sys.argv[2:] or list(registered.QUERIES)
     spark = local_session(8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = oracle(sf)
     bad = 0
     for name in names:
@@ -24,7 +24,7 @@ if __name__ == "__main__":
             else:
                 said = None if df.count() else "no rows"
         except Exception as e:
-            said = f"{type(e).__name__}: {str(e)[:600]}"
+            said = f"{type(e).__name__}: {str(e)[:900]}"
         bad += said is not None
         print(f"{'ok ' if said is None else 'BAD'} {time.time() - start:6.2f}s {name} {said or ''}", flush=True)
     print(f"{len(names)} queries, {bad} bad")

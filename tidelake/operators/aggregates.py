@@ -16,6 +16,7 @@ from tidelake.operators.ordered import (
     ranked_values,
     trimmed_mean,
 )
+from tidelake.session import materialize
 from tidelake.sources.sinks import quoted
 
 MAD_SCALE = 1.4826  # makes the median absolute deviation a standard deviation for normal data
@@ -94,28 +95,30 @@ def spread_of(
 ) -> DataFrame:
     """Trimmed mean, median, scaled MAD, sample deviation and size, exact, per key."""
     keys = list(keys)
-    ranked = ranked_values(df, value, keys, count, rows_per_bucket)
-    x, mult = F.col(value).cast("double"), F.col("mult")
-    mean = F.sum(x * mult) / F.sum(mult)
-    centre = ranked.groupBy(*keys).agg(
-        F.sum("mult").alias("n"),
-        trimmed_mean(value, trim).alias("trimmed_mean"),
-        at_fraction(value, 0.5).alias("median"),
-        mean.alias("_mean"),
+    ranked = ranked_values(df, value, keys, count, rows_per_bucket=rows_per_bucket)
+    x, mult = F.col(value).cast("double"), F.col("_mult")
+    centre = materialize(
+        ranked.groupBy(*keys).agg(
+            F.sum(mult).alias("n"),
+            trimmed_mean(value, trim).alias("trimmed_mean"),
+            at_fraction(value, 0.5).alias("median"),
+            (F.sum(x * mult) / F.sum(mult)).alias("_mean"),
+        ),
+        "centres",
     )
-    with_centre = _attach(ranked.select(*keys, value, "mult"), centre.drop("n"), keys)
     gap = x - F.col("_mean")
-    spread = with_centre.groupBy(*keys).agg(
-        F.when(F.sum("mult") > 1, F.sqrt(F.sum(gap * gap * mult) / (F.sum("mult") - 1))).alias("sd")
+    away = _attach(ranked.select(*keys, value, "_mult"), centre.select(*keys, "median", "_mean"), keys).select(
+        *keys, F.abs(x - F.col("median")).alias("_away"), (gap * gap * mult).alias("_square"), "_mult"
     )
-    away = with_centre.select(*keys, F.abs(x - F.col("median")).alias("_away"), "mult")
-    mads = (
-        ranked_values(away, "_away", keys, "mult", rows_per_bucket)
+    spread = (
+        ranked_values(away, "_away", keys, "_mult", {"_squares": F.sum("_square")}, rows_per_bucket)
         .groupBy(*keys)
-        .agg((at_fraction("_away", 0.5) * MAD_SCALE).alias("mad"))
+        .agg(
+            (at_fraction("_away", 0.5) * MAD_SCALE).alias("mad"),
+            F.when(F.sum(mult) > 1, F.sqrt(F.sum("_squares") / (F.sum(mult) - 1))).alias("sd"),
+        )
     )
-    out = _attach(_attach(centre.drop("_mean"), mads, keys), spread, keys)
-    return out.select(*keys, "n", "trimmed_mean", "median", "mad", "sd")
+    return _attach(centre, spread, keys).select(*keys, "n", "trimmed_mean", "median", "mad", "sd")
 
 
 def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

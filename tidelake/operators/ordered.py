@@ -201,31 +201,34 @@ def ranked_values(
     value: str,
     keys: Sequence[str] = (),
     count: str | None = None,
+    extra: Mapping[str, Column] | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Each value once per key with the ranks it fills: ``lo`` (0-based) up to, not including, ``hi`` of ``n``.
+    """Each value once per key with the ranks it fills: ``_lo`` (0-based) up to, not including, ``_hi`` of ``_n``.
 
     Equal values are merged before the shuffle, so a value that fills a third
-    of the rows costs one row. ``count`` is a multiplicity column.
+    of the rows costs one row. ``count`` is a multiplicity column, ``extra``
+    further aggregates to keep per value.
     """
     mult = F.sum(count) if count else F.count(F.lit(1))
+    kept = [agg.alias(name) for name, agg in (extra or {}).items()]
     values = materialize(
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(mult.cast("long").alias("mult")),
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(mult.cast("long").alias("_mult"), *kept),
         "value-counts",
     )
     ranked = running_total(
-        values, value, {"hi": "mult"}, keys, totals={"n": "mult"}, rows_per_bucket=rows_per_bucket
+        values, value, {"_hi": "_mult"}, keys, totals={"_n": "_mult"}, rows_per_bucket=rows_per_bucket
     )
-    return ranked.withColumn("lo", F.col("hi") - F.col("mult"))
+    return ranked.withColumn("_lo", F.col("_hi") - F.col("_mult"))
 
 
 def at_fraction(value: str, fraction: float) -> Column:
     """Aggregate over ``ranked_values``: the linearly interpolated quantile."""
-    pos = (F.col("n") - 1) * F.lit(float(fraction))
+    pos = (F.col("_n") - 1) * F.lit(float(fraction))
     low, high = F.floor(pos), F.ceil(pos)
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), F.col(value).cast("double")))
+        return F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), F.col(value).cast("double")))
 
     share = F.max(pos - low)
     return at(low) + (at(high) - at(low)) * share
@@ -233,9 +236,9 @@ def at_fraction(value: str, fraction: float) -> Column:
 
 def trimmed_mean(value: str, trim: float) -> Column:
     """Aggregate over ``ranked_values``: the mean without ``floor(n * trim)`` rows at each end."""
-    skip = F.floor(F.col("n") * F.lit(float(trim)))
+    skip = F.floor(F.col("_n") * F.lit(float(trim)))
     kept = F.greatest(
         F.lit(0),
-        F.least(F.col("hi"), F.col("n") - skip) - F.greatest(F.col("lo"), skip),
+        F.least(F.col("_hi"), F.col("_n") - skip) - F.greatest(F.col("_lo"), skip),
     )
     return F.sum(F.col(value).cast("double") * kept) / F.sum(kept)
