@@ -20,20 +20,30 @@ def land_sample(df: DataFrame, path: str, rows: int, compression: str = "snappy"
     df.limit(rows).write.mode("overwrite").option("compression", compression).parquet(path)
 
 
+def _text_options(null_mark: str) -> dict[str, str]:
+    """Quotes are doubled, blanks kept, and empty text is written quoted to tell it from NULL."""
+    return {
+        "nullValue": null_mark,
+        "escape": '"',
+        "lineSep": "\n",
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+        "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+    }
+
+
 def write_text(df: DataFrame, path: str, null_mark: str = NULL_MARK) -> None:
-    """Delimited text in which NULL is a mark of its own and empty text stays empty."""
-    df.write.mode("overwrite").option("nullValue", null_mark).option("emptyValue", "").option(
-        "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
-    ).csv(path)
+    """Delimited text in which NULL is a mark of its own."""
+    df.write.mode("overwrite").options(**_text_options(null_mark)).csv(path)
 
 
 def read_text(spark: SparkSession, path: str, schema: T.StructType, null_mark: str = NULL_MARK) -> DataFrame:
+    """Read ``write_text`` files; values may span lines, so each file is one task."""
     return (
         spark.read.schema(schema)
-        .option("nullValue", null_mark)
-        .option("emptyValue", "")
+        .options(**_text_options(null_mark))
         .option("multiLine", True)
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+        .option("maxCharsPerColumn", -1)
         .csv(path)
     )
 
