@@ -16,7 +16,6 @@ from tidelake.operators.ordered import (
     ranked_values,
     trimmed_mean,
 )
-from tidelake.session import materialize
 from tidelake.sources.sinks import quoted
 
 MAD_SCALE = 1.4826  # makes the median absolute deviation a standard deviation for normal data
@@ -97,28 +96,27 @@ def spread_of(
     keys = list(keys)
     ranked = ranked_values(df, value, keys, count, rows_per_bucket=rows_per_bucket)
     x, mult = F.col(value).cast("double"), F.col("_mult")
-    centre = materialize(
-        ranked.groupBy(*keys).agg(
-            F.sum(mult).alias("n"),
-            trimmed_mean(value, trim).alias("trimmed_mean"),
-            at_fraction(value, 0.5).alias("median"),
-            (F.sum(x * mult) / F.sum(mult)).alias("_mean"),
-        ),
-        "centres",
+    centre = ranked.groupBy(*keys).agg(
+        trimmed_mean(value, trim).alias("trimmed_mean"),
+        at_fraction(value, 0.5).alias("median"),
+        (F.sum(x * mult) / F.sum(mult)).alias("_mean"),
     )
     gap = x - F.col("_mean")
-    away = _attach(ranked.select(*keys, value, "_mult"), centre.select(*keys, "median", "_mean"), keys).select(
-        *keys, F.abs(x - F.col("median")).alias("_away"), (gap * gap * mult).alias("_square"), "_mult"
+    away = _attach(ranked.select(*keys, value, "_mult"), centre, keys).select(
+        *keys, F.abs(x - F.col("median")).alias("_away"), (gap * gap * mult).alias("_square"), "_mult", "trimmed_mean", "median"
     )
-    spread = (
-        ranked_values(away, "_away", keys, "_mult", {"_squares": F.sum("_square")}, rows_per_bucket)
+    kept = {"_squares": F.sum("_square"), "trimmed_mean": F.max("trimmed_mean"), "median": F.max("median")}
+    return (
+        ranked_values(away, "_away", keys, "_mult", kept, rows_per_bucket)
         .groupBy(*keys)
         .agg(
+            F.sum(mult).alias("n"),
+            F.max("trimmed_mean").alias("trimmed_mean"),
+            F.max("median").alias("median"),
             (at_fraction("_away", 0.5) * MAD_SCALE).alias("mad"),
             F.when(F.sum(mult) > 1, F.sqrt(F.sum("_squares") / (F.sum(mult) - 1))).alias("sd"),
         )
     )
-    return _attach(centre, spread, keys).select(*keys, "n", "trimmed_mean", "median", "mad", "sd")
 
 
 def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -33,14 +33,14 @@ def as_text(column: str, data_type: T.DataType) -> Column:
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
     """One row per column: distinct values, NULLs, average bytes, lowest and highest value.
 
-    One pass. ``exact`` counts distinct values exactly, which expands every
-    row by the number of columns; the default uses sketches.
+    One pass with sketches for the distinct values. ``exact`` counts them in a
+    second pass, which expands every row by the number of columns.
     """
     types = {f.name: f.dataType for f in df.schema}
     columns = list(columns or df.columns)
     aggs: list[Column] = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(columns):
-        ndv = F.count_distinct(c) if exact else F.approx_count_distinct(c, 0.02)
+        ndv = F.lit(None).cast("bigint") if exact else F.approx_count_distinct(c)
         text = isinstance(types[c], (T.StringType, T.BinaryType))
         aggs += [
             ndv.alias(f"_ndv{i}"),
@@ -63,7 +63,13 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: b
         )
         for i, c in enumerate(columns)
     ]
-    return one.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    profile = one.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    if not exact:
+        return profile
+    counts = df.agg(*[F.count_distinct(c).alias(f"_ndv{i}") for i, c in enumerate(columns)])
+    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(f"_ndv{i}").alias("_ndv")) for i, c in enumerate(columns)]
+    ndv = counts.select(F.explode(F.array(*pairs)).alias("s")).select("s.*")
+    return profile.join(ndv, "column_name").withColumn("num_distinct", F.col("_ndv")).drop("_ndv")
 
 
 def split_required(df: DataFrame, rows_per_split: int = ROWS_PER_SPLIT, rows_per_job: int = ROWS_PER_JOB) -> DataFrame:

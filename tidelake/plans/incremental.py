@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelake.functions.predicates import compare
 from tidelake.operators.joins import filter_by_keys, null_safe_join
 from tidelake.session import materialize
-from tidelake.sources.sinks import land_append, path_exists, replace_folder
+from tidelake.sources.sinks import land_append, path_exists, recover_folder, replace_folder
 
 MAX_NEW_DATES = 20
 LEDGER_SCHEMA = "key_date date, state string"
@@ -129,6 +129,7 @@ def verify_load(incoming: DataFrame, lake: DataFrame, day: str) -> DataFrame:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The date ledger (key_date, state); empty where none was written."""
+    recover_folder(spark, path)
     if path_exists(spark, path):
         return spark.read.schema(LEDGER_SCHEMA).parquet(path)
     return spark.createDataFrame([], LEDGER_SCHEMA)

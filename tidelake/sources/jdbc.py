@@ -30,14 +30,18 @@ def read_split(
     Bounds only shape the ranges: rows outside them and rows without a key are
     read by the first and last task.
     """
-    return spark.read.jdbc(
-        url,
-        table,
-        column=column,
-        lowerBound=str(low),
-        upperBound=str(high),
-        numPartitions=max(1, min(splits, connections)),
-        properties=dict(properties or {}),
+    return (
+        spark.read.format("jdbc")
+        .options(**dict(properties or {}))
+        .options(
+            url=url,
+            dbtable=table,
+            partitionColumn=column,
+            lowerBound=str(low),
+            upperBound=str(high),
+            numPartitions=max(1, min(splits, connections)),
+        )
+        .load()
     )
 
 

@@ -119,14 +119,24 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def recover_folder(spark: SparkSession, path: str) -> None:
+    """Put the old folder back where a replacement stopped between its two moves."""
+    old = f"{path}.old"
+    if not path_exists(spark, path) and path_exists(spark, old):
+        fs, target = _path(spark, path)
+        fs.rename(_path(spark, old)[1], target)
+
+
 def replace_folder(df: DataFrame, path: str) -> None:
     """Replace a Parquet folder that ``df`` may itself read.
 
     The rows go to a folder beside the target first. The old folder is moved
-    aside, not deleted, until the new one is in place.
+    aside, not deleted, until the new one is in place; ``recover_folder``
+    undoes a replacement that stopped in between.
     """
     spark = df.sparkSession
     staged, old = f"{path}.staged", f"{path}.old"
+    recover_folder(spark, path)
     df.write.mode("overwrite").parquet(staged)
     fs, target = _path(spark, path)
     delete_path(spark, old)
