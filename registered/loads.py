@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from registered import register
 from registered.inputs import CUTOFF, order_days, table
 from tidelake.functions.predicates import compare
+from tidelake.plans import daily
 from tidelake.plans import incremental as I
 from tidelake.session import scratch_path
 from tidelake.sources import files as S
@@ -198,3 +199,18 @@ def poll_available_now(spark, sf):
         orders.filter(F.col("o_orderkey") % 2 == part).write.mode("append").parquet(source)
         poll.poll_landing(spark, source, orders.schema, target, state)
     return poll.read_polled(spark, target)
+
+
+@register("daily_update", """
+WITH source AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders),
+due AS (SELECT day FROM source WHERE day(day) = 14 AND year(day) >= 2000 AND day < (SELECT max(day) FROM source))
+SELECT 'COMPLETE/READY/' || (SELECT count(*) FROM due) || ', OK/NOTHING_NEW/0' AS runs, year(o_orderdate)::INT AS year, count(*) AS rows
+FROM orders GROUP BY 2""")
+def daily_update(spark, sf):
+    lake, ledger = scratch_path(spark, "lake"), scratch_path(spark, "ledger")
+    source = table(spark, sf, "orders")
+    K.land_append(source.filter("day(o_orderdate) <> 14 OR year(o_orderdate) < 2000"), lake)
+    ended = [daily.daily_update(spark, source, lake, ledger, "o_orderdate") for _ in range(2)]
+    runs = ", ".join(f"{r.status}/{r.reason}/{r.dates}" for r in ended)
+    counted = spark.read.parquet(lake).groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("rows"))
+    return counted.select(F.lit(runs).alias("runs"), "year", "rows")

@@ -64,7 +64,6 @@ def load_pattern(spark, sf):
 
 # The profile of orders, with the pattern of its date and a drift by year.
 _ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
-_DRIFT_COLUMNS = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 def _drift_sql() -> str:
@@ -76,12 +75,16 @@ def _drift_sql() -> str:
         f"SELECT '{c}' AS col, year(o_orderdate) AS p, min({x}) AS lo, max({x}) AS hi, max({x}) - min({x}) AS df FROM orders GROUP BY 2"
         for c, x in number.items()
     )
+    coded = " UNION ALL ".join(
+        f"SELECT '{c}' AS col, (dense_rank() OVER (ORDER BY lo))::DOUBLE AS lo, (dense_rank() OVER (ORDER BY hi))::DOUBLE AS hi, "
+        f"(dense_rank() OVER (ORDER BY lo || ' - ' || hi))::DOUBLE AS df "
+        f"FROM (SELECT year(o_orderdate) AS p, min({c}) AS lo, max({c}) AS hi FROM orders GROUP BY 1)"
+        for c in ("o_orderstatus", "o_orderpriority")
+    )
     return f"""
 numeric_ranges AS ({ranges}),
-text_ranges AS (SELECT p, lo_text, hi_text, lo_text || ' - ' || hi_text AS span FROM
-  (SELECT year(o_orderdate) AS p, min(o_orderpriority) AS lo_text, max(o_orderpriority) AS hi_text FROM orders GROUP BY 1)),
-ranges AS (SELECT col, lo, hi, df FROM numeric_ranges UNION ALL
-  SELECT 'o_orderpriority', (dense_rank() OVER (ORDER BY lo_text))::DOUBLE, (dense_rank() OVER (ORDER BY hi_text))::DOUBLE, (dense_rank() OVER (ORDER BY span))::DOUBLE FROM text_ranges),
+text_ranges AS ({coded}),
+ranges AS (SELECT col, lo, hi, df FROM numeric_ranges UNION ALL SELECT col, lo, hi, df FROM text_ranges),
 meds AS (SELECT col, median(lo) AS ml, median(hi) AS mh, median(df) AS md FROM ranges GROUP BY col),
 mads AS (SELECT r.col, 1.4826 * median(abs(lo - ml)) AS al, 1.4826 * median(abs(hi - mh)) AS ah, 1.4826 * median(abs(df - md)) AS ad
   FROM ranges r JOIN meds m ON r.col = m.col GROUP BY r.col),
@@ -90,8 +93,8 @@ drift AS (SELECT m.col, (exp(-10 * (ad / (md + exp(-256)))) + exp(-10 * (al / (a
 
 
 def _drift(spark, sf):
-    orders = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
-    return P.partition_drift(P.partition_ranges(orders, "year", _DRIFT_COLUMNS))
+    orders = table(spark, sf, "orders")
+    return P.partition_drift(P.partition_ranges(orders, F.year("o_orderdate"), _ORDER_COLUMNS))
 
 
 @register("partition_drift", f"WITH {_drift_sql()} SELECT col AS column_name, round(drift, 6) AS drift FROM drift")
@@ -294,3 +297,21 @@ def update_style(spark, sf):
         "table_id", "style", F.when(rest == 0, "DATE").when(rest == 1, "TIMESTAMP(6)").otherwise("NUMBER").alias("split_key_type")
     )
     return choose(plans)
+
+
+@register("analyse_table", f"""
+WITH {_scores_sql()}
+SELECT col AS column_name, round(score_split, 6) AS score_split, round(score_job_split, 6) AS score_job_split,
+       col = (SELECT arg_min(col, (-score_split, col)) FROM scored) AS is_split_key,
+       col = (SELECT arg_min(col, (-score_job_split, col)) FROM scored) AS is_job_key FROM scored""")
+def analyse_table(spark, sf):
+    from tidelake.plans.imports import analyse
+
+    found = analyse(
+        table(spark, sf, "orders"), partition="o_orderdate", partition_by=F.year("o_orderdate"), subpartition="o_orderpriority", index_columns=["o_orderkey"],
+        rows_per_split=_L, rows_per_job=_J, connections=_C, exact=True,
+    )
+    return found.scored.select(
+        "column_name", F.round("score_split", 6).alias("score_split"), F.round("score_job_split", 6).alias("score_job_split"),
+        (F.col("column_name") == found.split_key).alias("is_split_key"), (F.col("column_name") == found.job_key).alias("is_job_key"),
+    )

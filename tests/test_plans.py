@@ -363,3 +363,43 @@ def test_many_new_keys_use_a_join(spark):
     few = filter_by_keys(df, F.col("id"), keys, "id", limit=100)
     many = filter_by_keys(df, F.col("id"), keys, "id", limit=10)
     assert few.count() == many.count() == 40
+
+
+# --- the daily update -----------------------------------------------------------
+
+def test_daily_update_statuses(spark):
+    from tidelake.plans import daily
+
+    base = D(2020, 1, 1)
+    source = spark.range(3000).select("id", F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(id % 60, 13)").alias("ts"))
+    lake, ledger = scratch_path(spark, "lake"), scratch_path(spark, "ledger")
+    upto = lambda n: source.filter(P.compare("ts", base + dt.timedelta(days=n), "<"))
+    sinks.land_append(upto(40), lake)
+    run = lambda s, **kw: daily.daily_update(spark, s, lake, ledger, "ts", **kw)
+    first = run(upto(51))
+    assert (first.status, first.dates, first.done, first.not_done) == ("COMPLETE", 10, 10, 0)
+    assert spark.read.parquet(lake).count() == 50 * 50  # the newest day waits
+    assert run(upto(51)).reason == "NOTHING_NEW"
+    late = lambda slices: daily.rows_in(upto(54), slices)
+    partial = run(upto(56), read=late)  # days 50 to 54 are due, the last one does not come
+    assert (partial.status, partial.done, partial.not_done) == ("PARTIAL", 4, 1)
+    again = run(upto(57))
+    assert (again.status, again.dates) == ("COMPLETE", 2)
+    I.update_ledger(spark, ledger, spark.createDataFrame([(base + dt.timedelta(days=56), "incoming")], I.LEDGER_SCHEMA))
+    stopped = run(source)
+    assert (stopped.status, stopped.reason) == ("STOP", "REPEATED_INCOMING")
+    states = {r["key_date"]: r["state"] for r in I.read_ledger(spark, ledger).collect()}
+    assert states[base + dt.timedelta(days=54)] == "landed"
+    rows = spark.read.parquet(lake)
+    assert rows.count() == rows.distinct().count() == 56 * 50
+
+
+def test_daily_update_does_not_reload_days_between_new_ones(spark):
+    from tidelake.plans import daily
+
+    source = spark.range(300).select("id", F.expr("date_add(date'2020-01-01', cast(id % 30 as int))").alias("day"))
+    lake, ledger = scratch_path(spark, "lake"), scratch_path(spark, "ledger")
+    sinks.land_append(source.filter("day(day) NOT IN (10, 13)"), lake)
+    assert daily.daily_update(spark, source, lake, ledger, "day").status == "COMPLETE"
+    rows = spark.read.parquet(lake)
+    assert rows.count() == rows.distinct().count() == 300

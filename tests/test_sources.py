@@ -102,3 +102,63 @@ def test_poll_takes_up_where_it_stopped(spark):
     assert poll.poll_landing(spark, folder, rows.schema, target, state, files_per_batch=1) == 2
     got = poll.read_polled(spark, target)
     assert got.count() == 100 and got.distinct().count() == 100
+
+
+# --- analysis, plan and import together ----------------------------------------
+
+from tidelake.plans import imports as M  # noqa: E402
+
+
+def _source_frame(spark, url):
+    return jdbc.read_plain(spark, url, "ORDERS", DRIVER).select(
+        *[F.col("O_ORDERDATE").cast("timestamp_ntz").alias("O_ORDERDATE") if c == "O_ORDERDATE" else F.col(c)
+          for c in ("O_ORDERKEY", "O_CUSTKEY", "O_ORDERSTATUS", "O_TOTALPRICE", "O_ORDERDATE", "O_ORDERPRIORITY")])
+
+
+@pytest.mark.parametrize("limits,style", [
+    ((100_000, None), "PLAIN"),
+    ((300, 100_000), "SPLIT"),
+    ((100, 300), "RANGE+FIXED"),
+])
+def test_import_by_plan(spark, source, limits, style):
+    url, rows = source
+    df = _source_frame(spark, url)
+    found = M.analyse(df, rows_per_split=limits[0], rows_per_job=limits[1], connections=4,
+                      split_bias=["O_ORDERKEY"], job_bias=["O_ORDERDATE"], exact=True)
+    assert "O_CUSTKEY" not in [r["column_name"] for r in found.scored.collect()]  # sometimes NULL
+    plan = M.plan_import(df, "ORDERS", found, is_view=True)
+    assert plan.style == style
+    path = scratch_path(spark, "imported")
+    jobs = M.run_import(spark, url, plan, path, DRIVER)
+    assert jobs == max(1, len(plan.jobs))
+    got = M.read_imported(spark, path)
+    assert got.count() == rows and got.select("O_ORDERKEY").distinct().count() == rows
+    assert M.run_import(spark, url, plan, path, DRIVER) == 0  # nothing is run twice
+
+
+def test_point_and_strict_imports(spark, source):
+    url, rows = source
+    df = _source_frame(spark, url)
+    limits = dict(rows_per_split=100, rows_per_job=300, connections=4, exact=True)
+    found = M.analyse(df, job_bias=["O_ORDERSTATUS"], split_bias=["O_ORDERKEY"], **limits)
+    plan = M.plan_import(df, "ORDERS", found, is_view=True, force_pointable=True)
+    assert plan.style == "POINT+FIXED" and len(plan.jobs) == 4
+    path = scratch_path(spark, "points")
+    M.run_import(spark, url, plan, path, DRIVER)
+    assert M.read_imported(spark, path).count() == rows
+
+    same = M.analyse(df, job_bias=["O_ORDERDATE"], split_bias=["O_ORDERDATE"], **limits)
+    plan = M.plan_import(df, "ORDERS", same)
+    assert plan.style == "RANGE+SAME_RANGE"
+    path = scratch_path(spark, "same")
+    M.run_import(spark, url, plan, path, DRIVER)
+    assert M.read_imported(spark, path).count() == rows
+
+    wanted = spark.createDataFrame([(dt.date(1996, 1, 1), dt.date(1996, 3, 31)), (dt.date(1998, 5, 5), dt.date(1998, 5, 5))], "lo date, hi date")
+    found = M.analyse(df, job_bias=["O_ORDERDATE"], split_bias=["O_ORDERKEY"], **limits)
+    plan = M.plan_import(df, "ORDERS", found, is_view=True, strict_ranges=wanted, days_per_slice=30)
+    path = scratch_path(spark, "strict")
+    M.run_import(spark, url, plan, path, DRIVER)
+    day = F.col("O_ORDERDATE").cast("date")
+    expected = df.filter(day.between("1996-01-01", "1996-03-31") | (day == "1998-05-05")).count()
+    assert M.read_imported(spark, path).count() == expected > 0

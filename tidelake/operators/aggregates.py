@@ -16,6 +16,7 @@ from tidelake.operators.ordered import (
     ranked_values,
     trimmed_mean,
 )
+from tidelake.session import materialize
 from tidelake.sources.sinks import quoted
 
 MAD_SCALE = 1.4826  # makes the median absolute deviation a standard deviation for normal data
@@ -140,7 +141,7 @@ def quantile_of(
 def concat_per_key(
     df: DataFrame, key: str, order: str, text: str, separator: str = "\n", rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Texts of a key joined in order.
+    """Texts of a key joined in order; ``order`` is unique within a key.
 
     A key with more than ``rows_per_bucket`` texts goes on in further rows,
     numbered by ``part``: one value can hold no more than 2 GB.
@@ -166,6 +167,6 @@ def small_domain_values(df: DataFrame, columns: Sequence[str], limit: int = 200)
     cells = F.explode(
         F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in near])
     )
-    values = df.select(cells.alias("c")).select("c.*").filter("value IS NOT NULL").distinct()
+    values = materialize(df.select(cells.alias("c")).select("c.*").filter("value IS NOT NULL").distinct(), "domains")
     sizes = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < limit)
     return values.join(sizes.select("column_name"), "column_name", "left_semi")

@@ -11,6 +11,9 @@ from tidelake.operators.sets import union_distinct
 from tidelake.session import materialize
 
 
+BROADCAST_ROWS = 100_000
+
+
 def table_catalogue(tables: DataFrame, views: DataFrame) -> DataFrame:
     """Tables and views in one list of db, table_name and type, duplicates removed."""
     return union_distinct(
@@ -81,18 +84,26 @@ def catalogue_search(catalogue: DataFrame, terms: Sequence[str]) -> DataFrame:
     return matched.join(chosen, ["term", "match_class"]).select("term", "match_class", "db", "table_name")
 
 
-def remap_shares(df: DataFrame, mapping: DataFrame, columns: Sequence[str]) -> DataFrame:
+def remap_shares(
+    df: DataFrame, mapping: DataFrame, columns: Sequence[str], broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Per column, the share of values that the map knows.
 
-    Values are counted before the join, so a frequent value costs one row.
+    A map of up to ``broadcast_rows`` names is broadcast and no value is
+    shuffled. Beyond that values are counted before the join, so a frequent
+    value costs one row.
     """
     cells = F.explode(
         F.array(*[F.struct(F.lit(c).alias("column_name"), F.upper(F.col(c).cast("string")).alias("v")) for c in columns])
     )
-    counts = df.select(cells.alias("c")).select("c.*").groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    values = df.select(cells.alias("c")).select("c.*")
     known = mapping.select(F.upper("search").alias("v")).distinct().withColumn("known", F.lit(1))
+    if known.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        weighted, known = values.withColumn("n", F.lit(1)), F.broadcast(known)
+    else:
+        weighted = values.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
     return (
-        counts.join(known, "v", "left")
+        weighted.join(known, "v", "left")
         .groupBy("column_name")
         .agg((F.sum(F.coalesce("known", F.lit(0)) * F.col("n")) / F.sum("n")).alias("share"))
     )

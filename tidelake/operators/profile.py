@@ -206,13 +206,14 @@ def suggest_keys(
     return top_column(rated.select("column_name", parts.alias("p")).select("column_name", "p.*"), "score", keys=["role"])
 
 
-def partition_ranges(df: DataFrame, partition: str, columns: Sequence[str]) -> DataFrame:
+def partition_ranges(df: DataFrame, partition: str | Column, columns: Sequence[str]) -> DataFrame:
     """Lowest and highest value of every column in every partition, as text with a number where there is one.
 
     Numbers count as they are and dates as day numbers.
     """
     types = {f.name: f.dataType for f in df.schema}
-    one = df.groupBy(F.col(partition).cast("string").alias("partition")).agg(
+    of = F.col(partition) if isinstance(partition, str) else partition
+    one = df.groupBy(of.cast("string").alias("partition")).agg(
         *[F.min(c).alias(f"_lo{i}") for i, c in enumerate(columns)],
         *[F.max(c).alias(f"_hi{i}") for i, c in enumerate(columns)],
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,10 +21,10 @@ TYPE_MAP = {
 }
 
 
-def mapping_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(k, *v) for k, v in TYPE_MAP.items()], "base_type string, map_landing string, map_gold string"
-    )
+def _mapped(base: Column, which: int) -> Column:
+    """The mapped type of ``base`` as a lookup in a literal map; unknown types become text."""
+    pairs = [F.lit(x) for k, v in TYPE_MAP.items() for x in (k, v[which])]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), base), F.lit("string"))
 
 
 def type_map(columns: DataFrame) -> DataFrame:
@@ -34,10 +34,7 @@ def type_map(columns: DataFrame) -> DataFrame:
     Types are cut at the first character that is neither letter nor digit,
     save the underscore of the two binary types; unknown types become text.
     """
-    binary = F.col("DATA_TYPE").rlike("^BINARY_(FLOAT|DOUBLE)$")
-    base = F.when(binary, F.col("DATA_TYPE")).otherwise(
-        F.regexp_extract("DATA_TYPE", "^[A-Za-z0-9]*", 0)
-    )
+    base = F.regexp_extract("DATA_TYPE", "^(BINARY_FLOAT|BINARY_DOUBLE|[A-Za-z0-9]*)", 0)
     scale = F.coalesce("DATA_SCALE", F.lit(0))
     precision = F.coalesce("DATA_PRECISION", F.lit(38))
     number = (
@@ -46,15 +43,10 @@ def type_map(columns: DataFrame) -> DataFrame:
         .when(precision <= 18, F.lit("bigint"))
         .otherwise(F.concat(F.lit("decimal("), precision, F.lit(",0)")))
     )
-    is_number = F.col("base_type") == "NUMBER"
-    return (
-        columns.withColumn("base_type", base)
-        .join(mapping_frame(columns.sparkSession), "base_type", "left")
-        .select(
-            *[c for c in columns.columns],
-            F.when(is_number, number).otherwise(F.coalesce("map_landing", F.lit("string"))).alias("landing_type"),
-            F.when(is_number, number).otherwise(F.coalesce("map_gold", F.lit("string"))).alias("gold_type"),
-        )
+    return columns.select(
+        "*",
+        F.when(base == "NUMBER", number).otherwise(_mapped(base, 0)).alias("landing_type"),
+        F.when(base == "NUMBER", number).otherwise(_mapped(base, 1)).alias("gold_type"),
     )
 
 
@@ -64,12 +56,11 @@ def cast_columns(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
 
 def cast_for_append(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    """As ``cast_columns``, but columns that already have the type or are text in gold pass as they are."""
+    """As ``cast_columns``, but columns that already have their gold type pass as they are."""
     have = {f.name.upper(): f.dataType.simpleString() for f in df.schema}
     return df.select(
         *[
-            F.col(c).alias(c) if have[c.upper()] == t or t == "string" and have[c.upper()] == "string"
-            else F.col(c).try_cast(t).alias(c)
+            F.col(c).alias(c) if have[c.upper()] == t else F.col(c).try_cast(t).alias(c)
             for c, t in types.items()
         ]
     )

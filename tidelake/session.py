@@ -40,9 +40,14 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder below the shared one; it may be deleted once the application has ended."""
+    return f"{shared_root(spark)}/tidelake/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_root(spark)}/tidelake/{name}-{uuid.uuid4().hex}"
+    """A path below the application's folder that nothing else uses."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

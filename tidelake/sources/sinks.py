@@ -32,9 +32,13 @@ def _text_options(null_mark: str) -> dict[str, str]:
     }
 
 
-def write_text(df: DataFrame, path: str, null_mark: str = NULL_MARK) -> None:
-    """Delimited text in which NULL is a mark of its own."""
-    df.write.mode("overwrite").options(**_text_options(null_mark)).csv(path)
+def write_text(df: DataFrame, path: str, null_mark: str = NULL_MARK, rows_per_file: int = 1_000_000) -> None:
+    """Delimited text in which NULL is a mark of its own.
+
+    Files are kept small, because a file whose values span lines is read whole by one task.
+    """
+    options = {**_text_options(null_mark), "maxRecordsPerFile": str(rows_per_file)}
+    df.write.mode("overwrite").options(**options).csv(path)
 
 
 def read_text(spark: SparkSession, path: str, schema: T.StructType, null_mark: str = NULL_MARK) -> DataFrame:
