@@ -78,6 +78,18 @@ def incr_watermark(spark, sf):
     return rows.unionByName(note)
 
 
+@register("incr_watermark_timed", """
+WITH top AS (SELECT date_trunc('second', max(ts)) AS s FROM events WHERE ts < TIMESTAMP '2024-01-20 12:00:00')
+SELECT event_id, ts FROM events, top WHERE ts < TIMESTAMP '2024-01-20 12:00:00' OR ts >= s + INTERVAL 1 SECOND""")
+def incr_watermark_timed(spark, sf):
+    path = scratch_path(spark, "lake")
+    source = table(spark, sf, "events").select("event_id", "ts")
+    K.land_append(source.filter(compare("ts", "2024-01-20 12:00:00", "<")), path)
+    for _ in range(2):
+        I.load_by_watermark(source, path, "ts", timed=True)
+    return spark.read.parquet(path)
+
+
 @register("incr_partitions", """
 SELECT l_linenumber, l_orderkey, l_partkey FROM lineitem""")
 def incr_partitions(spark, sf):

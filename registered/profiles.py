@@ -11,7 +11,9 @@ from tidelake.operators import aggregates as A
 from tidelake.operators import ordered as O
 from tidelake.operators import profile as P
 from tidelake.operators.sets import union_all
+from tidelake.plans import incremental as I
 from tidelake.plans import slicing as S
+from tidelake.plans.imports import analyse
 
 
 @register("split_required", """
@@ -125,27 +127,11 @@ scored AS (SELECT col, ndv, r, dm, w, ds,
    exp(-abs(1 - r / {_J})) * (1 + 2 * ds + 3 * part::DOUBLE + ix) / 7 AS score_job_split FROM w)"""
 
 
-def _scored(spark, sf):
-    orders = table(spark, sf, "orders")
-    rows = orders.count()
-    counts = orders.groupBy(F.col("o_orderdate").cast("date").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    pattern = P.load_pattern(counts, "v", "n").select(F.lit("o_orderdate").alias("column_name"), "is_chunked", "is_chrono")
-    column = F.col("column_name")
-    profile = (
-        P.column_profile(orders, _ORDER_COLUMNS, exact=True)
-        .join(pattern, "column_name", "left")
-        .join(_drift(spark, sf), "column_name", "left")
-        .select(
-            "column_name", "num_distinct", "num_nulls",
-            (column == "o_orderdate").alias("is_date"),
-            F.coalesce("is_chunked", F.lit(False)).alias("is_chunked"),
-            F.coalesce("is_chrono", F.lit(False)).alias("is_chrono"),
-            F.when(column == "o_orderdate", 1.0).when(column == "o_orderpriority", 0.3).otherwise(0.0).alias("score_partition"),
-            F.coalesce("drift", F.lit(0.0)).alias("drift"),
-            (column == "o_orderkey").alias("is_index"),
-        )
+def _analysed_orders(spark, sf):
+    return analyse(
+        table(spark, sf, "orders"), partition="o_orderdate", partition_by=F.year("o_orderdate"), subpartition="o_orderpriority",
+        index_columns=["o_orderkey"], rows_per_split=_L, rows_per_job=_J, connections=_C, exact=True,
     )
-    return P.split_scores(profile, rows, _L, _J, _C)
 
 
 @register("split_scores", f"""
@@ -153,7 +139,7 @@ WITH {_scores_sql()}
 SELECT col AS column_name, ndv AS num_distinct, round(r, 6) AS rows_in_split, round(dm, 6) AS dm_score, w = 1 AS within_limit,
        round(ds, 6) AS date_score, round(score_split, 6) AS score_split, round(score_job_split, 6) AS score_job_split FROM scored""")
 def split_scores(spark, sf):
-    return _scored(spark, sf).select(
+    return _analysed_orders(spark, sf).scored.select(
         "column_name", "num_distinct", F.round("rows_in_split", 6).alias("rows_in_split"), F.round("dm_score", 6).alias("dm_score"),
         "within_limit", F.round("date_score", 6).alias("date_score"),
         F.round("score_split", 6).alias("score_split"), F.round("score_job_split", 6).alias("score_job_split"),
@@ -167,7 +153,7 @@ lifted AS (SELECT col, CASE WHEN col = 'o_custkey' THEN greatest((SELECT max(sco
 SELECT 'split' AS role, arg_min(col, (-s, col)) AS column_name, round(max(s), 6) AS score FROM lifted
 UNION ALL SELECT 'job_split', arg_min(col, (-j, col)), round(max(j), 6) FROM lifted""")
 def suggest_keys(spark, sf):
-    out = P.suggest_keys(_scored(spark, sf), split_bias=["O_CUSTKEY"])
+    out = P.suggest_keys(_analysed_orders(spark, sf).scored, split_bias=["O_CUSTKEY"])
     return out.select("role", "column_name", F.round("score", 6).alias("score"))
 
 
@@ -279,9 +265,7 @@ SELECT count(*) AS old_rows, datediff('day', min(l_shipdate), max(l_shipdate))::
        CASE WHEN round_even(count(*) * 45 / datediff('day', min(l_shipdate), max(l_shipdate))::DOUBLE, 0) < 1000000 THEN 'PLAIN' ELSE 'PLANNED' END AS read
 FROM lineitem""")
 def estimate_new_rows(spark, sf):
-    from tidelake.plans.incremental import estimate_new_rows as estimate
-
-    return estimate(table(spark, sf, "lineitem"), "l_shipdate", "2002-01-01", "2002-02-15")
+    return I.estimate_new_rows(table(spark, sf, "lineitem"), "l_shipdate", "2002-01-01", "2002-02-15")
 
 
 @register("update_style", f"""
@@ -290,13 +274,11 @@ SELECT table_id, style, CASE table_id % 3 WHEN 0 THEN 'DATE' WHEN 1 THEN 'TIMEST
        CASE WHEN style = 'POINT+FIXED' THEN 'PARTITION_UPDATE' WHEN table_id % 3 < 2 THEN 'INCREMENTAL' ELSE 'UNKNOWN' END AS update_style
 FROM styled""")
 def update_style(spark, sf):
-    from tidelake.plans.incremental import update_style as choose
-
     rest = F.col("table_id") % 3
     plans = S.import_style(_analysed(spark, sf)).select(
         "table_id", "style", F.when(rest == 0, "DATE").when(rest == 1, "TIMESTAMP(6)").otherwise("NUMBER").alias("split_key_type")
     )
-    return choose(plans)
+    return I.update_style(plans)
 
 
 @register("analyse_table", f"""
@@ -305,12 +287,7 @@ SELECT col AS column_name, round(score_split, 6) AS score_split, round(score_job
        col = (SELECT arg_min(col, (-score_split, col)) FROM scored) AS is_split_key,
        col = (SELECT arg_min(col, (-score_job_split, col)) FROM scored) AS is_job_key FROM scored""")
 def analyse_table(spark, sf):
-    from tidelake.plans.imports import analyse
-
-    found = analyse(
-        table(spark, sf, "orders"), partition="o_orderdate", partition_by=F.year("o_orderdate"), subpartition="o_orderpriority", index_columns=["o_orderkey"],
-        rows_per_split=_L, rows_per_job=_J, connections=_C, exact=True,
-    )
+    found = _analysed_orders(spark, sf)
     return found.scored.select(
         "column_name", F.round("score_split", 6).alias("score_split"), F.round("score_job_split", 6).alias("score_job_split"),
         (F.col("column_name") == found.split_key).alias("is_split_key"), (F.col("column_name") == found.job_key).alias("is_job_key"),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registered import register
-from registered.inputs import FILES_SQL, files, order_days, table
+from registered.inputs import FILES_SQL, files, table
 from tidelake.operators import aggregates as A
 from tidelake.operators import ordered as O
 from tidelake.operators import profile as P
 from tidelake.operators import reports as R
+from tidelake.session import materialize
 
 
 @register("row_count", "SELECT count(*) AS num_rows FROM lineitem")
@@ -179,8 +180,6 @@ _SHIP_DAYS_SQL = "c AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS cnt
 @register("running_count", f"""
 WITH {_SHIP_DAYS_SQL} SELECT day, cnt, CAST(sum(cnt) OVER (ORDER BY day) AS BIGINT) AS running FROM c""")
 def running_count(spark, sf):
-    from tidelake.session import materialize
-
     return O.running_total(materialize(_ship_days(spark, sf), "day-counts"), "day", {"running": "cnt"})
 
 

@@ -162,3 +162,11 @@ def test_point_and_strict_imports(spark, source):
     day = F.col("O_ORDERDATE").cast("date")
     expected = df.filter(day.between("1996-01-01", "1996-03-31") | (day == "1998-05-05")).count()
     assert M.read_imported(spark, path).count() == expected > 0
+
+
+def test_main_range(spark):
+    numbers = spark.createDataFrame([(0,), (1,), (90,)], "k int")
+    assert M.main_range(numbers, "k", True) == (0, 90, "COMPLETE")
+    assert M.main_range(numbers.filter("k < 0"), "k", True) == (None, None, "UNKNOWN")
+    days = spark.createDataFrame([(dt.date(2020, 1, 1),), (dt.date(2020, 1, 9),)], "d date")
+    assert M.main_range(days, "d", False) == (dt.date(2020, 1, 1), dt.date(2020, 1, 9), "COMPLETE")

@@ -95,7 +95,9 @@ def stored_stats(spark: SparkSession, table: str) -> DataFrame:
     for c in spark.table(table).columns:
         col = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(table)} {quoted(c)}")
         ndv = max(ndv, number(col.filter("info_name = 'distinct_count'").select(F.col("info_value").alias("v")), r"(\d+)"))
-    return spark.createDataFrame([(table, rows, ndv)], "table_name string, rows bigint, max_ndv bigint")
+    return spark.range(1).select(
+        F.lit(table).alias("table_name"), F.lit(rows).cast("bigint").alias("rows"), F.lit(ndv).cast("bigint").alias("max_ndv")
+    )
 
 
 def job_log_metrics(log: DataFrame) -> DataFrame:

@@ -69,9 +69,11 @@ def sequential_distinct(
     return spark.table(table)
 
 
-def new_since(landing: DataFrame, gold: DataFrame, landing_key: str, gold_key: str, landed: bool = True) -> DataFrame:
-    """Landing rows of days after gold's newest day; all rows when gold is empty."""
-    newest = gold.agg(F.max(F.col(gold_key).cast("date"))).first()[0]
+def new_since(
+    landing: DataFrame, gold: DataFrame, landing_key: str, gold_key: str, landed: bool = True, timed: bool = False
+) -> DataFrame:
+    """Landing rows after gold's newest day, or second if ``timed``; all rows when gold is empty."""
+    newest = gold.agg(F.max(F.col(gold_key).cast("timestamp_ntz" if timed else "date"))).first()[0]
     return landing if newest is None else landing.filter(compare(landing_key, newest, ">", landed))
 
 

@@ -43,6 +43,7 @@ class ImportPlan:
     splits: int = 1
     connections: int = 20
     jobs: tuple[S.Slice, ...] = ()
+    state: str = "COMPLETE"
 
 
 def analyse(
@@ -107,6 +108,24 @@ def analyse(
     )
 
 
+def main_range(df: DataFrame, key: str, numeric: bool) -> tuple[object, object, str]:
+    """The range to split a key over, and how sure it is.
+
+    The exact range if both its halves hold rows, else, for numbers, the
+    widened range if its halves do; otherwise the exact range, ``PARTIAL``.
+    """
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return None, None, "UNKNOWN"
+    if P.split_viable(df, key, low, high).first()["viable"]:
+        return low, high, "COMPLETE"
+    if numeric:
+        wide = P.widen_range(df.sparkSession.range(1).select(F.lit(low).alias("lo"), F.lit(high).alias("hi"))).first()
+        if P.split_viable(df, key, wide["wide_lo"], wide["wide_hi"]).first()["viable"]:
+            return int(wide["wide_lo"]), int(wide["wide_hi"]), "COMPLETE"
+    return low, high, "PARTIAL"
+
+
 def plan_import(
     df: DataFrame,
     table: str,
@@ -145,9 +164,12 @@ def plan_import(
     if plan.style == "PLAIN":
         return plan
     if split["data_type"] in _SPLITTABLE:
-        low, high = df.agg(F.min(found.split_key), F.max(found.split_key)).first()
+        numeric = "date" not in split["data_type"] and "timestamp" not in split["data_type"]
+        low, high, state = main_range(df, found.split_key, numeric)
         if low is not None and low < high:
-            plan = replace(plan, split_key=found.split_key, low=low, high=high, splits=chosen["splits"])
+            plan = replace(
+                plan, split_key=found.split_key, low=low, high=high, splits=chosen["splits"], state=state
+            )
     if plan.style == "SPLIT":
         return plan
     if plan.style == "POINT+FIXED":

@@ -14,21 +14,29 @@ MAX_NEW_DATES = 20
 LEDGER_SCHEMA = "key_date date, state string"
 
 
-def rows_after_watermark(source: DataFrame, lake: DataFrame, key: str, landed: bool = False) -> DataFrame:
-    """Source rows of days after the lake's newest day; all of them when the lake is empty.
+def rows_after_watermark(
+    source: DataFrame, lake: DataFrame, key: str, landed: bool = False, timed: bool = False
+) -> DataFrame:
+    """Source rows after the lake's newest day; all of them when the lake is empty.
 
-    ``landed`` says the lake holds the key as text. The source filter is a
-    typed range, which a JDBC or Parquet scan applies itself.
+    ``landed`` says the lake holds the key as text, ``timed`` that the key has
+    a time of day and is compared by second. The source filter is a typed
+    range, which a JDBC or Parquet scan applies itself.
     """
-    newest = F.max(F.substring(key, 1, 10)) if landed else F.max(F.col(key).cast("date"))
+    if landed:
+        newest = F.max(F.substring(key, 1, 19 if timed else 10))
+    else:
+        newest = F.max(F.col(key).cast("timestamp_ntz" if timed else "date"))
     top = lake.agg(newest).first()[0]
     return source if top is None else source.filter(compare(key, top, ">"))
 
 
-def load_by_watermark(source: DataFrame, lake_path: str, key: str, landed: bool = False) -> str:
+def load_by_watermark(
+    source: DataFrame, lake_path: str, key: str, landed: bool = False, timed: bool = False
+) -> str:
     """Append to the lake what came after its watermark; ``UP_TO_DATE`` when nothing did."""
     lake = source.sparkSession.read.parquet(lake_path)
-    rows = rows_after_watermark(source, lake, key, landed)
+    rows = rows_after_watermark(source, lake, key, landed, timed)
     if rows.isEmpty():
         return "UP_TO_DATE"
     land_append(rows, lake_path)
