@@ -13,6 +13,7 @@ from tidelake.operators.ordered import (
     ROWS_PER_BUCKET,
     at_fraction,
     bucket_by_order,
+    largest_key,
     ranked_values,
     trimmed_mean,
 )
@@ -95,7 +96,8 @@ def spread_of(
 ) -> DataFrame:
     """Trimmed mean, median, scaled MAD, sample deviation and size, exact, per key."""
     keys = list(keys)
-    ranked = ranked_values(df, value, keys, count, rows_per_bucket=rows_per_bucket)
+    fits = largest_key(df, keys) <= rows_per_bucket
+    ranked = ranked_values(df, value, keys, count, rows_per_bucket=rows_per_bucket, fits=fits)
     x, mult = F.col(value).cast("double"), F.col("_mult")
     centre = ranked.groupBy(*keys).agg(
         trimmed_mean(value, trim).alias("trimmed_mean"),
@@ -108,7 +110,7 @@ def spread_of(
     )
     kept = {"_squares": F.sum("_square"), "trimmed_mean": F.max("trimmed_mean"), "median": F.max("median")}
     return (
-        ranked_values(away, "_away", keys, "_mult", kept, rows_per_bucket)
+        ranked_values(away, "_away", keys, "_mult", kept, rows_per_bucket, fits)
         .groupBy(*keys)
         .agg(
             F.sum(mult).alias("n"),

@@ -31,17 +31,27 @@ def _cuts_below(cuts: Column, value: Column) -> Column:
     return F.when(block == 0, 0).otherwise((block - 1) * _STEP + F.size(tail))
 
 
+def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the most frequent key; counts merge before the shuffle."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return sizes.agg(F.max("_rows")).first()[0] or 0
+
+
 def bucket_by_order(
-    df: DataFrame, keys: Sequence[str], order: str, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    fits: bool = False,
 ) -> tuple[DataFrame, bool]:
     """Add ``_bucket``, which never falls as ``order`` rises within a key.
 
     Keys that fit keep bucket 0. The flag says whether any key was cut. The
-    order column is numeric, a date or a timestamp.
+    order column is numeric, a date or a timestamp. ``fits`` says the caller
+    has found no key with more than ``rows_per_bucket`` rows.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    largest = sizes.agg(F.max("_rows")).first()[0] or 0
+    largest = 0 if fits else largest_key(df, keys)
     if largest <= rows_per_bucket:
         return df.withColumn(BUCKET, F.lit(0)), False
     cuts = min(MAX_CUTS, math.ceil(2 * largest / rows_per_bucket))
@@ -51,6 +61,7 @@ def bucket_by_order(
         points = slim.agg(at).first()[0] or []
         literal = F.array(*[F.lit(p) for p in points])
         return df.withColumn(BUCKET, _cuts_below(literal, F.col(order))), True
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     hot = materialize(sizes.filter(F.col("_rows") > rows_per_bucket).select(*keys), "hot-keys")
     bounds = materialize(
         null_safe_join(slim, hot, keys, "left_semi").groupBy(*keys).agg(at), "order-cuts"
@@ -67,13 +78,14 @@ def running_total(
     keys: Sequence[str] = (),
     totals: Mapping[str, str | Column] | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    fits: bool = False,
 ) -> DataFrame:
     """Inclusive running sums of ``weights`` along a unique ``order`` within ``keys``.
 
     ``totals`` adds sums over the whole key.
     """
     keys, totals = list(keys), dict(totals or {})
-    cut, split = bucket_by_order(df, keys, order, rows_per_bucket)
+    cut, split = bucket_by_order(df, keys, order, rows_per_bucket, fits)
     part = [*keys, BUCKET]
     inside = Window.partitionBy(*part)
     upto = inside.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -102,11 +114,16 @@ def running_total(
 
 
 def previous_value(
-    df: DataFrame, order: str, out: str, keys: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame,
+    order: str,
+    out: str,
+    keys: Sequence[str] = (),
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    fits: bool = False,
 ) -> DataFrame:
     """The ``order`` value of the row before, within ``keys``."""
     keys = list(keys)
-    cut, split = bucket_by_order(df, keys, order, rows_per_bucket)
+    cut, split = bucket_by_order(df, keys, order, rows_per_bucket, fits)
     part = [*keys, BUCKET]
     lagged = F.lag(order).over(Window.partitionBy(*part).orderBy(order))
     if not split:
@@ -159,12 +176,15 @@ def gap_groups(
 ) -> DataFrame:
     """Number runs of dates: a date ``gap`` or more days after the one before starts a run."""
     known = materialize(dates.select(day).filter(F.col(day).isNotNull()).distinct(), "dates")
-    lagged = previous_value(known, day, "_prev", rows_per_bucket=rows_per_bucket)
+    fits = largest_key(known, []) <= rows_per_bucket
+    lagged = previous_value(known, day, "_prev", rows_per_bucket=rows_per_bucket, fits=fits)
     starts = lagged.select(
         day,
         F.when(F.col("_prev").isNull() | (F.datediff(day, "_prev") >= gap), 1).otherwise(0).alias("_start"),
     )
-    return running_total(starts, day, {"group_id": "_start"}, rows_per_bucket=rows_per_bucket).drop("_start")
+    return running_total(
+        starts, day, {"group_id": "_start"}, rows_per_bucket=rows_per_bucket, fits=fits
+    ).drop("_start")
 
 
 def gap_ranges(groups: DataFrame, day: str) -> DataFrame:
@@ -183,13 +203,14 @@ def row_budget_groups(
     """
     counts = materialize(counts, "key-counts")
     known = counts.filter(F.col(key).isNotNull())
-    summed = running_total(known, key, {"running": count}, rows_per_bucket=rows_per_bucket)
+    fits = largest_key(known, []) <= rows_per_bucket
+    summed = running_total(known, key, {"running": count}, rows_per_bucket=rows_per_bucket, fits=fits)
     inside = F.col("running") % budget
     inside_before = (F.col("running") - F.col(count)) % budget
     opened = summed.withColumn(
         "_opens", ((inside < inside_before) | (F.col(count) > budget)).cast("long")
     )
-    grouped = running_total(opened, key, {"group_id": "_opens"}, rows_per_bucket=rows_per_bucket)
+    grouped = running_total(opened, key, {"group_id": "_opens"}, rows_per_bucket=rows_per_bucket, fits=fits)
     missing = counts.filter(F.col(key).isNull()).select(
         *counts.columns, F.lit(None).cast("long").alias("running"), F.lit(-1).cast("long").alias("group_id")
     )
@@ -203,21 +224,24 @@ def ranked_values(
     count: str | None = None,
     extra: Mapping[str, Column] | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Each value once per key with the ranks it fills: ``_lo`` (0-based) up to, not including, ``_hi`` of ``_n``.
 
     Equal values are merged before the shuffle, so a value that fills a third
     of the rows costs one row. ``count`` is a multiplicity column, ``extra``
-    further aggregates to keep per value.
+    further aggregates to keep per value. ``fits`` says whether every key is
+    known to have at most ``rows_per_bucket`` rows; if not known it is counted.
     """
     mult = F.sum(count) if count else F.count(F.lit(1))
     kept = [agg.alias(name) for name, agg in (extra or {}).items()]
-    values = materialize(
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(mult.cast("long").alias("_mult"), *kept),
-        "value-counts",
-    )
+    if fits is None:
+        fits = largest_key(df, keys) <= rows_per_bucket
+    values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(mult.cast("long").alias("_mult"), *kept)
+    if not fits:
+        values = materialize(values, "value-counts")
     ranked = running_total(
-        values, value, {"_hi": "_mult"}, keys, totals={"_n": "_mult"}, rows_per_bucket=rows_per_bucket
+        values, value, {"_hi": "_mult"}, keys, totals={"_n": "_mult"}, rows_per_bucket=rows_per_bucket, fits=fits
     )
     return ranked.withColumn("_lo", F.col("_hi") - F.col("_mult"))
 
