@@ -156,7 +156,9 @@ def test_concat_in_parts(spark):
     df = spark.createDataFrame(rows, "k string, pos long, t string").repartition(6)
     whole = {r["k"]: r["joined"] for r in A.concat_per_key(df, "k", "pos", "t").collect()}
     assert whole["hot"].split("\n") == [f"line {i}" for i in range(400)]
-    parts = A.concat_per_key(df, "k", "pos", "t", rows_per_bucket=SMALL).orderBy("k", "part").collect()
-    assert len([r for r in parts if r["k"] == "hot"]) > 1
-    assert "\n".join(r["joined"] for r in parts if r["k"] == "hot") == whole["hot"]
-    assert [r["joined"] for r in parts if r["k"] == "cold"] == [whole["cold"]]
+    for limit in (SMALL, 1_000_000):
+        parts = A.concat_per_key(df, "k", "pos", "t", bytes_per_part=500, rows_per_bucket=limit).orderBy("k", "part").collect()
+        hot = [r["joined"] for r in parts if r["k"] == "hot"]
+        assert len(hot) > 5 and max(map(len, hot)) < 520
+        assert "\n".join(hot) == whole["hot"]
+        assert [r["joined"] for r in parts if r["k"] == "cold"] == [whole["cold"]]

@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidelake.operators.joins import null_safe_join
 from tidelake.operators.ordered import (
-    BUCKET,
     ROWS_PER_BUCKET,
     at_fraction,
-    bucket_by_order,
     largest_key,
     ranked_values,
+    running_total,
     trimmed_mean,
 )
 from tidelake.session import materialize
 from tidelake.sources.sinks import quoted
 
+BYTES_PER_PART = 64 * 1024 * 1024
 MAD_SCALE = 1.4826  # makes the median absolute deviation a standard deviation for normal data
 
 
@@ -99,13 +99,22 @@ def spread_of(
     fits = largest_key(df, keys) <= rows_per_bucket
     ranked = ranked_values(df, value, keys, count, rows_per_bucket=rows_per_bucket, fits=fits)
     x, mult = F.col(value).cast("double"), F.col("_mult")
-    centre = ranked.groupBy(*keys).agg(
-        trimmed_mean(value, trim).alias("trimmed_mean"),
-        at_fraction(value, 0.5).alias("median"),
-        (F.sum(x * mult) / F.sum(mult)).alias("_mean"),
-    )
+
+    def centre(whole: WindowSpec | None) -> list[Column]:
+        total, rows = F.sum(x * mult), F.sum(mult)
+        mean = total / rows if whole is None else total.over(whole) / rows.over(whole)
+        return [
+            trimmed_mean(value, trim, whole).alias("trimmed_mean"),
+            at_fraction(value, 0.5, whole).alias("median"),
+            mean.alias("_mean"),
+        ]
+
+    if fits:  # the rows of a key are together already, so nothing is joined or shuffled again
+        centred = ranked.select("*", *centre(Window.partitionBy(*(keys or [F.lit(0)]))))
+    else:
+        centred = _attach(ranked, ranked.groupBy(*keys).agg(*centre(None)), keys)
     gap = x - F.col("_mean")
-    away = _attach(ranked.select(*keys, value, "_mult"), centre, keys).select(
+    away = centred.select(
         *keys, F.abs(x - F.col("median")).alias("_away"), (gap * gap * mult).alias("_square"), "_mult", "trimmed_mean", "median"
     )
     kept = {"_squares": F.sum("_square"), "trimmed_mean": F.max("trimmed_mean"), "median": F.max("median")}
@@ -141,19 +150,30 @@ def quantile_of(
 
 
 def concat_per_key(
-    df: DataFrame, key: str, order: str, text: str, separator: str = "\n", rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, key: str, order: str, text: str, separator: str = "\n",
+    bytes_per_part: int = BYTES_PER_PART, rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Texts of a key joined in order; ``order`` is unique within a key.
 
-    A key with more than ``rows_per_bucket`` texts goes on in further rows,
-    numbered by ``part``: one value can hold no more than 2 GB.
+    A key with more than ``bytes_per_part`` of text goes on in further rows,
+    numbered by ``part``, so that no task holds a whole hot key and no value
+    nears the 2 GB it can hold.
     """
-    cut, _ = bucket_by_order(df.select(key, order, text), [key], order, rows_per_bucket)
+    slim = df.select(key, order, text)
+    width = F.coalesce(F.octet_length(text), F.lit(0)) + len(separator.encode())
+    sizes = slim.groupBy(key).agg(F.sum(width).alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
+    largest = sizes.agg(F.max("_bytes").alias("bytes"), F.max("_rows").alias("rows")).first()
+    if (largest["bytes"] or 0) <= bytes_per_part:
+        cut = slim.withColumn("part", F.lit(0))
+    else:
+        upto = running_total(
+            slim, order, {"_upto": width}, [key], rows_per_bucket=rows_per_bucket, fits=largest["rows"] <= rows_per_bucket
+        )
+        cut = upto.withColumn("part", F.floor((F.col("_upto") - width) / bytes_per_part).cast("int"))
     pieces = F.array_sort(F.collect_list(F.struct(order, text)))
-    joined = cut.groupBy(key, BUCKET).agg(
+    return cut.groupBy(key, "part").agg(
         F.array_join(F.transform(pieces, lambda p: p[text]), separator).alias("joined")
     )
-    return joined.withColumnRenamed(BUCKET, "part")
 
 
 def small_domain_values(df: DataFrame, columns: Sequence[str], limit: int = 200) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest key set that is turned into an IN list instead of a join.
-IN_LIST_LIMIT = 10_000
+from tidelake.session import materialize
+
+# Largest key set that is turned into an IN list instead of a join; the longest list every source takes.
+IN_LIST_LIMIT = 1_000
+_PLAIN_TEXT = re.compile(r"[A-Za-z0-9 _:.,/+-]*")  # needs no escape in a SQL literal
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str) -> DataFrame:
@@ -60,14 +64,25 @@ def join_partition_columns(
     )
 
 
+def key_set(df: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """The distinct keys of ``df``, written once.
+
+    A frequent key is merged before the shuffle. Read back, a small set has a
+    known size and is broadcast, so the other side of the join is not
+    shuffled; against a large one Spark may split the other side's skewed
+    partitions, which it cannot with an aggregate between shuffle and join.
+    """
+    return materialize(df.select(*keys).distinct(), "keys")
+
+
 def keys_not_in(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of ``left`` whose key is absent from ``right``."""
-    return left.join(right.select(key).distinct(), key, "left_anti")
+    return left.join(key_set(right, [key]), key, "left_anti")
 
 
 def keys_in(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of ``left`` whose key is present in ``right``."""
-    return left.join(right.select(key).distinct(), key, "left_semi")
+    return left.join(key_set(right, [key]), key, "left_semi")
 
 
 def natural_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -82,11 +97,23 @@ def filter_by_keys(
 ) -> DataFrame:
     """Rows whose ``value`` is one of ``keys``.
 
-    Up to ``limit`` keys become an IN list, which reaches the scan; more
-    become a semi join.
+    Up to ``limit`` keys become an IN list, which a JDBC or Parquet scan
+    applies itself; more become a range, which the scan applies, and a semi
+    join.
     """
-    found = [r[0] for r in keys.select(key).distinct().limit(limit + 1).collect()]
-    if len(found) <= limit:
-        return df.filter(value.isin([v for v in found if v is not None]))
-    wanted = keys.select(F.col(key).alias("__key")).distinct()
-    return df.join(wanted, value == F.col("__key"), "left_semi")
+    wanted = key_set(keys.select(F.col(key).alias("__key")).filter("__key IS NOT NULL"), ["__key"])
+    texts = [r[0] for r in wanted.select(F.col("__key").cast("string")).limit(limit + 1).collect()]
+    if not texts:
+        return df.limit(0)
+    keyed = df.withColumn("__value", value)
+    if len(texts) <= limit:
+        if not all(_PLAIN_TEXT.fullmatch(t) for t in texts):  # only text keys have other characters
+            return df.filter(value.isin(texts))
+        # one parsed expression: a list of single literals takes a second per thousand to build
+        kind = wanted.schema["__key"].dataType.simpleString()
+        listed = ", ".join(f"CAST('{t}' AS {kind})" for t in texts)
+        return keyed.filter(f"__value IN ({listed})").drop("__value")
+    low, high = wanted.agg(F.min("__key"), F.max("__key")).first()
+    inside = keyed.filter(F.col("__value").between(low, high))
+    return inside.join(wanted, F.col("__value") == F.col("__key"), "left_semi").drop("__value")
+

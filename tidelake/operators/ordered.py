@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidelake.operators.joins import null_safe_join
@@ -87,7 +87,8 @@ def running_total(
     keys, totals = list(keys), dict(totals or {})
     cut, split = bucket_by_order(df, keys, order, rows_per_bucket, fits)
     part = [*keys, BUCKET]
-    inside = Window.partitionBy(*part)
+    # without cuts the keys alone, so that later work per key needs no other shuffle
+    inside = Window.partitionBy(*(keys if keys and not split else part))
     upto = inside.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     if not split:
         return cut.select(
@@ -246,23 +247,27 @@ def ranked_values(
     return ranked.withColumn("_lo", F.col("_hi") - F.col("_mult"))
 
 
-def at_fraction(value: str, fraction: float) -> Column:
-    """Aggregate over ``ranked_values``: the linearly interpolated quantile."""
+def at_fraction(value: str, fraction: float, whole: WindowSpec | None = None) -> Column:
+    """The linearly interpolated quantile over ``ranked_values``: an aggregate, or one over the window ``whole``."""
     pos = (F.col("_n") - 1) * F.lit(float(fraction))
     low, high = F.floor(pos), F.ceil(pos)
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), F.col(value).cast("double")))
+        return _over(F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), F.col(value).cast("double"))), whole)
 
-    share = F.max(pos - low)
+    share = _over(F.max(pos - low), whole)
     return at(low) + (at(high) - at(low)) * share
 
 
-def trimmed_mean(value: str, trim: float) -> Column:
-    """Aggregate over ``ranked_values``: the mean without ``floor(n * trim)`` rows at each end."""
+def trimmed_mean(value: str, trim: float, whole: WindowSpec | None = None) -> Column:
+    """As ``at_fraction``, the mean without ``floor(n * trim)`` rows at each end."""
     skip = F.floor(F.col("_n") * F.lit(float(trim)))
     kept = F.greatest(
         F.lit(0),
         F.least(F.col("_hi"), F.col("_n") - skip) - F.greatest(F.col("_lo"), skip),
     )
-    return F.sum(F.col(value).cast("double") * kept) / F.sum(kept)
+    return _over(F.sum(F.col(value).cast("double") * kept), whole) / _over(F.sum(kept), whole)
+
+
+def _over(aggregate: Column, whole: WindowSpec | None) -> Column:
+    return aggregate if whole is None else aggregate.over(whole)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.functions.predicates import compare, landed_day
-from tidelake.operators.joins import filter_by_keys
+from tidelake.operators.joins import filter_by_keys, key_set
 from tidelake.operators.ordered import row_budget_groups
 from tidelake.operators.schema import align, cast_columns
 from tidelake.sources.sinks import create_gold, insert_append, insert_overwrite
@@ -66,6 +67,8 @@ def sequential_distinct(
             ).filter(day.isNotNull())
         write = insert_overwrite if i == 0 else insert_append
         write(cast_columns(rows, types).dropDuplicates(), table)
+    if not groups:  # an empty landing leaves an empty table, not the files of the one before
+        insert_overwrite(cast_columns(landing, types).limit(0), table)
     return spark.table(table)
 
 
@@ -78,15 +81,15 @@ def new_since(
 
 
 def shortest_length(*keys: DataFrame) -> int:
-    """The shortest text length among the first columns of the frames."""
-    found = [k.agg(F.min(F.length(F.col(k.columns[0]).cast("string")))).first()[0] for k in keys]
-    return min((f for f in found if f is not None), default=0)
+    """The shortest text length among the first columns of the frames, in one job."""
+    lengths = [k.agg(F.min(F.length(F.col(k.columns[0]).cast("string"))).alias("n")) for k in keys]
+    return reduce(DataFrame.union, lengths).agg(F.min("n")).first()[0] or 0
 
 
 def new_by_prefix(landing: DataFrame, gold: DataFrame, landing_key: str, gold_key: str) -> DataFrame:
     """Landing rows whose key, cut to the shortest length on both sides, is new to gold."""
-    have = gold.select(F.col(gold_key).cast("string").alias("k")).distinct()
-    seen = landing.select(F.col(landing_key).cast("string").alias("k")).distinct()
+    have = key_set(gold.select(F.col(gold_key).cast("string").alias("k")), ["k"])
+    seen = key_set(landing.select(F.col(landing_key).cast("string").alias("k")), ["k"])
     size = shortest_length(have, seen)
     prefix = F.substring(F.col(landing_key).cast("string"), 1, size)
     new = (
@@ -99,7 +102,7 @@ def new_by_prefix(landing: DataFrame, gold: DataFrame, landing_key: str, gold_ke
 
 def prefix_in(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """Rows whose key prefix is among the wanted keys' prefixes, both cut to the shortest length."""
-    keys = wanted.select(F.col(wanted_key).cast("string").alias("k")).distinct()
+    keys = key_set(wanted.select(F.col(wanted_key).cast("string").alias("k")), ["k"])
     size = shortest_length(keys, df.select(F.col(key).cast("string")))
     cut = keys.select(F.substring("k", 1, size).alias("k"))
     return filter_by_keys(df, F.substring(F.col(key).cast("string"), 1, size), cut, "k")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.functions.predicates import compare
-from tidelake.operators.joins import filter_by_keys, null_safe_join
+from tidelake.operators.joins import filter_by_keys, key_set, null_safe_join
 from tidelake.session import materialize
 from tidelake.sources.sinks import land_append, path_exists, recover_folder, replace_folder
 
@@ -150,7 +150,7 @@ def update_ledger(spark: SparkSession, path: str, dates: DataFrame) -> None:
 
 def keyed_upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows replace the old rows of their key; the other old rows stay."""
-    kept = null_safe_join(old, new.select(*keys).distinct(), keys, "left_anti")
+    kept = null_safe_join(old, key_set(new, keys), keys, "left_anti")
     return kept.unionByName(new)
 
 
