@@ -28,8 +28,8 @@ def landed(orders: DataFrame) -> DataFrame:
 
 
 def landed_twice(orders: DataFrame) -> DataFrame:
-    """Landing in which a tenth of the orders were loaded twice."""
-    return landed(orders.unionByName(orders.filter("o_orderkey % 10 = 0")))
+    """Landing in which the urgent orders were loaded twice."""
+    return landed(orders.unionByName(orders.filter("o_orderpriority = '1-URGENT'")))
 
 
 LANDED_SQL = """landing AS (

@@ -62,27 +62,43 @@ def insert_overwrite(spark, sf):
     return spark.table(name)
 
 
-@register("insert_append", _ALL_ORDERS + " UNION ALL " + _ALL_ORDERS + " WHERE o_orderkey % 10 = 0")
+@register("insert_append", _ALL_ORDERS + " UNION ALL " + _ALL_ORDERS + " WHERE o_orderpriority = '1-URGENT'")
 def insert_append(spark, sf):
     name, path = new_table(spark, "appended")
     orders = table(spark, sf, "orders")
     K.create_gold(spark, name, orders.schema, path)
     K.insert_append(orders, name)
-    K.insert_append(orders.filter("o_orderkey % 10 = 0"), name)
+    K.insert_append(orders.filter("o_orderpriority = '1-URGENT'"), name)
     return spark.table(name)
 
 
+@register("guarded_drop", " UNION ALL ".join(
+    f"SELECT '{t}' AS source, count(*) < 5000 AS dropped, CASE WHEN count(*) < 5000 THEN 0 ELSE count(*) END AS rows_left FROM {t}"
+    for t in ("orders", "supplier")
+))
+def guarded_drop(spark, sf):
+    out = []
+    for source in ("orders", "supplier"):
+        name, path = new_table(spark, "guarded")
+        K.land_append(table(spark, sf, source), path)
+        K.register_external(spark, name, path)
+        dropped = K.guarded_drop(spark, name, below=5000)
+        left = table(spark, sf, source).limit(0) if dropped else spark.table(name)
+        out.append(left.agg(F.lit(source).alias("source"), F.lit(dropped).alias("dropped"), F.count(F.lit(1)).alias("rows_left")))
+    return out[0].unionByName(out[1])
+
+
 _LINE_TYPES = {
     "l_orderkey": "bigint", "l_partkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_shipdate": "timestamp_ntz",
 }
 
 
 def _landed_lines(spark, sf):
-    """Landing lineitem with text dates, a tenth of the rows twice, some without a date."""
+    """Landing lineitem with text dates, the large orders' lines twice, some without a date."""
     lines = table(spark, sf, "lineitem").select(*_LINE_TYPES)
     text = F.when(F.col("l_orderkey") % 100 != 99, F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
     lines = lines.withColumn("l_shipdate", text)
-    return lines.unionByName(lines.filter("l_orderkey % 10 = 0"))
+    return lines.unionByName(lines.filter("l_quantity >= 45"))
 
 
 _DISTINCT_LINES = """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from registered import register
 from registered.inputs import CUTOFF, order_days, table
 from tidelake.functions.predicates import compare
+from tidelake.operators import profile as P
 from tidelake.plans import daily
 from tidelake.plans import incremental as I
 from tidelake.session import scratch_path
@@ -63,6 +64,23 @@ def scan_text(spark, sf):
     return S.scan_text(spark, path).select("line")
 
 
+_STATS_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{kind}' AS data_type, count(*) - count({c}) AS num_nulls, "
+    f"CAST(min({c}) AS VARCHAR) AS low_value, CAST(max({c}) AS VARCHAR) AS high_value FROM {t}"
+    for t, c, kind in (("orders", "o_orderkey", "bigint"), ("orders", "o_orderpriority", "string"),
+                       ("lineitem", "l_suppkey", "bigint"), ("lineitem", "l_returnflag", "string"))
+)
+
+
+@register("scan_stats_csv", _STATS_SQL)
+def scan_stats_csv(spark, sf):
+    path = scratch_path(spark, "stats")
+    for name, columns in (("orders", ["o_orderkey", "o_orderpriority"]), ("lineitem", ["l_suppkey", "l_returnflag"])):
+        profile = P.column_profile(table(spark, sf, name), columns)
+        K.write_stats_csv(profile.select("column_name", "data_type", "num_nulls", "low_value", "high_value"), path, name)
+    return S.scan_stats_csv(spark, path).withColumn("num_nulls", F.col("num_nulls").cast("bigint"))
+
+
 @register("incr_watermark", """
 SELECT 'rows' AS what, o_orderkey, o_orderdate FROM orders
 UNION ALL SELECT 'second run: UP_TO_DATE', -1, NULL""")
@@ -189,15 +207,15 @@ def verify_dates(spark, sf):
 
 
 @register("keyed_upsert", """
-SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 5 <> 0
-UNION ALL SELECT c_custkey, 'new', c_acctbal + 1 FROM customer WHERE c_custkey % 5 = 0
-UNION ALL SELECT -1 - c_custkey, 'new', 0.0 FROM customer WHERE c_custkey % 50 = 0""")
+SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 1000
+UNION ALL SELECT c_custkey, 'new', c_acctbal - 1 FROM customer WHERE c_acctbal < 1000
+UNION ALL SELECT -1 - c_custkey, 'new', 0.0 FROM customer WHERE c_acctbal > 9000""")
 def keyed_upsert(spark, sf):
     path = scratch_path(spark, "keyed")
     old = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
     K.replace_folder(old, path)
-    changed = old.filter("c_custkey % 5 = 0").select("c_custkey", F.lit("new").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
-    added = old.filter("c_custkey % 50 = 0").select((-1 - F.col("c_custkey")).alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(0.0).alias("c_acctbal"))
+    changed = old.filter("c_acctbal < 1000").select("c_custkey", F.lit("new").alias("c_name"), (F.col("c_acctbal") - 1).alias("c_acctbal"))
+    added = old.filter("c_acctbal > 9000").select((-1 - F.col("c_custkey")).alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(0.0).alias("c_acctbal"))
     for rows in (changed, added, changed):
         K.replace_folder(I.keyed_upsert(spark.read.parquet(path), rows, ["c_custkey"]), path)
     return spark.read.parquet(path)
@@ -207,8 +225,8 @@ def keyed_upsert(spark, sf):
 def poll_available_now(spark, sf):
     source, target, state = (scratch_path(spark, n) for n in ("polled", "target", "state"))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    for part in (0, 1):
-        orders.filter(F.col("o_orderkey") % 2 == part).write.mode("append").parquet(source)
+    for part in ("o_totalprice < 200000", "o_totalprice >= 200000"):
+        orders.filter(part).write.mode("append").parquet(source)
         poll.poll_landing(spark, source, orders.schema, target, state)
     return poll.read_polled(spark, target)
 

@@ -311,9 +311,9 @@ def union_distinct(spark, sf):
 
 
 @register("union_keys", """
-SELECT o_custkey AS key FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT c_custkey FROM customer WHERE c_acctbal > 5000""")
+SELECT o_custkey AS key FROM orders WHERE o_orderstatus = 'F' UNION SELECT c_custkey FROM customer WHERE c_acctbal > 5000""")
 def union_keys(spark, sf):
-    left = table(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("key"))
+    left = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("key"))
     right = table(spark, sf, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("key"))
     return U.union_keys(left, right, "key")
 
@@ -355,7 +355,7 @@ def union_all(spark, sf):
 
 
 @register("distinct_rows", f"""
-WITH {LANDED_SQL}, twice AS (SELECT * FROM landing UNION ALL SELECT * FROM landing WHERE o_orderkey % 10 = 0)
+WITH {LANDED_SQL}, twice AS (SELECT * FROM landing UNION ALL SELECT * FROM landing WHERE o_orderpriority = '1-URGENT')
 SELECT DISTINCT * FROM twice""")
 def distinct_rows(spark, sf):
     return U.distinct_rows(landed_twice(table(spark, sf, "orders")))

@@ -1,6 +1,8 @@
 """Slices, styles, guards, gold and upserts on edge rows."""
 
 import datetime as dt
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +53,13 @@ def test_number_slices(spark):
     assert [tuple(r) for r in L.slice_coverage(df, "k", slices).collect()] == [(1, 996)]
 
 
+def test_wide_number_ranges_do_not_overflow(spark):
+    ranges = spark.createDataFrame([(0, 9_000_000_000_000_000_000)], "lo long, hi long")
+    got = L.range_slices(ranges, 50).orderBy("slice_no").collect()
+    assert len(got) == 50 and got[0]["from_key"] == 0 and got[-1]["to_key"] == 9_000_000_000_000_000_001
+    assert all(a["to_key"] == b["from_key"] for a, b in zip(got, got[1:]))
+
+
 def test_point_slices(spark):
     df = spark.createDataFrame([(1,), (2,), (2,), (5,), (None,)], "k int")
     slices = L.to_slices(L.point_slices(df, "k"), "k")
@@ -58,6 +67,16 @@ def test_point_slices(spark):
     assert [tuple(r) for r in L.slice_coverage(df, "k", slices).collect()] == [(1, 5)]
 
 
+def test_coverage_counts_every_slice_that_holds_a_value(spark):
+    rng = random.Random(4)
+    spans = [(a, a + rng.randrange(-3, 40)) for a in (rng.randrange(300) for _ in range(150))]
+    points = [rng.randrange(300) for _ in range(60)]
+    slices = [L.Slice("k", low=a, high=b) for a, b in spans] + [L.Slice("k", point=p) for p in points]
+    df = spark.range(-5, 320).select(F.col("id").alias("k"))
+    want = Counter(sum(a <= k < b for a, b in spans) + points.count(k) for k in range(-5, 320))
+    assert {r["slices_holding"]: r["rows"] for r in L.slice_coverage(df, "k", slices).collect()} == want
+
+
 def test_strict_slices(spark):
     ranges = spark.createDataFrame([(1, D(2020, 1, 1), D(2020, 1, 1)), (2, D(2020, 2, 1), D(2020, 2, 26))], "g int, lo date, hi date")
     got = [tuple(r) for r in L.strict_slices(ranges, 10, ["g"]).orderBy("g", "slice_no").collect()]
@@ -363,6 +382,30 @@ def test_many_new_keys_use_a_join(spark):
     few = filter_by_keys(df, F.col("id"), keys, "id", limit=100)
     many = filter_by_keys(df, F.col("id"), keys, "id", limit=10)
     assert few.count() == many.count() == 40
+    assert filter_by_keys(df, F.col("id"), keys.limit(0), "id").isEmpty()
+    odd = spark.createDataFrame([("it's",), ("a\\b",), ("${v}\n",), ("plain",), (None,)], "k string")
+    assert filter_by_keys(odd, F.col("k"), odd, "k").count() == filter_by_keys(odd, F.col("k"), odd, "k", limit=1).count() == 4
+
+
+def test_semi_and_anti_joins_split_a_hot_key(spark):
+    from tidelake.operators.joins import keys_in, keys_not_in
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32KB",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB"}
+    before = {k: spark.conf.get(k) for k in conf}
+    rows = spark.range(600_000).repartition(8).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("k"), F.md5(F.col("id").cast("string")).alias("v"))
+    keys = spark.range(5000).repartition(8).select((F.col("id") % 2500 * 2 + 1).alias("k"))
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        for found, want in ((keys_in(rows, keys, "k"), 400_000), (keys_not_in(rows, keys, "k"), 200_000)):
+            counted = found.agg(F.count("v"), F.max("v"))
+            assert counted.collect()[0][0] == want
+            assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 # --- the daily update -----------------------------------------------------------

@@ -23,11 +23,14 @@ MAX_CUTS = 1024
 _STEP = 32  # cuts are searched in two steps of about this size
 
 
-def _cuts_below(cuts: Column, value: Column) -> Column:
-    """How many of the ascending ``cuts`` are below ``value``."""
-    heads = F.filter(cuts, lambda c, i: (i % _STEP == 0) & (c < value))
+def cuts_below(cuts: Column, value: Column, inclusive: bool = False) -> Column:
+    """How many of the ascending ``cuts`` are below ``value``, or not above it if ``inclusive``."""
+    def passed(c: Column) -> Column:
+        return c <= value if inclusive else c < value
+
+    heads = F.filter(cuts, lambda c, i: (i % _STEP == 0) & passed(c))
     block = F.size(heads)
-    tail = F.filter(F.slice(cuts, (block - 1) * _STEP + 1, F.lit(_STEP)), lambda c: c < value)
+    tail = F.filter(F.slice(cuts, (block - 1) * _STEP + 1, F.lit(_STEP)), passed)
     return F.when(block == 0, 0).otherwise((block - 1) * _STEP + F.size(tail))
 
 
@@ -60,14 +63,14 @@ def bucket_by_order(
     if not keys:
         points = slim.agg(at).first()[0] or []
         literal = F.array(*[F.lit(p) for p in points])
-        return df.withColumn(BUCKET, _cuts_below(literal, F.col(order))), True
+        return df.withColumn(BUCKET, cuts_below(literal, F.col(order))), True
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     hot = materialize(sizes.filter(F.col("_rows") > rows_per_bucket).select(*keys), "hot-keys")
     bounds = materialize(
         null_safe_join(slim, hot, keys, "left_semi").groupBy(*keys).agg(at), "order-cuts"
     )
     out = null_safe_join(df, bounds, keys, "left")
-    bucket = F.when(F.col("_cuts").isNull(), 0).otherwise(_cuts_below(F.col("_cuts"), F.col(order)))
+    bucket = F.when(F.col("_cuts").isNull(), 0).otherwise(cuts_below(F.col("_cuts"), F.col(order)))
     return out.withColumn(BUCKET, bucket).drop("_cuts"), True
 
 
@@ -249,24 +252,22 @@ def ranked_values(
 
 def at_fraction(value: str, fraction: float, whole: WindowSpec | None = None) -> Column:
     """The linearly interpolated quantile over ``ranked_values``: an aggregate, or one over the window ``whole``."""
-    pos = (F.col("_n") - 1) * F.lit(float(fraction))
-    low, high = F.floor(pos), F.ceil(pos)
+    pos = f"((_n - 1) * {float(fraction)!r}D)"
 
-    def at(rank: Column) -> Column:
-        return _over(F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), F.col(value).cast("double"))), whole)
+    def at(rank: str) -> Column:
+        hit = f"max(CASE WHEN _lo <= {rank} AND {rank} < _hi THEN CAST(`{value}` AS DOUBLE) END)"
+        return _over(F.expr(hit), whole)
 
-    share = _over(F.max(pos - low), whole)
-    return at(low) + (at(high) - at(low)) * share
+    low, high = at(f"floor({pos})"), at(f"ceil({pos})")
+    return low + (high - low) * _over(F.expr(f"max({pos} - floor({pos}))"), whole)
 
 
 def trimmed_mean(value: str, trim: float, whole: WindowSpec | None = None) -> Column:
     """As ``at_fraction``, the mean without ``floor(n * trim)`` rows at each end."""
-    skip = F.floor(F.col("_n") * F.lit(float(trim)))
-    kept = F.greatest(
-        F.lit(0),
-        F.least(F.col("_hi"), F.col("_n") - skip) - F.greatest(F.col("_lo"), skip),
-    )
-    return _over(F.sum(F.col(value).cast("double") * kept), whole) / _over(F.sum(kept), whole)
+    skip = f"floor(_n * {float(trim)!r}D)"
+    kept = f"greatest(0L, least(_hi, _n - {skip}) - greatest(_lo, {skip}))"
+    total = F.expr(f"sum(CAST(`{value}` AS DOUBLE) * {kept})")
+    return _over(total, whole) / _over(F.expr(f"sum({kept})"), whole)
 
 
 def _over(aggregate: Column, whole: WindowSpec | None) -> Column:

@@ -36,6 +36,11 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: b
     One pass with sketches for the distinct values. ``exact`` counts them in a
     second pass, which expands every row by the number of columns.
     """
+    return profile_pass(df, columns, exact).drop("num_rows", "is_date")
+
+
+def profile_pass(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
+    """As ``column_profile``, with the table's rows and whether a column holds dates only, from the same pass."""
     types = {f.name: f.dataType for f in df.schema}
     columns = list(columns or df.columns)
     aggs: list[Column] = [F.count(F.lit(1)).alias("_rows")]
@@ -48,6 +53,7 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: b
             (F.avg(F.octet_length(c)) if text else F.lit(_WIDTHS.get(types[c].simpleString(), 8))).cast("double").alias(f"_len{i}"),
             F.min(c).alias(f"_lo{i}"),
             F.max(c).alias(f"_hi{i}"),
+            (_all_days(c, types[c]) if isinstance(types[c], _TEMPORAL) else F.lit(False)).alias(f"_day{i}"),
         ]
     one = df.agg(*aggs)
     cells = [
@@ -60,6 +66,8 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: b
             F.col(f"_len{i}").alias("avg_col_len"),
             as_text(f"_lo{i}", types[c]).alias("low_value"),
             as_text(f"_hi{i}", types[c]).alias("high_value"),
+            F.col("_rows").alias("num_rows"),
+            F.col(f"_day{i}").alias("is_date"),
         )
         for i, c in enumerate(columns)
     ]
@@ -72,6 +80,11 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: b
     return profile.join(ndv, "column_name").withColumn("num_distinct", F.col("_ndv")).drop("_ndv")
 
 
+def _all_days(column: str, kind: T.DataType) -> Column:
+    """Whether no value of a temporal column has a time of day; false where there is no value."""
+    return F.coalesce(F.bool_and(F.col(column).cast("date").cast(kind) == F.col(column)), F.lit(False))
+
+
 def split_required(df: DataFrame, rows_per_split: int = ROWS_PER_SPLIT, rows_per_job: int = ROWS_PER_JOB) -> DataFrame:
     """Whether a table needs a split read, and whether it needs several jobs."""
     n = F.col("num_rows")
@@ -88,17 +101,12 @@ def date_only_columns(df: DataFrame, landed: Sequence[str] = ()) -> DataFrame:
 
     ``landed`` names text columns that hold dates.
     """
-    tests: dict[str, Column] = {}
-    for f in df.schema:
-        if isinstance(f.dataType, _TEMPORAL):
-            tests[f.name] = F.col(f.name).cast("date").cast(f.dataType) == F.col(f.name)
+    tests = {f.name: _all_days(f.name, f.dataType) for f in df.schema if isinstance(f.dataType, _TEMPORAL)}
     for c in landed:
         clock = F.substring(c, 12, 8)
-        tests[c] = ((F.length(c) == 10) | (clock == "00:00:00")) & F.substring(c, 1, 10).try_cast("date").isNotNull()
-    cells = [
-        F.struct(F.lit(c).alias("column_name"), F.coalesce(F.bool_and(t), F.lit(False)).alias("is_date"))
-        for c, t in tests.items()
-    ]
+        day = ((F.length(c) == 10) | (clock == "00:00:00")) & F.substring(c, 1, 10).try_cast("date").isNotNull()
+        tests[c] = F.coalesce(F.bool_and(day), F.lit(False))
+    cells = [F.struct(F.lit(c).alias("column_name"), t.alias("is_date")) for c, t in tests.items()]
     return df.agg(F.array(*cells).alias("a")).select(F.explode("a").alias("s")).select("s.*")
 
 

@@ -66,9 +66,10 @@ def analyse(
     are left out. Without a partition key every drift score is 0.
     """
     rows_per_job = rows_per_job or 100 * rows_per_split
-    num_rows = df.count()
-    profile = materialize(P.column_profile(df, exact=exact), "profile")
-    dated = [r["column_name"] for r in P.date_only_columns(df).filter("is_date").collect()]
+    profile = materialize(P.profile_pass(df, exact=exact), "profile")
+    columns = profile.collect()  # one row per column
+    num_rows = columns[0]["num_rows"]
+    dated = [r["column_name"] for r in columns if r["is_date"]]
     joined = profile
     if dated:
         cells = F.explode(
@@ -80,7 +81,7 @@ def analyse(
     else:
         joined = joined.select("*", F.lit(False).alias("is_chunked"), F.lit(False).alias("is_chrono"))
     if partition:
-        full = [r["column_name"] for r in profile.filter("num_nulls = 0").collect()]
+        full = [r["column_name"] for r in columns if r["num_nulls"] == 0]
         drift = P.partition_drift(P.partition_ranges(df, partition if partition_by is None else partition_by, full))
         joined = joined.join(drift, "column_name", "left")
     else:
@@ -92,8 +93,7 @@ def analyse(
     if partition:
         part = F.when(name == partition.upper(), 1.0).otherwise(part)
     flagged = joined.select(
-        "column_name", "data_type", "num_distinct", "num_nulls",
-        F.col("column_name").isin(dated).alias("is_date") if dated else F.lit(False).alias("is_date"),
+        "column_name", "data_type", "num_distinct", "num_nulls", "is_date",
         F.coalesce("is_chunked", F.lit(False)).alias("is_chunked"),
         F.coalesce("is_chrono", F.lit(False)).alias("is_chrono"),
         F.coalesce("drift", F.lit(0.0)).alias("drift"),

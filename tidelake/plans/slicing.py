@@ -7,12 +7,14 @@ without a key have a slice of their own.
 from __future__ import annotations
 
 import datetime as dt
+from collections import Counter
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelake.operators.ordered import cuts_below
 from tidelake.operators.profile import CONNECTIONS, ROWS_PER_SPLIT
 
 
@@ -133,9 +135,10 @@ def _cut(ranges: DataFrame, span: Column, pieces: Column, is_day: bool, keys: Se
         *keys, "lo", "hi", span.cast("bigint").alias("_span"), pieces.cast("bigint").alias("_n")
     )
     each = numbered.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("slice_no"))
-    start = F.expr("(_span * slice_no) div _n")
+    # as decimals, since the product of a wide span and a slice number passes a bigint
+    start = F.expr("(CAST(_span AS DECIMAL(19,0)) * slice_no) div _n")
     end = F.when(F.col("slice_no") == F.col("_n") - 1, F.col("_span") + 1).otherwise(
-        F.expr("(_span * (slice_no + 1)) div _n")
+        F.expr("(CAST(_span AS DECIMAL(19,0)) * (slice_no + 1)) div _n")
     )
     return each.select(*keys, "slice_no", at(start).alias("from_key"), at(end).alias("to_key")).filter(
         "from_key < to_key"
@@ -158,18 +161,21 @@ def to_slices(slices: DataFrame, key: str, null_slice: bool = True) -> list[Slic
 def slice_coverage(df: DataFrame, key: str, slices: Iterable[Slice]) -> DataFrame:
     """How many rows no slice, one slice, or several slices hold.
 
-    Values are counted first, so each distinct key is tested once.
+    Values are counted first, so each distinct key is tested once. The ranges
+    that hold a value are those begun at or before it less those ended by then,
+    two searches in sorted bounds instead of a test of every slice.
     """
     slices = list(slices)
     col = F.col(key)
-    ranges = [s for s in slices if not s.no_key and s.point is None]
-    points = [s.point for s in slices if s.point is not None]
-    held = F.when(col.isNull(), sum(s.no_key for s in slices)).otherwise(0)
+    ranges = [s for s in slices if not s.no_key and s.point is None and s.low < s.high]
+    points = Counter(s.point for s in slices if s.point is not None)
+    held = F.lit(0)
     if ranges:
-        bounds = F.array(*[F.struct(F.lit(s.low).alias("low"), F.lit(s.high).alias("high")) for s in ranges])
-        held = held + F.size(F.filter(bounds, lambda b: (col >= b["low"]) & (col < b["high"])))
-    if points:
-        held = held + F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: col == p))
+        begun, ended = (F.array(*[F.lit(b) for b in sorted(bs)]) for bs in ([s.low for s in ranges], [s.high for s in ranges]))
+        held = held + cuts_below(begun, col, inclusive=True) - cuts_below(ended, col, inclusive=True)
+    for times in set(points.values()):
+        held = held + F.when(col.isin([p for p, n in points.items() if n == times]), times).otherwise(0)
+    held = F.when(col.isNull(), sum(s.no_key for s in slices)).otherwise(held)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
     return counts.groupBy(held.alias("slices_holding")).agg(F.sum("rows").alias("rows"))
 

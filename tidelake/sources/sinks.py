@@ -32,7 +32,7 @@ def _text_options(null_mark: str) -> dict[str, str]:
     }
 
 
-def write_text(df: DataFrame, path: str, null_mark: str = NULL_MARK, rows_per_file: int = 1_000_000) -> None:
+def write_text(df: DataFrame, path: str, null_mark: str = NULL_MARK, rows_per_file: int = 100_000) -> None:
     """Delimited text in which NULL is a mark of its own.
 
     Files are kept small, because a file whose values span lines is read whole by one task.
@@ -52,6 +52,19 @@ def read_text(spark: SparkSession, path: str, schema: T.StructType, null_mark: s
     )
 
 
+def write_stats_csv(stats: DataFrame, folder: str, name: str) -> None:
+    """Statistics of one table, a row per column, as the file ``name.csv`` of a folder."""
+    spark = stats.sparkSession
+    written = f"{folder}/_{name}"
+    stats.coalesce(1).write.mode("overwrite").option("header", True).csv(written)
+    fs, _ = _path(spark, folder)
+    part = next(f.getPath() for f in fs.listStatus(_path(spark, written)[1]) if f.getPath().getName().endswith(".csv"))
+    fs.delete(_path(spark, f"{folder}/{name}.csv")[1], False)
+    if not fs.rename(part, _path(spark, f"{folder}/{name}.csv")[1]):
+        raise OSError(f"could not write {folder}/{name}.csv")
+    delete_path(spark, written)
+
+
 def quoted(name: str) -> str:
     """A dotted name with every part quoted."""
     return ".".join(f"`{p.replace('`', '``')}`" for p in name.split("."))
