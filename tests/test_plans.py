@@ -237,12 +237,19 @@ def test_sequential_distinct_equals_rebuild(spark, landing):
         assert parts.exceptAll(whole).isEmpty() and whole.exceptAll(parts).isEmpty()
 
 
+def test_sequential_distinct_of_nothing_empties_the_table(spark, landing):
+    name, path = gold_name(spark, "t_emptied")
+    G.rebuild(landing, TYPES, name, path)
+    assert G.sequential_distinct(landing.limit(0), TYPES, name, path, "day").isEmpty()
+
+
 def test_promote_steps(spark, landing):
     name, path = gold_name(spark, "t_promoted")
     early = landing.filter("day < '2020-01-05'")
-    step = lambda rows, style="INCREMENTAL": G.promote(spark, rows, name, path, TYPES, style, "day")
+    step = lambda rows, style="INCREMENTAL": G.promote(spark, rows, name, path, TYPES, style, "day", stats=True)
     clean = landing.filter("k <> 'x1' AND day IS NOT NULL")
     assert [step(early), step(clean), step(clean), step(clean, "UNKNOWN")] == ["CREATED", "APPENDED", "UP_TO_DATE", "UNKNOWN_STYLE"]
+    assert T.stored_stats(spark, name).first()["rows"] == spark.table(name).count()
     # promotion appends as landing holds the rows, so only what the first build saw is distinct
     assert spark.table(name).distinct().count() == 90
 

@@ -111,8 +111,9 @@ def spread_of(
 
     if fits:  # the rows of a key are together already, so nothing is joined or shuffled again
         centred = ranked.select("*", *centre(Window.partitionBy(*(keys or [F.lit(0)]))))
-    else:
-        centred = _attach(ranked, ranked.groupBy(*keys).agg(*centre(None)), keys)
+    else:  # ranks are used twice; the centres, written, are small enough to be broadcast or split
+        ranked = materialize(ranked, "ranks")
+        centred = _attach(ranked, materialize(ranked.groupBy(*keys).agg(*centre(None)), "centres"), keys)
     gap = x - F.col("_mean")
     away = centred.select(
         *keys, F.abs(x - F.col("median")).alias("_away"), (gap * gap * mult).alias("_square"), "_mult", "trimmed_mean", "median"

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tidelake.functions.predicates import compare, landed_day
 from tidelake.operators.joins import filter_by_keys, key_set
 from tidelake.operators.ordered import row_budget_groups
+from tidelake.operators.reports import compute_stats
 from tidelake.operators.schema import align, cast_columns
 from tidelake.sources.sinks import create_gold, insert_append, insert_overwrite
 
@@ -125,13 +126,17 @@ def promote(
     gold_key: str | None = None,
     landed: bool = True,
     fill_null: bool = False,
+    stats: bool = False,
 ) -> str:
     """Bring landing into gold: full conversion at first, then only what is new.
 
+    ``stats`` computes the table's statistics after a change, a pass over it.
     Returns ``CREATED``, ``APPENDED``, ``UP_TO_DATE`` or ``UNKNOWN_STYLE``.
     """
     if not spark.catalog.tableExists(table):
         rebuild(landing, types, table, path)
+        if stats:
+            compute_stats(spark, table)
         return "CREATED"
     gold = spark.table(table)
     gold_key = gold_key or landing_key
@@ -144,4 +149,6 @@ def promote(
     if rows.isEmpty():
         return "UP_TO_DATE"
     append_new(rows, table, fill_null)
+    if stats:
+        compute_stats(spark, table)
     return "APPENDED"
