@@ -390,6 +390,11 @@ def test_many_new_keys_use_a_join(spark):
     many = filter_by_keys(df, F.col("id"), keys, "id", limit=10)
     assert few.count() == many.count() == 40
     assert filter_by_keys(df, F.col("id"), keys.limit(0), "id").isEmpty()
+    typed = spark.range(9).select(
+        F.col("id").cast("string").cast("binary").alias("b"), (F.col("id") / 7).alias("d"), (F.col("id") % 2 == 0).alias("t"),
+        F.col("id").cast("decimal(9,2)").alias("n"), F.timestamp_micros(F.col("id") * 1234567891).alias("s"))
+    for c in typed.columns:
+        assert filter_by_keys(typed, F.col(c), typed.limit(5).select(c), c).count() >= 5
     odd = spark.createDataFrame([("it's",), ("a\\b",), ("${v}\n",), ("plain",), (None,)], "k string")
     assert filter_by_keys(odd, F.col("k"), odd, "k").count() == filter_by_keys(odd, F.col("k"), odd, "k", limit=1).count() == 4
 

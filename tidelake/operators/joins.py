@@ -106,11 +106,11 @@ def filter_by_keys(
     if not texts:
         return df.limit(0)
     keyed = df.withColumn("__value", value)
-    if len(texts) <= limit:
+    kind = wanted.schema["__key"].dataType.simpleString()
+    if len(texts) <= limit and kind != "binary":
         if not all(_PLAIN_TEXT.fullmatch(t) for t in texts):  # only text keys have other characters
             return df.filter(value.isin(texts))
         # one parsed expression: a list of single literals takes a second per thousand to build
-        kind = wanted.schema["__key"].dataType.simpleString()
         listed = ", ".join(f"CAST('{t}' AS {kind})" for t in texts)
         return keyed.filter(f"__value IN ({listed})").drop("__value")
     low, high = wanted.agg(F.min("__key"), F.max("__key")).first()
