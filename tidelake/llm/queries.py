@@ -1,4 +1,4 @@
 """All registered queries of this folder."""
 
-from tidelake.llm import q_chat, q_quality, q_vectors, q_warc  # noqa: F401
+from tidelake.llm import q_chat, q_langid, q_quality, q_vectors, q_warc  # noqa: F401
 from tidelake.llm.registry import ORACLES, QUERIES  # noqa: F401
