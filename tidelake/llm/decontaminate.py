@@ -33,16 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.arrays import Words, row_groups, shingles, utf8
+from tidelake.llm.bitmaps import bitmap, marked
 from tidelake.session import materialize
 
 WINDOW = 10
 SHINGLE = 3
-#: Bits of a token bitmap; 2 MB, whatever the benchmark.
-BITMAP_BITS = 24
 #: Words: ASCII letters and digits and all other characters from U+0080 on.
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[65:91] = IS_WORD[97:123] = IS_WORD[128:] = True
-_U = np.uint64
 
 
 def _word_groups(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
@@ -79,22 +77,6 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def bitmap(tokens: DataFrame) -> np.ndarray:
-    """A bitmap over the ``token`` column by the leading bits of the hash. Its size does not depend on the rows."""
-    bit = F.shiftrightunsigned("token", 64 - BITMAP_BITS)
-    marks = tokens.select((bit / 64).cast("int").alias("place"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int")).alias("mark"))
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    for r in marks.groupBy("place").agg(F.bit_or("mark").alias("marks")).collect():
-        out[r["place"]] = r["marks"] & (2**64 - 1)  # as unsigned
-    return out
-
-
-def marked(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Places of the tokens whose bit is set."""
-    at = tokens >> _U(64 - BITMAP_BITS)
-    return np.flatnonzero((bits[at >> _U(6)] >> (at & _U(63))) & _U(1))
-
-
 def token_sizes(windows: DataFrame) -> list[int]:
     """The shingle lengths that occur: below ``SHINGLE`` only for items of fewer words."""
     sizes = windows.select(F.least(F.octet_length("words") / 8, F.lit(SHINGLE)).cast("int").alias("k")).distinct()
@@ -165,11 +147,11 @@ def find_windows(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Data
     """(documents: row, doc_id, n_words), (hits: row, words, start, stop in words), (windows: words, item_id)."""
     windows = materialize(item_windows(benchmark), "windows")
     sizes = token_sizes(windows)
-    all_bits = bitmap(windows.select(F.explode("tokens").alias("token")))
+    all_bits = bitmap(windows.select(F.explode("tokens").alias("token")), "token")
     prefixes = materialize(prefix_tokens(windows, token_counts(docs, all_bits, sizes)), "prefixes")
     # a window whose rarest token occurs nowhere has no hit
     live = prefixes.filter("n > 0").drop("n")
-    places = candidate_places(docs, bitmap(live), sizes).withColumn("row", F.monotonically_increasing_id())
+    places = candidate_places(docs, bitmap(live, "token"), sizes).withColumn("row", F.monotonically_increasing_id())
     rows = materialize(places, "places")
     found = rows.select("row", F.explode("places").alias("p")).select("row", "p.*")
     size = (F.octet_length("words") / 8).cast("bigint")
