@@ -1,4 +1,4 @@
 """All registered queries of this folder."""
 
-from tidelake.llm import q_bpe, q_chat, q_decontaminate, q_jaccard, q_langid, q_quality, q_secrets, q_vectors, q_warc  # noqa: F401
+from tidelake.llm import q_bpe, q_chat, q_decontaminate, q_jaccard, q_langid, q_quality, q_repeats, q_secrets, q_vectors, q_warc  # noqa: F401
 from tidelake.llm.registry import ORACLES, QUERIES  # noqa: F401
