@@ -1,4 +1,10 @@
-"""All registered queries of this folder."""
+"""All registered queries of this folder, and the pipeline."""
 
-from tidelake.llm import q_bpe, q_chat, q_decontaminate, q_jaccard, q_langid, q_quality, q_repeats, q_secrets, q_vectors, q_warc  # noqa: F401
-from tidelake.llm.registry import ORACLES, QUERIES  # noqa: F401
+import corpus_pipeline
+from tidelake.llm import (  # noqa: F401
+    q_bpe, q_chat, q_decontaminate, q_jaccard, q_langid, q_quality, q_repeats, q_secrets, q_vectors, q_warc,
+)
+from tidelake.llm.registry import ORACLES, QUERIES, register
+
+if "pipeline" not in QUERIES:
+    register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
