@@ -18,6 +18,10 @@ ORDER_TYPES = {
 }
 
 
+# Partition keys of which some begin like others, one that is empty and one that is NULL.
+PART_SQL = "CASE {0} % 7 WHEN 0 THEN '1' WHEN 1 THEN '10' WHEN 2 THEN '11' WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN '2' ELSE 'n/a' END"
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from registered import register
 from registered.inputs import (
-    CATALOGUE_SQL, CUTOFF, FILES_SQL, LANDED_SQL, ORDER_TYPES, STATS_SQL,
+    CATALOGUE_SQL, CUTOFF, FILES_SQL, LANDED_SQL, ORDER_TYPES, PART_SQL, STATS_SQL,
     catalogue, files, lake_stats, landed, landed_twice, table,
 )
-from tidelake.functions.predicates import compare
+from tidelake.functions.predicates import compare, landed_day
 from tidelake.operators import aggregates as A
 from tidelake.operators import reports as R
 from tidelake.operators.schema import cast_columns
@@ -137,11 +137,59 @@ def gold_incr_watermark(spark, sf):
     return spark.table(name)
 
 
-@register("gold_incr_partitions", _ALL_ORDERS)
+@register("gold_incr_partitions", f"""
+SELECT DISTINCT {PART_SQL.format("o_custkey")} AS part, o_orderkey, o_orderdate FROM orders""")
 def gold_incr_partitions(spark, sf):
-    name, _, landing = _partly_promoted(spark, sf, "partitions")
-    gold = spark.table(name).withColumn("o_orderdate", F.col("o_orderdate").cast("date").cast("string"))
-    G.append_new(G.new_by_prefix(landing, gold, "o_orderdate", "o_orderdate"), name)
+    """Whole keys: 1 in gold hides neither 10 nor 11, nor the empty and the NULL partition. New rows come twice."""
+    name, path = new_table(spark, "partitions")
+    raw = scratch_path(spark, "partitions-raw")
+    K.land_append(landed_twice(table(spark, sf, "orders")).selectExpr(f"{PART_SQL.format('o_custkey')} AS part", "o_orderkey", "o_orderdate"), raw)
+    landing = spark.read.parquet(raw)
+    types = {"part": "string", "o_orderkey": "bigint", "o_orderdate": "timestamp_ntz"}
+    G.rebuild(landing.filter("part IN ('1', '2')"), types, name, path)
+    for _ in range(3):
+        G.promote(spark, landing, name, path, types, "PARTITION_UPDATE", "part")
+    return spark.table(name)
+
+
+@register("gold_incr_days", _ALL_ORDERS)
+def gold_incr_days(spark, sf):
+    """Landing holds timestamps as text, gold typed ones; partitions are days."""
+    name, path, landing = _partly_promoted(spark, sf, "days")
+    for _ in range(2):
+        G.promote(spark, landing, name, path, ORDER_TYPES, "PARTITION_UPDATE", "o_orderdate")
+    return spark.table(name)
+
+
+@register("promote_odd_days", """
+SELECT 'CREATED 1, APPENDED 0, UP_TO_DATE 0, UP_TO_DATE 0' AS steps, o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders
+UNION ALL SELECT 'CREATED 1, APPENDED 0, UP_TO_DATE 0, UP_TO_DATE 0', -1, NULL""")
+def promote_odd_days(spark, sf):
+    """Days landed padded or not, each urgent order twice, one unreadable: three promotions of unchanged landing."""
+    name, path = new_table(spark, "odd")
+    raw = scratch_path(spark, "odd-raw")
+    orders = table(spark, sf, "orders")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-M-d")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd 00:00:00"))
+    rows = orders.unionByName(orders.filter("o_orderpriority = '1-URGENT'")).select("o_orderkey", text.alias("day"))
+    K.land_append(rows.union(spark.createDataFrame([(-1, "n/a")], "o_orderkey bigint, day string")), raw)
+    landing = spark.read.parquet(raw)
+    types = {"o_orderkey": "bigint", "day": "date"}
+    early = landing.filter((landed_day("day") < F.lit(CUTOFF)) | landed_day("day").isNull())
+    ended = [G.promote(spark, rows, name, path, types, "INCREMENTAL", "day") for rows in (early, landing, landing, landing)]
+    steps = ", ".join(f"{r.status} {sum(r.failures.values())}" for r in ended)
+    return spark.table(name).select(F.lit(steps).alias("steps"), "o_orderkey", "day")
+
+
+@register("promote_timed", """
+SELECT event_id, date_trunc('second', ts) AS ts FROM events""")
+def promote_timed(spark, sf):
+    """Gold holds part of a day; the later seconds of that day are new."""
+    name, path = new_table(spark, "timed")
+    landing = table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    types = {"event_id": "bigint", "ts": "timestamp_ntz"}
+    G.promote(spark, landing.filter("ts <= '2024-01-20 12:00:00'"), name, path, types, "INCREMENTAL", "ts", timed=True)
+    for _ in range(2):
+        G.promote(spark, landing, name, path, types, "INCREMENTAL", "ts", timed=True)
     return spark.table(name)
 
 
@@ -156,7 +204,7 @@ def promote(spark, sf):
         for rows, style in ((early, "INCREMENTAL"), (landing, "INCREMENTAL"), (landing, "INCREMENTAL"), (landing, "UNKNOWN"))
     ]
     counted = spark.table(name).groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("rows"))
-    return counted.select(F.lit(", ".join(steps)).alias("steps"), "year", "rows")
+    return counted.select(F.lit(", ".join(s.status for s in steps)).alias("steps"), "year", "rows")
 
 
 @register("stats_present", f"WITH {STATS_SQL} SELECT table_name, rows <> -1 AND max_ndv <> -1 AS stat_present FROM stats")
@@ -288,7 +336,7 @@ def landing_to_gold(spark, sf):
     landing = spark.read.parquet(raw)
     G.rebuild(landing.filter(compare("o_orderdate", CUTOFF, "<", landed=True)), ORDER_TYPES, name, path)
     newer = G.new_since(landing, spark.table(name), "o_orderdate", "o_orderdate")
-    G.append_new(newer.dropDuplicates(), name)
+    G.append_new(newer, name)
     return spark.table(name).groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("num_rows"), F.max(F.col("o_orderdate").cast("date")).alias("newest_day")
     )

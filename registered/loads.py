@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registered import register
-from registered.inputs import CUTOFF, order_days, table
+from registered.inputs import CUTOFF, PART_SQL, order_days, table
 from tidelake.functions.predicates import compare
 from tidelake.operators import profile as P
+from tidelake.operators.joins import filter_by_keys
 from tidelake.plans import daily
 from tidelake.plans import incremental as I
 from tidelake.session import scratch_path
@@ -33,8 +34,9 @@ def land_sample(spark, sf):
     K.land_sample(orders, path, 10)
     K.land_sample(orders, path, 1000)
     sample = spark.read.parquet(path)
-    known = sample.join(orders.select("o_orderkey", F.lit(1).alias("known")), "o_orderkey", "left")
-    return known.agg(F.count(F.lit(1)).alias("landed"), F.count("known").alias("known"))
+    # the sample's few keys reduce the orders before anything is shuffled
+    known = filter_by_keys(orders, F.col("o_orderkey"), sample, "o_orderkey")
+    return sample.agg(F.count(F.lit(1)).alias("landed")).join(known.agg(F.countDistinct("o_orderkey").alias("known")), F.lit(True))
 
 
 @register("text_null_roundtrip", """
@@ -108,15 +110,33 @@ def incr_watermark_timed(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("incr_partitions", """
-SELECT l_linenumber, l_orderkey, l_partkey FROM lineitem""")
+@register("incr_partitions", f"""
+SELECT {PART_SQL.format("l_linenumber")} AS part, l_orderkey, l_linenumber, l_partkey FROM lineitem""")
 def incr_partitions(spark, sf):
     path = scratch_path(spark, "lake")
-    source = table(spark, sf, "lineitem")
-    K.land_append(source.filter("l_linenumber NOT IN (3, 6)"), path)
-    I.load_new_partitions(source, path, "l_linenumber")
-    I.load_new_partitions(source, path, "l_linenumber")
-    return spark.read.parquet(path).select("l_linenumber", "l_orderkey", "l_partkey")
+    source = table(spark, sf, "lineitem").selectExpr(f"{PART_SQL.format('l_linenumber')} AS part", "l_orderkey", "l_linenumber", "l_partkey")
+    K.land_append(source.filter("part IN ('1', 'n/a')"), path)
+    for _ in range(3):
+        I.load_new_partitions(source, path, "part")
+    return spark.read.parquet(path)
+
+
+@register("incr_watermark_landed", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderdate IS NOT NULL
+UNION ALL SELECT -1, 'n/a' UNION ALL SELECT -2, NULL UNION ALL SELECT -3, '99-1-1'""")
+def incr_watermark_landed(spark, sf):
+    """A lake of text days, some not padded and some unreadable, against a typed source."""
+    path = scratch_path(spark, "lake")
+    orders = table(spark, sf, "orders").filter("o_orderdate IS NOT NULL")
+    plain = F.date_format("o_orderdate", "yyyy-M-d")
+    early = orders.filter(compare("o_orderdate", CUTOFF, "<="))
+    odd = spark.createDataFrame([(-1, "n/a"), (-2, None), (-3, "99-1-1")], "o_orderkey bigint, day string")
+    K.land_append(early.select("o_orderkey", plain.alias("day")).union(odd), path)
+    for _ in range(2):
+        rows = I.rows_after_watermark(orders.withColumn("day", F.col("o_orderdate")), spark.read.parquet(path), "day", landed=True)
+        K.land_append(rows.select("o_orderkey", plain.alias("day")), path)
+    lake = spark.read.parquet(path)
+    return lake.select("o_orderkey", F.when(F.col("o_orderkey") < 0, F.col("day")).otherwise(F.date_format(F.to_date("day", "y-M-d"), "yyyy-MM-dd")).alias("day"))
 
 
 # Source days, a lake without every seventh, a ledger that knows some of those, some incoming last time.

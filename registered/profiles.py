@@ -168,12 +168,12 @@ def widen_range(spark, sf):
 
 
 @register("split_viable", """
-WITH r AS (SELECT min(o_custkey) AS lo, max(o_custkey) AS hi FROM orders WHERE o_totalprice > 499000)
+WITH r AS (SELECT min(o_custkey) AS lo, max(o_custkey) AS hi FROM orders)
 SELECT bool_or(o_custkey >= lo AND o_custkey <= lo + (hi - lo) / 2.0) AS lower_half, bool_or(o_custkey >= lo + (hi - lo) / 2.0 AND o_custkey <= hi) AS upper_half,
        bool_or(o_custkey >= lo AND o_custkey <= lo + (hi - lo) / 2.0) AND bool_or(o_custkey >= lo + (hi - lo) / 2.0 AND o_custkey <= hi) AS viable
-FROM orders, r WHERE o_totalprice > 499000""")
+FROM orders, r""")
 def split_viable(spark, sf):
-    return P.split_viable(table(spark, sf, "orders").filter("o_totalprice > 499000"), "o_custkey")
+    return P.split_viable(table(spark, sf, "orders"), "o_custkey")
 
 
 def _analysed(spark, sf):

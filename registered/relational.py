@@ -22,6 +22,7 @@ from tidelake.operators import joins as J
 from tidelake.operators import schema as S
 from tidelake.operators import sets as U
 from tidelake.plans import gold as G
+from tidelake.session import materialize
 from tidelake.sources.files import scan_parquet
 
 
@@ -135,14 +136,14 @@ def compare_ts(spark, sf):
 
 @register("prefix_in", f"""
 WITH {LANDED_SQL},
-wanted AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS k FROM orders WHERE o_totalprice > 490000),
-cut AS (SELECT least((SELECT min(length(k)) FROM wanted), (SELECT min(length(o_orderdate)) FROM landing)) AS n)
-SELECT o_orderkey, o_orderdate FROM landing
-WHERE substr(o_orderdate, 1, (SELECT n FROM cut)) IN (SELECT substr(k, 1, (SELECT n FROM cut)) FROM wanted)""")
+wanted AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS k FROM orders WHERE day(o_orderdate) = 14 UNION ALL SELECT '' UNION ALL SELECT '1995')
+SELECT o_orderkey, o_orderdate FROM landing WHERE substr(o_orderdate, 1, 10) IN (SELECT k FROM wanted)""")
 def prefix_in(spark, sf):
     orders = table(spark, sf, "orders")
-    wanted = orders.filter("o_totalprice > 490000").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("k"))
-    return G.prefix_in(landed(orders), "o_orderdate", wanted, "k").select("o_orderkey", "o_orderdate")
+    wanted = orders.filter("day(o_orderdate) = 14").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("k"))
+    # neither an empty nor a short key shortens the comparison
+    wanted = wanted.union(spark.createDataFrame([("",), ("1995",)], "k string"))
+    return G.prefix_in(landed(orders), "o_orderdate", wanted, "k", 10).select("o_orderkey", "o_orderdate")
 
 
 @register("range_slice", """
@@ -160,9 +161,24 @@ def sample_rows(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy("o_orderkey").limit(20)
 
 
-@register("percent_sample")
+@register("percent_sample", """
+SELECT true AS about_wanted, true AS known, true AS once, true AS clipped FROM lineitem HAVING count(*) > 0""")
 def percent_sample(spark, sf):
-    return P.percent_sample(table(spark, sf, "lineitem"), 5.0).select("l_orderkey", "l_linenumber", "l_shipdate")
+    """A twentieth of the rows, within six standard deviations; all known, none twice; the percentage clipped."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    sample = materialize(P.percent_sample(lines, 5.0), "sample")
+    rows = lines.count()
+    few = P.percent_sample(lines, P.sample_percent_for(rows, rows // 10))
+    spread = 6 * (rows * 0.05 * 0.95) ** 0.5
+    found = sample.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey", "l_linenumber", "l_shipdate").alias("d"))
+    apart = sample.exceptAll(lines).agg(F.count(F.lit(1)).alias("strange"))
+    twice = lines.groupBy("l_orderkey", "l_linenumber", "l_shipdate").count().agg(F.sum(F.col("count") - 1).alias("equal"))
+    part = few.agg(F.count(F.lit(1)).alias("few"))
+    one = found.join(apart, F.lit(True)).join(part, F.lit(True)).join(twice, F.lit(True))
+    return one.select(
+        (F.abs(F.col("n") - rows * 0.05) <= spread).alias("about_wanted"), (F.col("strange") == 0).alias("known"),
+        (F.col("n") - F.col("d") <= F.col("equal")).alias("once"), (F.col("few") < F.lit(rows)).alias("clipped"),
+    )
 
 
 @register("catalogue_flags", """
@@ -279,10 +295,10 @@ def join_semi(spark, sf):
 
 @register("join_natural", """
 SELECT l_partkey, l_orderkey, l_quantity, p_name, p_size
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 25""")
+FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def join_natural(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_quantity")
-    parts = table(spark, sf, "part").filter("p_size < 25").select(
+    parts = table(spark, sf, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.lit(0.0).alias("L_QUANTITY"), "p_name", "p_size"
     )
     return J.natural_join(lines, parts, "l_partkey")
@@ -297,7 +313,7 @@ def ordered_catalogue(spark, sf):
 
 @register("tables_per_owner", f"WITH {CATALOGUE_SQL} SELECT db, count(*) AS num_tables FROM catalogue GROUP BY db")
 def tables_per_owner(spark, sf):
-    return C.tables_per_owner(catalogue(spark, sf)).select("db", "num_tables").distinct()
+    return C.owner_counts(catalogue(spark, sf))
 
 
 @register("union_distinct", f"""

@@ -136,9 +136,18 @@ def column_profile(spark, sf):
     return out.withColumn("avg_col_len", F.round("avg_col_len", 6))
 
 
-@register("column_profile_sketch")
+@register("column_profile_sketch", f"""
+SELECT column_name, data_type, true AS within_error, num_nulls, is_null_ever, avg_col_len, low_value, high_value FROM ({_profile_sql()})""")
 def column_profile_sketch(spark, sf):
-    return P.column_profile(table(spark, sf, "lineitem"))
+    """All but the distinct values is exact; these are within four times the sketch's standard error of 5 percent."""
+    customers = _profiled(spark, sf)
+    sketch = P.column_profile(customers, list(_PROFILED))
+    exact = P.column_profile(customers, list(_PROFILED), exact=True).select("column_name", F.col("num_distinct").alias("n"))
+    near = F.abs(F.col("num_distinct") - F.col("n")) <= F.greatest(0.2 * F.col("n"), F.lit(1.0))
+    return sketch.join(exact, "column_name").select(
+        "column_name", "data_type", near.alias("within_error"), "num_nulls", "is_null_ever",
+        F.round("avg_col_len", 6).alias("avg_col_len"), "low_value", "high_value",
+    )
 
 
 @register("storage_balance", f"""
@@ -154,9 +163,10 @@ def storage_balance(spark, sf):
 
 
 @register("concat_per_key", """
-SELECT conv_id, 0 AS part, string_agg(text, chr(10) ORDER BY turn) AS joined FROM conversations GROUP BY 1""")
+WITH u AS (SELECT *, sum(coalesce(strlen(text), 0) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM conversations)
+SELECT conv_id, CAST((upto - 1) // 600 AS BIGINT) AS part, string_agg(text, chr(10) ORDER BY turn) AS joined FROM u GROUP BY 1, 2""")
 def concat_per_key(spark, sf):
-    return A.concat_per_key(table(spark, sf, "conversations"), "conv_id", "turn", "text")
+    return A.concat_per_key(table(spark, sf, "conversations"), "conv_id", "turn", "text", bytes_per_part=1200)
 
 
 @register("small_domain_values", """
@@ -199,14 +209,15 @@ def row_budget_groups(spark, sf):
     return O.row_budget_groups(counts, "day", "cnt", _BUDGET)
 
 
-GAP_SQL = """days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice > 490000),
+GAP_SQL = """days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE day(o_orderdate) IN (3, 5, 20) OR month(o_orderdate) = 7),
 starts AS (SELECT day, CASE WHEN lag(day) OVER (ORDER BY day) IS NULL OR day - lag(day) OVER (ORDER BY day) >= 6 THEN 1 ELSE 0 END AS s FROM days),
 gaps AS (SELECT day, CAST(sum(s) OVER (ORDER BY day) AS BIGINT) AS group_id FROM starts)"""
 
 
 def gap_days(spark, sf):
     return O.gap_groups(
-        table(spark, sf, "orders").filter("o_totalprice > 490000").select(F.col("o_orderdate").cast("date").alias("day")), "day"
+        table(spark, sf, "orders").filter("day(o_orderdate) IN (3, 5, 20) OR month(o_orderdate) = 7")
+        .select(F.col("o_orderdate").cast("date").alias("day")), "day"
     )
 
 

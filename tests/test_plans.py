@@ -248,16 +248,69 @@ def test_promote_steps(spark, landing):
     early = landing.filter("day < '2020-01-05'")
     step = lambda rows, style="INCREMENTAL": G.promote(spark, rows, name, path, TYPES, style, "day", stats=True)
     clean = landing.filter("k <> 'x1' AND day IS NOT NULL")
-    assert [step(early), step(clean), step(clean), step(clean, "UNKNOWN")] == ["CREATED", "APPENDED", "UP_TO_DATE", "UNKNOWN_STYLE"]
+    ended = [step(early), step(clean), step(clean), step(clean, "UNKNOWN")]
+    assert [e.status for e in ended] == ["CREATED", "APPENDED", "UP_TO_DATE", "UNKNOWN_STYLE"]
     assert T.stored_stats(spark, name).first()["rows"] == spark.table(name).count()
-    # promotion appends as landing holds the rows, so only what the first build saw is distinct
-    assert spark.table(name).distinct().count() == 90
+    # rows are distinct after every step, as after a rebuild
+    assert spark.table(name).distinct().count() == spark.table(name).count() == 90
 
 
-def test_promotion_by_prefix(spark):
-    landing = spark.createDataFrame([("2020-01-01 00:00:00", 1), ("2020-01-02 10:00:00", 2), (None, 3)], "p string, v int")
-    gold = spark.createDataFrame([("2020-01-01",)], "p string")
-    assert [r["v"] for r in G.new_by_prefix(landing, gold, "p", "p").collect()] == [2]
+def test_promotion_by_whole_partition_keys(spark):
+    landing = spark.createDataFrame([("2020-01-01 00:00:00", 1), ("2020-01-02 10:00:00", 2), (None, 3), ("n/a", 4)], "p string, v int")
+    gold = spark.createDataFrame([(D(2020, 1, 1),)], "p date")
+    assert sorted(r["v"] for r in G.new_partitions(landing, gold, "p", "p").collect()) == [2, 3, 4]
+    with_null = spark.createDataFrame([(D(2020, 1, 1),), (None,)], "p date")
+    assert [r["v"] for r in G.new_partitions(landing, with_null, "p", "p").collect()] == [2]
+    keys = spark.createDataFrame([(k, i) for i, k in enumerate(["1", "10", "11", "2", "", None])], "p string, v int")
+    assert sorted(r["v"] for r in G.new_partitions(keys, spark.createDataFrame([("1",)], "p string"), "p", "p").collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r["v"] for r in G.new_partitions(keys, spark.createDataFrame([(1,)], "p int"), "p", "p").collect()) == [1, 2, 3, 4, 5]
+
+
+def test_sequential_distinct_keeps_days_that_are_not_padded(spark):
+    days = [f"1995-{m:02d}-15" for m in range(1, 13)] + ["1995-6-30", "1995-3-1", "n/a", None]
+    rows = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "day string, v int")
+    types = {"day": "date", "v": "int"}
+    whole = G.rebuild(rows, types, *gold_name(spark, "t_odd_whole"))
+    parts = G.sequential_distinct(rows, types, *gold_name(spark, "t_odd_parts"), "day", budget=2)
+    assert parts.count() == whole.count() == 16 and parts.exceptAll(whole).isEmpty()
+
+
+def test_watermark_ignores_unreadable_text(spark):
+    lake = spark.createDataFrame([("2020-01-05",), ("n/a",), ("2020-1-7 10:00:00",), (None,)], "d string")
+    source = spark.createDataFrame([(dt.datetime(2020, 1, 7, 12),), (dt.datetime(2020, 1, 8),)], "d timestamp_ntz")
+    assert I.rows_after_watermark(source, lake, "d", landed=True).count() == 1
+    assert I.rows_after_watermark(source, lake, "d", landed=True, timed=True).count() == 2
+
+
+def test_null_partition_is_loaded_once(spark):
+    from tidelake.session import scratch_path
+
+    path = scratch_path(spark, "null-part")
+    source = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "p string, v int")
+    source.filter("p = 'a'").write.parquet(path)
+    assert [I.load_new_partitions(source, path, "p") for _ in range(3)] == ["LOADED", "UP_TO_DATE", "UP_TO_DATE"]
+    assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_upsert_settles_or_refuses_repeated_keys(spark):
+    old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, at int")
+    new = spark.createDataFrame([(1, "x", 5), (1, "y", 9), (3, "z", 1)], "k int, v string, at int")
+    with pytest.raises(ValueError, match="share a key"):
+        I.keyed_upsert(old, new, ["k"])
+    assert sorted((r["k"], r["v"]) for r in I.keyed_upsert(old, new, ["k"], order="at").collect()) == [(1, "y"), (2, "b"), (3, "z")]
+
+
+@pytest.mark.parametrize("text, kind", [
+    ("2024-01-15", "date"), ("2024/01/15", "date"), ("2024-01-15 10:00:00", "timestamp"), ("20240115", "str"), ("2024-W03", "str"),
+    ("2024-01/15", "str"), ("2024-02-31", "str"), ("2024-01-15T10:00:00+01:00", "str"), ("2024-1-5", "str"),
+])
+def test_literal_classes(text, kind):
+    assert P.literal_class(text) == kind
+
+
+def test_a_time_with_a_zone_is_refused():
+    with pytest.raises(ValueError, match="zone"):
+        P.compare("t", dt.datetime(2024, 1, 15, tzinfo=dt.timezone.utc))
 
 
 def test_cast_failures_and_malformed_values(spark, landing):

@@ -104,6 +104,34 @@ def test_poll_takes_up_where_it_stopped(spark):
     assert got.count() == 100 and got.distinct().count() == 100
 
 
+def test_poll_counts_every_batch(spark):
+    folder, target, state = (scratch_path(spark, n) for n in ("in", "out", "state"))
+    spark.range(105).repartition(105, "id").sortWithinPartitions("id").write.option("maxRecordsPerFile", 1).parquet(folder)
+    files = len([f for f in spark.read.parquet(folder).inputFiles()])
+    assert files == 105
+    assert poll.poll_landing(spark, folder, spark.range(1).schema, target, state, files_per_batch=1) == 105
+    assert poll.read_polled(spark, target).count() == 105
+
+
+def test_scratch_needs_a_shared_folder_and_can_be_cleared(spark):
+    from tidelake import session
+    from tidelake.sources.sinks import path_exists
+
+    class Bare:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_root(Bare)
+    assert session.local_session() is not None and session.shared_root(spark)
+    other = f"{scratch_path(spark, 'kept')}"
+    spark.range(3).write.parquet(other)
+    assert path_exists(spark, other)
+
+
 # --- analysis, plan and import together ----------------------------------------
 
 from tidelake.plans import imports as M  # noqa: E402

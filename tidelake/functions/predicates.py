@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _OPS = ("=", "!=", "<", "<=", ">", ">=")
+# dashed or slashed dates only: digit strings, week dates and times with an offset are text
+_DATE = re.compile(r"\d{4}([-/])\d{2}\1\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?")
 
 
 def literal_class(value) -> str:
@@ -17,11 +20,14 @@ def literal_class(value) -> str:
     if isinstance(value, dt.date):
         return "date"
     if isinstance(value, str):
+        text = value.strip()
+        if not _DATE.fullmatch(text):
+            return "str"
         try:
-            dt.datetime.fromisoformat(value.strip().replace("/", "-"))
+            dt.datetime.fromisoformat(text.replace("/", "-"))
         except ValueError:
             return "str"
-        return "timestamp" if len(value.strip()) > 10 else "date"
+        return "timestamp" if len(text) > 10 else "date"
     return "num"
 
 
@@ -82,7 +88,9 @@ def compare(column: str | Column, value, op: str = "=", landed: bool = False) ->
         if landed:
             return compare_prefix(col, op, day.isoformat())
         return _span(col, op, F.lit(day), F.lit(day + dt.timedelta(days=1)))
-    second = moment.replace(microsecond=0, tzinfo=None)
+    if moment.tzinfo is not None:
+        raise ValueError("columns hold times without a zone; convert the value first")
+    second = moment.replace(microsecond=0)
     if landed:
         return compare_prefix(col, op, second.strftime("%Y-%m-%d %H:%M:%S"))
     ntz = [F.lit(str(m)).cast("timestamp_ntz") for m in (second, second + dt.timedelta(seconds=1))]
@@ -94,6 +102,11 @@ def landed_day(column: str | Column) -> Column:
     return F.substring(column, 1, 10).try_cast("date")
 
 
+def landed_second(column: str | Column) -> Column:
+    """The second of a time landed as text; a date alone is its midnight, unreadable text gives NULL."""
+    return F.substring(column, 1, 19).try_cast("timestamp_ntz")
+
+
 def in_range(column: str, low, high, closed: bool = False) -> Column:
     """``low <= column < high``; ``closed`` keeps the upper end, as slices with shared ends once did."""
     col = F.col(column)

@@ -19,7 +19,6 @@ from tidelake.operators.ordered import (
 from tidelake.session import materialize
 from tidelake.sources.sinks import quoted
 
-BYTES_PER_PART = 64 * 1024 * 1024
 MAD_SCALE = 1.4826  # makes the median absolute deviation a standard deviation for normal data
 
 
@@ -151,26 +150,20 @@ def quantile_of(
 
 
 def concat_per_key(
-    df: DataFrame, key: str, order: str, text: str, separator: str = "\n",
-    bytes_per_part: int = BYTES_PER_PART, rows_per_bucket: int = ROWS_PER_BUCKET,
+    df: DataFrame, key: str, order: str, text: str, bytes_per_part: int, separator: str = "\n",
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Texts of a key joined in order; ``order`` is unique within a key.
 
-    A key with more than ``bytes_per_part`` of text goes on in further rows,
-    numbered by ``part``, so that no task holds a whole hot key and no value
-    nears the 2 GB it can hold.
+    A key is cut into rows numbered by ``part``: a text goes to the part in
+    which it ends, in steps of half of ``bytes_per_part``. So no task holds a
+    whole hot key, and a part stays within the bytes given unless one text is
+    more than half of them. Numbers rise and may leave gaps.
     """
     slim = df.select(key, order, text)
     width = F.coalesce(F.octet_length(text), F.lit(0)) + len(separator.encode())
-    sizes = slim.groupBy(key).agg(F.sum(width).alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-    largest = sizes.agg(F.max("_bytes").alias("bytes"), F.max("_rows").alias("rows")).first()
-    if (largest["bytes"] or 0) <= bytes_per_part:
-        cut = slim.withColumn("part", F.lit(0))
-    else:
-        upto = running_total(
-            slim, order, {"_upto": width}, [key], rows_per_bucket=rows_per_bucket, fits=largest["rows"] <= rows_per_bucket
-        )
-        cut = upto.withColumn("part", F.floor((F.col("_upto") - width) / bytes_per_part).cast("int"))
+    upto = running_total(slim, order, {"_upto": width}, [key], rows_per_bucket=rows_per_bucket)
+    cut = upto.withColumn("part", F.floor((F.col("_upto") - 1) / max(bytes_per_part // 2, 1)).cast("bigint"))
     pieces = F.array_sort(F.collect_list(F.struct(order, text)))
     return cut.groupBy(key, "part").agg(
         F.array_join(F.transform(pieces, lambda p: p[text]), separator).alias("joined")

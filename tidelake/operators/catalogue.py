@@ -22,10 +22,18 @@ def table_catalogue(tables: DataFrame, views: DataFrame) -> DataFrame:
     )
 
 
+def owner_counts(catalogue: DataFrame) -> DataFrame:
+    """Each owner's number of tables."""
+    return catalogue.groupBy("db").agg(F.count(F.lit(1)).alias("num_tables"))
+
+
 def tables_per_owner(catalogue: DataFrame) -> DataFrame:
-    """The catalogue with the owner's number of tables."""
-    counts = catalogue.groupBy("db").agg(F.count(F.lit(1)).alias("num_tables"))
-    return catalogue.join(counts, "db")
+    """The catalogue with the owner's number of tables.
+
+    The counts are written first: Spark can split a large owner's rows in a
+    join, but not while an aggregate stands between shuffle and join.
+    """
+    return catalogue.join(materialize(owner_counts(catalogue), "owner-counts"), "db")
 
 
 def ordered_catalogue(catalogue: DataFrame) -> DataFrame:
@@ -116,13 +124,15 @@ def majority_remap(
 
     A column with more than half of its upper-cased values among the map's
     ``search`` values takes the ``replace`` values, unknown ones NULL; other
-    text columns come out upper-cased. Rows without ``required`` are dropped.
+    text columns come out upper-cased. Of replacements for names that differ in
+    case only the smallest counts. Rows without ``required`` are dropped.
     """
     columns = list(columns or [f.name for f in df.schema if f.dataType.simpleString() == "string"])
     shares = remap_shares(df, mapping, columns).filter("share > 0.5").select("column_name").collect()
     chosen = {r["column_name"] for r in shares}
     out = df
-    keys = mapping.select(F.upper("search").alias("__search"), F.col("replace").alias("__replace")).dropDuplicates(["__search"])
+    keys = mapping.groupBy(F.upper("search").alias("__search")).agg(F.min("replace").alias("__replace"))
+    keys = materialize(keys, "remap") if chosen else keys
     for c in columns:
         if c in chosen:
             out = (

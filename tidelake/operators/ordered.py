@@ -52,12 +52,26 @@ def bucket_by_order(
 
     Keys that fit keep bucket 0. The flag says whether any key was cut. The
     order column is numeric, a date or a timestamp. ``fits`` says the caller
-    has found no key with more than ``rows_per_bucket`` rows.
+    has found no key with more than ``rows_per_bucket`` rows. One step makes at
+    most ``MAX_CUTS`` buckets of a key; buckets that are still above twice the
+    budget are cut again, until all fit or hold a single value.
     """
     keys = list(keys)
     largest = 0 if fits else largest_key(df, keys)
     if largest <= rows_per_bucket:
-        return df.withColumn(BUCKET, F.lit(0)), False
+        return df.withColumn(BUCKET, F.lit(0).cast("bigint")), False
+    cut = _cut_once(df, keys, order, rows_per_bucket, largest)
+    while True:
+        before, largest = largest, largest_key(cut, [*keys, BUCKET])
+        if largest <= 2 * rows_per_bucket or largest >= before:
+            return cut, True
+        outer = cut.withColumnRenamed(BUCKET, "_outer")
+        again = _cut_once(outer, [*keys, "_outer"], order, rows_per_bucket, largest)
+        cut = again.withColumn(BUCKET, F.col("_outer") * MAX_CUTS + F.col(BUCKET)).drop("_outer")
+
+
+def _cut_once(df: DataFrame, keys: list[str], order: str, rows_per_bucket: int, largest: int) -> DataFrame:
+    """Add ``_bucket``, up to ``MAX_CUTS`` of them per key."""
     cuts = min(MAX_CUTS, math.ceil(2 * largest / rows_per_bucket))
     at = F.percentile_approx(order, [i / cuts for i in range(1, cuts)], 10_000).alias("_cuts")
     # a sample places the cuts, as in Spark's range partitioning; every row then goes to its bucket
@@ -65,7 +79,7 @@ def bucket_by_order(
     if not keys:
         points = slim.agg(at).first()[0] or []
         literal = F.array(*[F.lit(p) for p in points])
-        return df.withColumn(BUCKET, cuts_below(literal, F.col(order))), True
+        return df.withColumn(BUCKET, cuts_below(literal, F.col(order)).cast("bigint"))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     hot = materialize(sizes.filter(F.col("_rows") > rows_per_bucket).select(*keys), "hot-keys")
     bounds = materialize(
@@ -73,7 +87,7 @@ def bucket_by_order(
     )
     out = null_safe_join(df, bounds, keys, "left")
     bucket = F.when(F.col("_cuts").isNull(), 0).otherwise(cuts_below(F.col("_cuts"), F.col(order)))
-    return out.withColumn(BUCKET, bucket).drop("_cuts"), True
+    return out.withColumn(BUCKET, bucket.cast("bigint")).drop("_cuts")
 
 
 def running_total(
@@ -104,7 +118,7 @@ def running_total(
     sums = cut.groupBy(*part).agg(
         *[F.sum(w).alias(f"_sum_{n}") for n, w in {**weights, **totals}.items()]
     )
-    whole = Window.partitionBy(*keys)  # one row per bucket, so at most MAX_CUTS rows a key
+    whole = Window.partitionBy(*keys)  # one row per bucket
     before = whole.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(
         *part,

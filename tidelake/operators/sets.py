@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelake.operators.joins import key_set, null_safe_join
+
 
 def union_distinct(*frames: DataFrame) -> DataFrame:
     """Union by name, columns a frame lacks as NULL, duplicates removed."""
@@ -24,11 +26,13 @@ def union_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def except_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    return left.select(key).subtract(right.select(key))
+    """Distinct keys of the left without those of the right; frequent keys merge before either is shuffled."""
+    return null_safe_join(key_set(left, [key]), key_set(right, [key]), [key], "left_anti")
 
 
 def intersect_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    return left.select(key).intersect(right.select(key))
+    """Distinct keys of both sides; frequent keys merge before either is shuffled."""
+    return null_safe_join(key_set(left, [key]), key_set(right, [key]), [key], "left_semi")
 
 
 def symmetric_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelake.functions.predicates import compare, landed_day
-from tidelake.operators.joins import filter_by_keys, key_set
+from tidelake.functions.predicates import compare, landed_day, landed_second
+from tidelake.operators.joins import filter_by_keys, key_set, null_safe_join
 from tidelake.operators.ordered import row_budget_groups
 from tidelake.operators.reports import compute_stats
-from tidelake.operators.schema import align, cast_columns
-from tidelake.sources.sinks import create_gold, insert_append, insert_overwrite
+from tidelake.operators.schema import align, cast_columns, cast_failures
+from tidelake.session import materialize, scratch_path
+from tidelake.sources.sinks import create_gold, insert_append, insert_overwrite, path_exists
 
 ROWS_PER_GROUP = 100_000_000
 
@@ -30,16 +31,6 @@ def rebuild(landing: DataFrame, types: Mapping[str, str], table: str, path: str)
     return landing.sparkSession.table(table)
 
 
-def budget_ranges(landing: DataFrame, day: Column, budget: int) -> DataFrame:
-    """First and last day of every row-budget group; rows without a day are group -1."""
-    counts = landing.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("cnt"))
-    return (
-        row_budget_groups(counts, "day", "cnt", budget)
-        .groupBy("group_id")
-        .agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.sum("cnt").alias("rows"))
-    )
-
-
 def sequential_distinct(
     landing: DataFrame,
     types: Mapping[str, str],
@@ -49,70 +40,90 @@ def sequential_distinct(
     landed: bool = True,
     budget: int = ROWS_PER_GROUP,
 ) -> DataFrame:
-    """As ``rebuild``, but one bounded insert per group of days.
+    """As ``rebuild``, but one bounded distinct per group of days.
 
-    Equal rows share their day, so the groups together hold the distinct rows.
-    Each insert reads only its days. The plain rebuild spills and is the
-    default; this bounds the working space of one insert.
+    Equal rows share their parsed day, so the groups together hold the distinct
+    rows; rows without a readable day are group -1. Landing is read twice,
+    whatever the number of groups: once to count days, once to write the typed
+    rows by group. The table changes in one insert at the end. The plain rebuild
+    spills and is the default; this bounds the working space of one distinct.
     """
     spark = landing.sparkSession
     day = landed_day(split_column) if landed else F.col(split_column).cast("date")
-    groups = budget_ranges(landing, day, budget).orderBy("group_id").collect()
-    create_gold(spark, table, gold_schema(types), path)
-    for i, g in enumerate(groups):
-        if g["group_id"] == -1:
-            rows = landing.filter(day.isNull())
-        else:
-            rows = landing.filter(
-                compare(split_column, g["lo"], ">=", landed) & compare(split_column, g["hi"], "<=", landed)
-            ).filter(day.isNotNull())
-        write = insert_overwrite if i == 0 else insert_append
-        write(cast_columns(rows, types).dropDuplicates(), table)
-    if not groups:  # an empty landing leaves an empty table, not the files of the one before
-        insert_overwrite(cast_columns(landing, types).limit(0), table)
+    counts = landing.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_cnt"))
+    groups = materialize(row_budget_groups(counts, "_day", "_cnt", budget).select("_day", F.col("group_id").alias("_group")), "day-groups")
+    raw, staged = scratch_path(spark, "by-group"), scratch_path(spark, "distinct")
+    typed = landing.withColumn("_day", day).select("_day", *[F.col(c).try_cast(t).alias(c) for c, t in types.items()])
+    grouped = null_safe_join(typed, groups, ["_day"], "left").drop("_day")
+    grouped.write.partitionBy("_group").parquet(raw)
+    schema = gold_schema(types)
+    for group in range(-1, (groups.agg(F.max("_group")).first()[0] or 0) + 1):
+        if path_exists(spark, f"{raw}/_group={group}"):
+            spark.read.schema(schema).parquet(f"{raw}/_group={group}").dropDuplicates().write.mode("append").parquet(staged)
+    create_gold(spark, table, schema, path)
+    done = spark.read.schema(schema).parquet(staged) if path_exists(spark, staged) else cast_columns(landing, types).limit(0)
+    insert_overwrite(done, table)
     return spark.table(table)
 
 
 def new_since(
     landing: DataFrame, gold: DataFrame, landing_key: str, gold_key: str, landed: bool = True, timed: bool = False
 ) -> DataFrame:
-    """Landing rows after gold's newest day, or second if ``timed``; all rows when gold is empty."""
+    """Landing rows after gold's newest day, or second if ``timed``; all rows when gold is empty.
+
+    Keys landed as text are compared by what they parse to, padded or not. Rows
+    whose key cannot be read come in by a rebuild only. The year, which leads
+    the text in any form, is compared as text besides, so that scans can skip.
+    """
     newest = gold.agg(F.max(F.col(gold_key).cast("timestamp_ntz" if timed else "date"))).first()[0]
-    return landing if newest is None else landing.filter(compare(landing_key, newest, ">", landed))
+    if newest is None:
+        return landing
+    if not landed:
+        return landing.filter(compare(landing_key, newest, ">"))
+    parsed = landed_second(landing_key) if timed else landed_day(landing_key)
+    top = F.lit(str(newest.replace(microsecond=0))).cast("timestamp_ntz") if timed else F.lit(newest)
+    return landing.filter((F.col(landing_key) >= f"{newest.year:04d}") & (parsed > top))
+
+
+def new_partitions(landing: DataFrame, gold: DataFrame, landing_key: str, gold_key: str) -> DataFrame:
+    """Landing rows whose partition gold does not have.
+
+    Whole keys are compared as gold's type, dates and times by day. NULL, also
+    from text that cannot be read, is a partition of its own.
+    """
+    kind = gold.schema[gold_key].dataType
+    mine, theirs = F.col(landing_key).try_cast(kind), F.col(gold_key)
+    if kind.typeName() in ("date", "timestamp", "timestamp_ntz"):
+        text = landing.schema[landing_key].dataType.typeName() == "string"
+        mine = landed_day(landing_key) if text else F.col(landing_key).cast("date")
+        theirs = theirs.cast("date")
+    have = key_set(gold.select(theirs.alias("_key")), ["_key"])
+    new = materialize(null_safe_join(key_set(landing.select(mine.alias("_key")), ["_key"]), have, ["_key"], "left_anti"), "new-keys")
+    return null_safe_join(landing.withColumn("_key", mine), new, ["_key"], "left_semi").drop("_key")
+
 
+def prefix_in(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, length: int) -> DataFrame:
+    """Rows whose key agrees in its first ``length`` characters with a wanted key."""
+    cut = wanted.select(F.substring(F.col(wanted_key).cast("string"), 1, length).alias("k"))
+    return filter_by_keys(df, F.substring(F.col(key).cast("string"), 1, length), cut, "k")
 
-def shortest_length(*keys: DataFrame) -> int:
-    """The shortest text length among the first columns of the frames, in one job."""
-    lengths = [k.agg(F.min(F.length(F.col(k.columns[0]).cast("string"))).alias("n")) for k in keys]
-    return reduce(DataFrame.union, lengths).agg(F.min("n")).first()[0] or 0
 
+class Promoted(NamedTuple):
+    """How a promotion ended, and how many values of each column could not be read."""
 
-def new_by_prefix(landing: DataFrame, gold: DataFrame, landing_key: str, gold_key: str) -> DataFrame:
-    """Landing rows whose key, cut to the shortest length on both sides, is new to gold."""
-    have = key_set(gold.select(F.col(gold_key).cast("string").alias("k")), ["k"])
-    seen = key_set(landing.select(F.col(landing_key).cast("string").alias("k")), ["k"])
-    size = shortest_length(have, seen)
-    prefix = F.substring(F.col(landing_key).cast("string"), 1, size)
-    new = (
-        seen.select(F.substring("k", 1, size).alias("k"))
-        .subtract(have.select(F.substring("k", 1, size).alias("k")))
-        .filter("k IS NOT NULL")
-    )
-    return filter_by_keys(landing, prefix, new, "k")
+    status: str
+    failures: dict[str, int]
 
 
-def prefix_in(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """Rows whose key prefix is among the wanted keys' prefixes, both cut to the shortest length."""
-    keys = key_set(wanted.select(F.col(wanted_key).cast("string").alias("k")), ["k"])
-    size = shortest_length(keys, df.select(F.col(key).cast("string")))
-    cut = keys.select(F.substring("k", 1, size).alias("k"))
-    return filter_by_keys(df, F.substring(F.col(key).cast("string"), 1, size), cut, "k")
+def _failures(rows: DataFrame, types: Mapping[str, str]) -> dict[str, int]:
+    present = {c: t for c, t in types.items() if c.upper() in {x.upper() for x in rows.columns}}
+    return {r["column_name"]: r["failed"] for r in cast_failures(rows, present).collect() if r["failed"]}
 
 
 def append_new(rows: DataFrame, table: str, fill_null: bool = False, allowed_fraction: float = 0.5) -> None:
-    """Align new landing rows with the gold table and add them."""
+    """Align new landing rows with the gold table and add them, each once, as a rebuild would."""
     schema = rows.sparkSession.table(table).schema
-    insert_append(align(rows, schema, fill_null, allowed_fraction), table)
+    insert_append(align(rows, schema, fill_null, allowed_fraction).dropDuplicates(), table)
 
 
 def promote(
@@ -125,30 +136,33 @@ def promote(
     landing_key: str,
     gold_key: str | None = None,
     landed: bool = True,
+    timed: bool = False,
     fill_null: bool = False,
     stats: bool = False,
-) -> str:
-    """Bring landing into gold: full conversion at first, then only what is new.
+) -> Promoted:
+    """Bring landing into gold: full conversion at first, then only what is new, by day or by second if ``timed``.
 
-    ``stats`` computes the table's statistics after a change, a pass over it.
-    Returns ``CREATED``, ``APPENDED``, ``UP_TO_DATE`` or ``UNKNOWN_STYLE``.
+    Rows are distinct after either step. ``stats`` computes the table's
+    statistics after a change, a pass over it. The status is ``CREATED``,
+    ``APPENDED``, ``UP_TO_DATE`` or ``UNKNOWN_STYLE``.
     """
     if not spark.catalog.tableExists(table):
         rebuild(landing, types, table, path)
         if stats:
             compute_stats(spark, table)
-        return "CREATED"
+        return Promoted("CREATED", _failures(landing, types))
     gold = spark.table(table)
     gold_key = gold_key or landing_key
     if style == "INCREMENTAL":
-        rows = new_since(landing, gold, landing_key, gold_key, landed)
+        rows = new_since(landing, gold, landing_key, gold_key, landed, timed)
     elif style == "PARTITION_UPDATE":
-        rows = new_by_prefix(landing, gold, landing_key, gold_key)
+        rows = new_partitions(landing, gold, landing_key, gold_key)
     else:
-        return "UNKNOWN_STYLE"
+        return Promoted("UNKNOWN_STYLE", {})
     if rows.isEmpty():
-        return "UP_TO_DATE"
+        return Promoted("UP_TO_DATE", {})
+    failures = _failures(rows, types)
     append_new(rows, table, fill_null)
     if stats:
         compute_stats(spark, table)
-    return "APPENDED"
+    return Promoted("APPENDED", failures)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.functions.predicates import compare
+from tidelake.functions.predicates import compare, landed_day, landed_second
 from tidelake.operators.joins import filter_by_keys, key_set, null_safe_join
 from tidelake.session import materialize
 from tidelake.sources.sinks import land_append, path_exists, recover_folder, replace_folder
@@ -23,8 +23,8 @@ def rows_after_watermark(
     a time of day and is compared by second. The source filter is a typed
     range, which a JDBC or Parquet scan applies itself.
     """
-    if landed:
-        newest = F.max(F.substring(key, 1, 19 if timed else 10))
+    if landed:  # by what the text parses to: one unreadable value must not become the newest
+        newest = F.max(landed_second(key) if timed else landed_day(key))
     else:
         newest = F.max(F.col(key).cast("timestamp_ntz" if timed else "date"))
     top = lake.agg(newest).first()[0]
@@ -43,17 +43,27 @@ def load_by_watermark(
     return "LOADED"
 
 
-def rows_of_new_partitions(source: DataFrame, lake: DataFrame, key: str) -> DataFrame:
-    """Source rows whose partition value the lake does not have."""
-    new = source.select(key).distinct().join(lake.select(key).distinct(), key, "left_anti")
-    return filter_by_keys(source, F.col(key), new, key)
+def new_partition_keys(source: DataFrame, lake: DataFrame, key: str) -> DataFrame:
+    """The partition values of the source that the lake does not have, NULL among them; written once."""
+    new = null_safe_join(key_set(source, [key]), key_set(lake, [key]), [key], "left_anti")
+    return materialize(new, "new-partitions")
+
+
+def rows_of_new_partitions(source: DataFrame, lake: DataFrame, key: str, new: DataFrame | None = None) -> DataFrame:
+    """Source rows whose partition value the lake does not have; NULL is a value of its own."""
+    new = new_partition_keys(source, lake, key) if new is None else new
+    rows = filter_by_keys(source, F.col(key), new, key)
+    if new.filter(F.col(key).isNull()).isEmpty():
+        return rows
+    return rows.unionByName(source.filter(F.col(key).isNull()))
 
 
 def load_new_partitions(source: DataFrame, lake_path: str, key: str) -> str:
-    rows = rows_of_new_partitions(source, source.sparkSession.read.parquet(lake_path), key)
-    if rows.isEmpty():
+    lake = source.sparkSession.read.parquet(lake_path)
+    new = new_partition_keys(source, lake, key)
+    if new.isEmpty():
         return "UP_TO_DATE"
-    land_append(rows, lake_path)
+    land_append(rows_of_new_partitions(source, lake, key, new), lake_path)
     return "LOADED"
 
 
@@ -148,8 +158,17 @@ def update_ledger(spark: SparkSession, path: str, dates: DataFrame) -> None:
     replace_folder(keyed_upsert(read_ledger(spark, path), dates, ["key_date"]), path)
 
 
-def keyed_upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace the old rows of their key; the other old rows stay."""
+def keyed_upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """New rows replace the old rows of their key; the other old rows stay.
+
+    Of several new rows of one key the one with the largest ``order`` counts;
+    without an order they are refused.
+    """
+    if order:
+        row = F.max_by(F.struct(*[F.col(f"`{c}`") for c in new.columns]), order).alias("_row")
+        new = new.groupBy(*keys).agg(row).select("_row.*")
+    elif not new.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
+        raise ValueError(f"several new rows share a key {keys}; name the order that settles them")
     kept = null_safe_join(old, key_set(new, keys), keys, "left_anti")
     return kept.unionByName(new)
 

@@ -11,8 +11,11 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def local_session(cores: int | str = "*", app: str = "tidelake", shuffle_partitions: int = 8) -> SparkSession:
-    """A single-machine session for tests and the benchmark."""
-    return (
+    """A single-machine session for tests and the benchmark.
+
+    Where the machine's settings name no shared folder, it gets a temporary one.
+    """
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -24,19 +27,16 @@ def local_session(cores: int | str = "*", app: str = "tidelake", shuffle_partiti
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .getOrCreate()
     )
+    if not spark.conf.get(CHECKPOINT_CONF, None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidelake-"))
+    return spark
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
-
-    Only a local session without the setting gets a folder made for it.
-    """
-    root = spark.conf.get(CHECKPOINT_CONF, None)
+    """The folder every executor can reach, as the cluster names it, or the session's checkpoint folder."""
+    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="tidelake-")
-        spark.conf.set(CHECKPOINT_CONF, root)
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster before the session is built")
     return root.rstrip("/")
 
 
@@ -50,6 +50,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's folder. Frames and tables that still read from it can no longer be used."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -18,8 +18,11 @@ def poll_landing(
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
+    ran: set[int] = set()
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        ran.add(batch_id)
 
     query = (
         reader.parquet(source)
@@ -29,7 +32,7 @@ def poll_landing(
         .start()
     )
     query.awaitTermination()
-    return sum(1 for p in query.recentProgress if p["numInputRows"] > 0)
+    return len(ran)
 
 
 def read_polled(spark: SparkSession, target: str) -> DataFrame:
