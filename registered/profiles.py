@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from registered import register
@@ -14,6 +16,8 @@ from tidelake.operators.sets import union_all
 from tidelake.plans import incremental as I
 from tidelake.plans import slicing as S
 from tidelake.plans.imports import analyse
+from tidelake.session import materialize, scratch_path, shared_root
+from tidelake.sources import sinks as K
 
 
 @register("split_required", """
@@ -134,12 +138,53 @@ def _analysed_orders(spark, sf):
     )
 
 
-@register("split_scores", f"""
+def _stored_analysis(spark, sf):
+    """As ``_analysed_orders`` from what a catalogue would have stored; the orders handed on are empty but for their dates."""
+    orders = table(spark, sf, "orders")
+    stored = materialize(P.column_profile(orders, exact=True), "stored")
+    stats = stored.select(
+        F.upper("column_name").alias("COLUMN_NAME"), F.col("num_distinct").alias("NUM_DISTINCT"), F.col("num_nulls").alias("NUM_NULLS"),
+        F.col("avg_col_len").cast("int").alias("AVG_COL_LEN"), F.col("low_value").alias("LOW_VALUE"), F.col("high_value").alias("HIGH_VALUE"),
+    )
+    by_year = P.partition_ranges(orders, F.year("o_orderdate"), _ORDER_COLUMNS).select(
+        F.upper("column_name").alias("COLUMN_NAME"), F.col("partition").alias("PARTITION_NAME"),
+        F.col("lo_text").alias("LOW_VALUE"), F.col("hi_text").alias("HIGH_VALUE"),
+    )
+    path = scratch_path(spark, "counted")
+    K.land_append(orders, path)
+    K.create_database(spark, "tidelake_gold", f"{shared_root(spark)}/tidelake/gold.db")
+    name = f"tidelake_gold.counted_{uuid.uuid4().hex[:12]}"
+    K.register_external(spark, name, path)
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
+    # a scan of anything stored would find no rows
+    dates_only = orders.select(*[F.col(c) if c == "o_orderdate" else F.raise_error(F.lit(f"{c} was read")).cast(t).alias(c) for c, t in orders.dtypes])
+    counts = orders.groupBy(F.lit("o_orderdate").alias("column_name"), F.col("o_orderdate").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return analyse(
+        dates_only, partition="o_orderdate", partition_by=F.year("o_orderdate"), subpartition="o_orderpriority", index_columns=["o_orderkey"],
+        rows_per_split=_L, rows_per_job=_J, connections=_C, column_stats=stats, stored_rows=A.stored_row_count(spark, name),
+        value_counts=counts, partition_stats=by_year,
+    )
+
+
+_SCORES = f"""
 WITH {_scores_sql()}
 SELECT col AS column_name, ndv AS num_distinct, round(r, 6) AS rows_in_split, round(dm, 6) AS dm_score, w = 1 AS within_limit,
-       round(ds, 6) AS date_score, round(score_split, 6) AS score_split, round(score_job_split, 6) AS score_job_split FROM scored""")
+       round(ds, 6) AS date_score, round(score_split, 6) AS score_split, round(score_job_split, 6) AS score_job_split FROM scored"""
+
+
+@register("split_scores", _SCORES)
 def split_scores(spark, sf):
-    return _analysed_orders(spark, sf).scored.select(
+    return _scores(_analysed_orders(spark, sf))
+
+
+@register("split_scores_stored", _SCORES)
+def split_scores_stored(spark, sf):
+    """The same scores from stored statistics; reading any stored column of the source would fail."""
+    return _scores(_stored_analysis(spark, sf))
+
+
+def _scores(found):
+    return found.scored.select(
         "column_name", "num_distinct", F.round("rows_in_split", 6).alias("rows_in_split"), F.round("dm_score", 6).alias("dm_score"),
         "within_limit", F.round("date_score", 6).alias("date_score"),
         F.round("score_split", 6).alias("score_split"), F.round("score_job_split", 6).alias("score_job_split"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from registered import register
@@ -10,7 +12,9 @@ from tidelake.operators import aggregates as A
 from tidelake.operators import ordered as O
 from tidelake.operators import profile as P
 from tidelake.operators import reports as R
-from tidelake.session import materialize
+from tidelake.functions.predicates import sample_percent_for
+from tidelake.session import materialize, scratch_path, shared_root
+from tidelake.sources import sinks as K
 
 
 @register("row_count", "SELECT count(*) AS num_rows FROM lineitem")
@@ -33,6 +37,32 @@ def key_range_widest(spark, sf):
     return A.key_range_widest(table(spark, sf, "lineitem"), "l_orderkey", profiled)
 
 
+@register("key_range_sampled", """
+SELECT min(o_orderkey) - 5 AS lo, max(o_orderkey) + 5 AS hi, true AS inside FROM orders""")
+def key_range_sampled(spark, sf):
+    """A sampled range, widened by the profiled one, which here is known to be the wider."""
+    lines = table(spark, sf, "lineitem")
+    profiled = table(spark, sf, "orders").agg((F.min("o_orderkey") - 5).alias("lo"), (F.max("o_orderkey") + 5).alias("hi"))
+    percent = sample_percent_for(lines.count(), 500)
+    widest = A.key_range_widest(lines, "l_orderkey", profiled, sample_percent=percent)
+    sampled = A.key_range_widest(lines, "l_orderkey", sample_percent=percent).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    inside = F.coalesce((F.col("lo") <= F.col("a")) & (F.col("b") <= F.col("hi")), F.lit(True))
+    return widest.join(sampled, F.lit(True)).select("lo", "hi", inside.alias("inside"))
+
+
+@register("stored_row_count", "SELECT count(*) AS num_rows FROM lineitem")
+def stored_row_count(spark, sf):
+    """The count that statistics hold, without a scan of the rows."""
+    path = scratch_path(spark, "counted")
+    K.land_append(table(spark, sf, "lineitem").select("l_orderkey"), path)
+    K.create_database(spark, "tidelake_gold", f"{shared_root(spark)}/tidelake/gold.db")
+    name = f"tidelake_gold.rows_{uuid.uuid4().hex[:12]}"
+    K.register_external(spark, name, path)
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
+    rows = A.stored_row_count(spark, name)
+    return spark.range(1).select(F.lit(rows).cast("bigint").alias("num_rows"))
+
+
 @register("grouped_range", """
 SELECT CAST(l_shipdate AS DATE) AS day, min(l_orderkey) AS min_key, max(l_orderkey) AS max_key FROM lineitem GROUP BY 1""")
 def grouped_range(spark, sf):

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import uuid
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,6 +193,87 @@ def test_point_and_strict_imports(spark, source):
     assert M.read_imported(spark, path).count() == expected > 0
 
 
+@pytest.fixture(scope="module")
+def keyed(spark):
+    """A Derby table with a decimal and a fractional key, some rows without."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    rows = spark.range(900).select(
+        F.when(F.col("id") % 50 != 7, F.col("id") * 3 + F.lit("0.25").cast("decimal(38,2)")).cast("decimal(28,2)").alias("K"),
+        (F.col("id") * 1.5 - 100).alias("X"), F.concat(F.lit("p"), F.col("id") % 300).alias("P"), F.col("id").alias("V"),
+    )
+    rows.write.option("createTableColumnTypes", "P VARCHAR(20)").jdbc(url, "KEYED", properties=DRIVER)
+    return url, rows
+
+
+def test_decimal_and_fractional_keys_are_split(spark, keyed):
+    url, rows = keyed
+    df = jdbc.read_plain(spark, url, "KEYED", DRIVER)
+    for key in ("K", "X"):
+        low, high = df.agg(F.min(key), F.max(key)).first()
+        split = jdbc.read_split(spark, url, "KEYED", key, low, high, 4, properties=DRIVER)
+        assert split.rdd.getNumPartitions() == 4 and split.count() == 900
+    found = M.analyse(df, rows_per_split=100, rows_per_job=300, connections=4, split_bias=["X"], job_bias=["X"], exact=True)
+    plan = M.plan_import(df, "KEYED", found)
+    assert plan.style == "RANGE+SAME_RANGE" and plan.splits > 1 and len(plan.jobs) > 2
+    path = scratch_path(spark, "fractional")
+    M.run_import(spark, url, plan, path, DRIVER)
+    assert sorted(r["V"] for r in M.read_imported(spark, path).collect()) == list(range(900))
+    assert L.Slice("K", low=Decimal("1.50"), high=Decimal("1E+2")).sql() == "K >= 1.50 AND K < 100"
+
+
+def test_many_points_become_ranges(spark, keyed):
+    url, _ = keyed
+    df = jdbc.read_plain(spark, url, "KEYED", DRIVER)
+    found = M.analyse(df, rows_per_split=100, rows_per_job=300, connections=4, split_bias=["X"], job_bias=["P"], exact=True)
+    plan = M.plan_import(df, "KEYED", found, is_view=True, force_pointable=True)
+    assert plan.style == "POINT+FIXED" and len(plan.jobs) <= 5  # 300 values in at most 3 ranges, or 4, and the NULL slice
+    path = scratch_path(spark, "point-ranges")
+    M.run_import(spark, url, plan, path, DRIVER)
+    assert sorted(r["V"] for r in M.read_imported(spark, path).collect()) == list(range(900))
+
+
+def test_slices_without_a_split_column_are_read_together(spark, keyed):
+    url, _ = keyed
+    slices = (L.Slice("V", high=300), L.Slice("V", low=300, high=300), L.Slice("V", low=300, high=600), L.Slice("V", low=600), L.Slice("V", no_key=True))
+    plan = M.ImportPlan("KEYED", "RANGE+FIXED", connections=2, jobs=slices)
+    path = scratch_path(spark, "together")
+    assert M.run_import(spark, url, plan, path, DRIVER) == 5
+    assert M.run_import(spark, url, plan, path, DRIVER) == 0
+    got = spark.read.parquet(path).groupBy("job").count().collect()
+    assert {r["job"]: r["count"] for r in got} == {0: 300, 2: 300, 3: 300}
+
+
+def test_an_import_keeps_its_plan_when_the_source_grows(spark):
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    first = spark.range(600).select(F.col("id").alias("K"), F.lit("a").alias("T"))
+    first.write.jdbc(url, "GROWING", properties=DRIVER)
+    limits = dict(rows_per_split=100, rows_per_job=200, connections=4, split_bias=["K"], job_bias=["K"], exact=True)
+
+    def planned():
+        df = jdbc.read_plain(spark, url, "GROWING", DRIVER)
+        return M.plan_import(df, "GROWING", M.analyse(df, **limits))
+
+    plan, path = planned(), scratch_path(spark, "growing")
+    assert M.plan_from_text(M.plan_text(plan)) == plan
+    part = M.replace(plan, jobs=plan.jobs)
+    M.run_import(spark, url, part, path, DRIVER)
+    # the last job is lost, and the source has grown past the planned range
+    last = len(plan.jobs) - 2
+    from tidelake.sources.sinks import path_exists
+
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/job={last}")
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    spark.range(600, 700).select(F.col("id").alias("K"), F.lit("b").alias("T")).write.mode("append").jdbc(url, "GROWING", properties=DRIVER)
+    grown = planned()
+    assert grown != plan
+    with pytest.raises(ValueError, match="another plan"):
+        M.run_import(spark, url, grown, path, DRIVER)
+    assert M.stored_plan(spark, path) == plan
+    assert M.run_import(spark, url, M.stored_plan(spark, path), path, DRIVER) == 1
+    assert path_exists(spark, f"{path}/job={last}/_SUCCESS")
+    assert sorted(r["K"] for r in M.read_imported(spark, path).collect()) == list(range(700))
+
+
 def test_main_range(spark):
     numbers = spark.createDataFrame([(0,), (1,), (90,)], "k int")
     assert M.main_range(numbers, "k", True) == (0, 90, "COMPLETE")

@@ -80,6 +80,49 @@ def profile_pass(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
     return profile.join(ndv, "column_name").withColumn("num_distinct", F.col("_ndv")).drop("_ndv")
 
 
+def profile_from_stats(df: DataFrame, stats: DataFrame, num_rows: int) -> DataFrame:
+    """As ``profile_pass``, from a catalogue's column statistics (COLUMN_NAME, NUM_DISTINCT, NUM_NULLS, AVG_COL_LEN, LOW_VALUE, HIGH_VALUE).
+
+    Only columns with a time of day are read, as statistics do not say whether
+    any value has one.
+    """
+    types = {f.name.upper(): f.dataType for f in df.schema}
+    timed = [f.name for f in df.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+    days = {f.name.upper() for f in df.schema if isinstance(f.dataType, T.DateType)}
+    if timed:
+        found = df.agg(*[_all_days(c, types[c.upper()]).alias(c) for c in timed]).first()
+        days |= {c.upper() for c in timed if found[c]}
+    name = F.upper("COLUMN_NAME")
+    known = {f.name.upper(): f.name for f in df.schema}
+    pairs = [F.lit(x) for c in known for x in (c, known[c])]
+    kinds = [F.lit(x) for c, t in types.items() for x in (c, t.simpleString())]
+    return stats.filter(name.isin(list(known))).select(
+        F.create_map(*pairs)[name].alias("column_name"), F.create_map(*kinds)[name].alias("data_type"),
+        F.col("NUM_DISTINCT").cast("bigint").alias("num_distinct"), F.col("NUM_NULLS").cast("bigint").alias("num_nulls"),
+        (F.col("NUM_NULLS") > 0).alias("is_null_ever"), F.col("AVG_COL_LEN").cast("double").alias("avg_col_len"),
+        F.col("LOW_VALUE").alias("low_value"), F.col("HIGH_VALUE").alias("high_value"),
+        F.lit(num_rows).cast("bigint").alias("num_rows"), (name.isin(list(days)) if days else F.lit(False)).alias("is_date"),
+    )
+
+
+def ranges_from_stats(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """As ``partition_ranges``, from a catalogue's ranges per partition (COLUMN_NAME, PARTITION_NAME, LOW_VALUE, HIGH_VALUE)."""
+    temporal = [f.name.upper() for f in df.schema if isinstance(f.dataType, _TEMPORAL)]
+    name = F.upper("COLUMN_NAME")
+    is_day = name.isin(temporal) if temporal else F.lit(False)
+
+    def number(c: str) -> Column:
+        day = F.unix_date(F.substring(c, 1, 10).try_cast("date")).cast("double")
+        return F.when(is_day, day).otherwise(F.col(c).try_cast("double"))
+
+    pairs = [F.lit(x) for c in columns for x in (c.upper(), c)]
+    return stats.filter(name.isin([c.upper() for c in columns])).select(
+        F.col("PARTITION_NAME").alias("partition"), F.create_map(*pairs)[name].alias("column_name"),
+        F.col("LOW_VALUE").alias("lo_text"), F.col("HIGH_VALUE").alias("hi_text"),
+        number("LOW_VALUE").alias("lo_num"), number("HIGH_VALUE").alias("hi_num"),
+    )
+
+
 def _all_days(column: str, kind: T.DataType) -> Column:
     """Whether no value of a temporal column has a time of day; false where there is no value."""
     return F.coalesce(F.bool_and(F.col(column).cast("date").cast(kind) == F.col(column)), F.lit(False))

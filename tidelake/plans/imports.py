@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +18,14 @@ from tidelake.session import materialize
 from tidelake.sources import jdbc
 from tidelake.sources.sinks import path_exists
 
-_SPLITTABLE = ("tinyint", "smallint", "int", "bigint", "date", "timestamp", "timestamp_ntz", "float", "double")
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+_SPLITTABLE = (*_WHOLE, "date", "timestamp", "timestamp_ntz", "float", "double", "decimal")
+# more values of a point key than this are read as ranges of values
+MOST_POINTS = 200
+
+
+def _base(kind: str) -> str:
+    return kind.partition("(")[0]
 
 
 @dataclass(frozen=True)
@@ -58,15 +69,27 @@ def analyse(
     split_bias: Sequence[str] = (),
     job_bias: Sequence[str] = (),
     exact: bool = False,
+    column_stats: DataFrame | None = None,
+    stored_rows: int | None = None,
+    value_counts: DataFrame | None = None,
+    partition_stats: DataFrame | None = None,
 ) -> Analysis:
     """Profile a table and score its columns as split and job-split keys.
 
     ``partition`` is the partition key column and ``partition_by`` the
     partition of a row, by default the key's value. Columns that are ever NULL
     are left out. Without a partition key every drift score is 0.
+
+    What a catalogue has stored is not scanned again: ``column_stats`` with
+    ``stored_rows`` stands for the profile, ``value_counts`` (column_name, day,
+    n) for the date columns' counts, and ``partition_stats`` (column_name,
+    partition, LOW_VALUE, HIGH_VALUE as text) for the ranges per partition.
     """
     rows_per_job = rows_per_job or 100 * rows_per_split
-    profile = materialize(P.profile_pass(df, exact=exact), "profile")
+    if column_stats is None or stored_rows is None:
+        profile = materialize(P.profile_pass(df, exact=exact), "profile")
+    else:
+        profile = materialize(P.profile_from_stats(df, column_stats, stored_rows), "profile")
     columns = profile.collect()  # one row per column
     num_rows = columns[0]["num_rows"]
     dated = [r["column_name"] for r in columns if r["is_date"]]
@@ -75,14 +98,20 @@ def analyse(
         cells = F.explode(
             F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("date").alias("day")) for c in dated])
         )
-        counts = df.select(cells.alias("c")).select("c.*").groupBy("column_name", "day").agg(F.count(F.lit(1)).alias("n"))
+        counts = value_counts
+        if counts is None:
+            counts = df.select(cells.alias("c")).select("c.*").groupBy("column_name", "day").agg(F.count(F.lit(1)).alias("n"))
         pattern = P.load_pattern(counts, "day", "n", ["column_name"]).select("column_name", "is_chunked", "is_chrono")
         joined = joined.join(pattern, "column_name", "left")
     else:
         joined = joined.select("*", F.lit(False).alias("is_chunked"), F.lit(False).alias("is_chrono"))
     if partition:
         full = [r["column_name"] for r in columns if r["num_nulls"] == 0]
-        drift = P.partition_drift(P.partition_ranges(df, partition if partition_by is None else partition_by, full))
+        if partition_stats is None:
+            ranges = P.partition_ranges(df, partition if partition_by is None else partition_by, full)
+        else:
+            ranges = P.ranges_from_stats(df, partition_stats, full)
+        drift = P.partition_drift(ranges)
         joined = joined.join(drift, "column_name", "left")
     else:
         joined = joined.withColumn("drift", F.lit(0.0))
@@ -120,6 +149,7 @@ def main_range(df: DataFrame, key: str, numeric: bool) -> tuple[object, object,
     if P.split_viable(df, key, low, high).first()["viable"]:
         return low, high, "COMPLETE"
     if numeric:
+        low, high = math.floor(low), math.ceil(high)
         wide = P.widen_range(df.sparkSession.range(1).select(F.lit(low).alias("lo"), F.lit(high).alias("hi"))).first()
         if P.split_viable(df, key, wide["wide_lo"], wide["wide_hi"]).first()["viable"]:
             return int(wide["wide_lo"]), int(wide["wide_hi"]), "COMPLETE"
@@ -163,7 +193,7 @@ def plan_import(
     plan = ImportPlan(table, chosen["style"], connections=found.connections)
     if plan.style == "PLAIN":
         return plan
-    if split["data_type"] in _SPLITTABLE:
+    if _base(split["data_type"]) in _SPLITTABLE:
         numeric = "date" not in split["data_type"] and "timestamp" not in split["data_type"]
         low, high, state = main_range(df, found.split_key, numeric)
         if low is not None and low < high:
@@ -173,50 +203,115 @@ def plan_import(
     if plan.style == "SPLIT":
         return plan
     if plan.style == "POINT+FIXED":
-        return replace(plan, jobs=tuple(S.to_slices(S.point_slices(df, found.job_key), found.job_key)))
+        points = materialize(S.point_slices(df, found.job_key), "points")
+        if points.limit(MOST_POINTS + 1).count() > MOST_POINTS:
+            ranges = S.to_slices(S.point_ranges(points, int(chosen["njobs"])), found.job_key, open_ends=True)
+            return replace(plan, jobs=tuple(ranges))
+        return replace(plan, jobs=tuple(S.to_slices(points, found.job_key)))
     if plan.style.startswith("RANGE"):
         key = F.col(found.job_key)
         key = key.cast("date") if rows[found.job_key]["is_date"] or kind.startswith("timestamp") else key
         if strict_ranges is not None:
             cut = S.strict_slices(strict_ranges, days_per_slice or 10)
             return replace(plan, jobs=tuple(S.to_slices(cut, found.job_key, null_slice=False)))
-        ranges = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-        if ranges.schema["lo"].dataType.simpleString() in ("date", "tinyint", "smallint", "int", "bigint"):
+        low, high = F.min(key), F.max(key)
+        if _base(kind) in ("float", "double", "decimal"):
+            low, high = F.floor(low).try_cast("bigint"), F.ceil(high).try_cast("bigint")
+        ranges = df.agg(low.alias("lo"), high.alias("hi"))
+        if ranges.schema["lo"].dataType.simpleString() in ("date", *_WHOLE):
             cut = S.range_slices(ranges, int(chosen["njobs"]))
-            return replace(plan, jobs=tuple(S.to_slices(cut, found.job_key)))
+            return replace(plan, jobs=tuple(S.to_slices(cut, found.job_key, open_ends=True)))
     return plan
 
 
+def _plain(value: object) -> object:
+    """A value JSON can hold, with its type where JSON has none."""
+    if isinstance(value, dt.datetime):
+        return {"datetime": value.isoformat()}
+    if isinstance(value, dt.date):
+        return {"date": value.isoformat()}
+    if isinstance(value, Decimal):
+        return {"decimal": str(value)}
+    return value
+
+
+def _typed(value: object) -> object:
+    if not isinstance(value, dict):
+        return value
+    ((kind, text),) = value.items()
+    return {"datetime": dt.datetime.fromisoformat, "date": dt.date.fromisoformat, "decimal": Decimal}[kind](text)
+
+
+def plan_text(plan: ImportPlan) -> str:
+    held = {f.name: _plain(getattr(plan, f.name)) for f in fields(plan) if f.name != "jobs"}
+    held["jobs"] = [{f.name: _plain(getattr(j, f.name)) for f in fields(j)} for j in plan.jobs]
+    return json.dumps(held, sort_keys=True)
+
+
+def plan_from_text(text: str) -> ImportPlan:
+    held = json.loads(text)
+    jobs = tuple(S.Slice(**{k: _typed(v) for k, v in j.items()}) for j in held.pop("jobs"))
+    return ImportPlan(**{k: _typed(v) for k, v in held.items()}, jobs=jobs)
+
+
+def stored_plan(spark: SparkSession, path: str) -> ImportPlan | None:
+    """The plan an import into ``path`` was started with, to start it anew."""
+    if not path_exists(spark, f"{path}/_plan/_SUCCESS"):
+        return None
+    return plan_from_text(spark.read.text(f"{path}/_plan").first()[0])
+
+
 def run_import(
     spark: SparkSession, url: str, plan: ImportPlan, path: str, properties: Mapping[str, str] | None = None
 ) -> int:
     """Read a table by its plan into ``path``, one folder per job, and return the jobs run.
 
-    A job replaces its folder, and a job that was committed is not run again,
-    so an import that stopped is simply started anew. Within a job the split
-    column spreads the rows; Spark leaves the outer splits open, so no row is
-    missed when the source has grown past the planned range.
+    The plan is written beside the jobs. An import that stopped is started anew
+    with the same plan (``stored_plan``) and runs the jobs that were not
+    committed; another plan is refused, since its slices would not fit. The
+    first and last range are open and so are the outer splits, so rows that
+    came in past the planned range are read; an import is no snapshot of a
+    source that changes meanwhile. Slices without a split column are read side
+    by side, as many as there are connections.
     """
+    before = stored_plan(spark, path)
+    if before is None:
+        spark.createDataFrame([(plan_text(plan),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_plan")
+    elif before != plan:
+        raise ValueError(f"{path} was begun with another plan; take stored_plan() or a new folder")
     jobs: Sequence[S.Slice | None] = plan.jobs or (None,)
-    ran = 0
-    for number, job in enumerate(jobs):
-        folder = f"{path}/job={number}"
-        if path_exists(spark, f"{folder}/_SUCCESS"):
-            continue
-        source = f"SELECT * FROM {plan.table}"
+    todo = [(n, j) for n, j in enumerate(jobs) if not path_exists(spark, f"{path}/job={n}/_SUCCESS")]
+    source = f"SELECT * FROM {plan.table}"
+    if plan.split_key is None and len(jobs) > 1:
+        for start in range(0, len(todo), plan.connections):
+            part = todo[start : start + plan.connections]
+            read = jdbc.read_predicates(spark, url, plan.table, [j for _, j in part], connections=plan.connections, properties=properties)
+            numbered = read.withColumn("job", _job_of(part))
+            numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job").parquet(path)
+            for n, _ in part:  # an empty slice leaves no folder
+                spark.createDataFrame([], read.schema).write.mode("append").parquet(f"{path}/job={n}")
+        return len(todo)
+    for number, job in todo:
         where = job.sql() if job is not None else None
         low, high = plan.low, plan.high
         if plan.style == "RANGE+SAME_RANGE" and job is not None and not job.no_key:
-            low, high = job.low, job.high
+            low, high = plan.low if job.low is None else job.low, plan.high if job.high is None else job.high
         if plan.split_key is None or (job is not None and job.no_key):
             rows = jdbc.read_query(spark, url, source, where, properties=properties)
         else:
             rows = jdbc.read_query(
                 spark, url, source, where, plan.split_key, low, high, plan.splits, plan.connections, properties
             )
-        rows.write.mode("overwrite").parquet(folder)
-        ran += 1
-    return ran
+        rows.write.mode("overwrite").parquet(f"{path}/job={number}")
+    return len(todo)
+
+
+def _job_of(jobs: Sequence[tuple[int, S.Slice]]) -> Column:
+    """The number of the slice a row belongs to."""
+    out = F.lit(None).cast("int")
+    for number, job in reversed(jobs):
+        out = F.when(job.column(), F.lit(number)).otherwise(out)
+    return out
 
 
 def read_imported(spark: SparkSession, path: str) -> DataFrame:

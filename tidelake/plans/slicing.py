@@ -9,13 +9,14 @@ from __future__ import annotations
 import datetime as dt
 from collections import Counter
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelake.operators.ordered import cuts_below
-from tidelake.operators.profile import CONNECTIONS, ROWS_PER_SPLIT
 
 
 def _sql_literal(value) -> str:
@@ -26,12 +27,14 @@ def _sql_literal(value) -> str:
         return "{ts '" + value.strftime("%Y-%m-%d") + " 00:00:00'}"
     if isinstance(value, str):
         return "'" + value.replace("'", "''") + "'"
+    if isinstance(value, Decimal):
+        return format(value, "f")
     return repr(value)
 
 
 @dataclass(frozen=True)
 class Slice:
-    """Rows with ``low <= key < high``, one ``point`` value, or no key at all."""
+    """Rows with ``low <= key < high``, one ``point`` value, or no key at all. A bound of None is open."""
 
     key: str
     low: object = None
@@ -45,14 +48,18 @@ class Slice:
             return col.isNull()
         if self.point is not None:
             return col == F.lit(self.point)
-        return (col >= F.lit(self.low)) & (col < F.lit(self.high))
+        bounds = [col >= F.lit(self.low)] if self.low is not None else []
+        bounds += [col < F.lit(self.high)] if self.high is not None else []
+        return reduce(Column.__and__, bounds) if bounds else col.isNotNull()
 
     def sql(self) -> str:
         if self.no_key:
             return f"{self.key} IS NULL"
         if self.point is not None:
             return f"{self.key} = {_sql_literal(self.point)}"
-        return f"{self.key} >= {_sql_literal(self.low)} AND {self.key} < {_sql_literal(self.high)}"
+        bounds = [f"{self.key} >= {_sql_literal(self.low)}"] if self.low is not None else []
+        bounds += [f"{self.key} < {_sql_literal(self.high)}"] if self.high is not None else []
+        return " AND ".join(bounds) or f"{self.key} IS NOT NULL"
 
 
 def import_style(tables: DataFrame) -> DataFrame:
@@ -105,6 +112,17 @@ def point_slices(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).alias("point")).distinct()
 
 
+def point_ranges(points: DataFrame, njobs: int) -> DataFrame:
+    """At most ``njobs`` neighbouring ranges (``from_key``, ``to_key``) that hold about equally many of the point values.
+
+    Only the bounds are gathered, however many values there are.
+    """
+    known = points.filter("point IS NOT NULL").repartitionByRange(njobs, "point")
+    starts = known.groupBy(F.spark_partition_id().alias("_part")).agg(F.min("point").alias("from_key"))
+    after = F.lead("from_key").over(Window.partitionBy(F.lit(0)).orderBy("from_key"))  # one row per range
+    return starts.select("from_key", after.alias("to_key"))
+
+
 def range_slices(ranges: DataFrame, njobs: str | int = "njobs", keys: Sequence[str] = ()) -> DataFrame:
     """Cut each range (columns ``lo`` and ``hi``, dates or whole numbers) into equal half-open slices.
 
@@ -145,8 +163,12 @@ def _cut(ranges: DataFrame, span: Column, pieces: Column, is_day: bool, keys: Se
     )
 
 
-def to_slices(slices: DataFrame, key: str, null_slice: bool = True) -> list[Slice]:
-    """The slice list of one table, ready for a JDBC read."""
+def to_slices(slices: DataFrame, key: str, null_slice: bool = True, open_ends: bool = False) -> list[Slice]:
+    """The slice list of one table, ready for a JDBC read.
+
+    ``open_ends`` leaves the first and the last range without a bound, so that
+    rows which came in since the planning are read as well.
+    """
     if "point" in slices.columns:
         points = [r["point"] for r in slices.select("point").collect()]
         out = [Slice(key, point=p) for p in sorted(p for p in points if p is not None)]
@@ -155,6 +177,9 @@ def to_slices(slices: DataFrame, key: str, null_slice: bool = True) -> list[Slic
             Slice(key, low=r["from_key"], high=r["to_key"])
             for r in slices.orderBy("from_key").collect()
         ]
+        if open_ends and out:
+            out[0] = replace(out[0], low=None)
+            out[-1] = replace(out[-1], high=None)
     return [*out, Slice(key, no_key=True)] if null_slice else out
 
 
@@ -167,25 +192,18 @@ def slice_coverage(df: DataFrame, key: str, slices: Iterable[Slice]) -> DataFram
     """
     slices = list(slices)
     col = F.col(key)
-    ranges = [s for s in slices if not s.no_key and s.point is None and s.low < s.high]
+    ranges = [s for s in slices if not s.no_key and s.point is None and (s.low is None or s.high is None or s.low < s.high)]
     points = Counter(s.point for s in slices if s.point is not None)
     held = F.lit(0)
     if ranges:
-        begun, ended = (F.array(*[F.lit(b) for b in sorted(bs)]) for bs in ([s.low for s in ranges], [s.high for s in ranges]))
-        held = held + cuts_below(begun, col, inclusive=True) - cuts_below(ended, col, inclusive=True)
+        lows, highs = [s.low for s in ranges if s.low is not None], [s.high for s in ranges if s.high is not None]
+        held = held + (len(ranges) - len(lows))  # open ranges have begun before any value
+        if lows:
+            held = held + cuts_below(F.array(*[F.lit(b) for b in sorted(lows)]), col, inclusive=True)
+        if highs:
+            held = held - cuts_below(F.array(*[F.lit(b) for b in sorted(highs)]), col, inclusive=True)
     for times in set(points.values()):
         held = held + F.when(col.isin([p for p, n in points.items() if n == times]), times).otherwise(0)
     held = F.when(col.isNull(), sum(s.no_key for s in slices)).otherwise(held)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
     return counts.groupBy(held.alias("slices_holding")).agg(F.sum("rows").alias("rows"))
-
-
-def plan_range(
-    df: DataFrame, key: str, num_rows: int, rows_per_split: int = ROWS_PER_SPLIT, connections: int = CONNECTIONS
-) -> dict:
-    """Arguments of a column-split read of ``df``'s source: exact bounds and the number of splits."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    return {
-        "column": key, "low": low, "high": high,
-        "splits": max(1, min(round(num_rows / rows_per_split), connections)), "connections": connections,
-    }

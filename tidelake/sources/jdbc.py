@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +30,11 @@ def read_split(
     """Split on a numeric, date or timestamp column between bounds the caller gives.
 
     Bounds only shape the ranges: rows outside them and rows without a key are
-    read by the first and last task.
+    read by the first and last task. Spark takes numeric bounds as whole
+    numbers, so fractions are moved outwards.
     """
+    low = math.floor(low) if isinstance(low, float | Decimal) else low
+    high = math.ceil(high) if isinstance(high, float | Decimal) else high
     return (
         spark.read.format("jdbc")
         .options(**dict(properties or {}))
