@@ -78,17 +78,17 @@ def catalogue_search(catalogue: DataFrame, terms: Sequence[str]) -> DataFrame:
         F.transform(listed, lambda t: F.struct(t.alias("term"), classes(t).alias("classes"))),
         lambda h: F.size(h["classes"]) > 0,
     )
-    matched = materialize(
-        catalogue.select("db", "table_name", F.explode(hits).alias("h"))
-        .select(F.col("h.term").alias("term"), "db", "table_name", F.explode("h.classes").alias("match_class")),
-        "matches",
+    matched = catalogue.select("db", "table_name", F.explode(hits).alias("h")).select(
+        F.col("h.term").alias("term"), "db", "table_name", F.explode("h.classes").alias("match_class")
     )
+    # class sizes first, a few rows for each term; then the scan again, for the chosen classes only
     sizes = matched.groupBy("term", "match_class").agg(F.count(F.lit(1)).alias("n"))
     chosen = (
         sizes.filter(F.col("match_class").isin(2, 4) | (F.col("n") == 1))
         .groupBy("term")
         .agg(F.min("match_class").alias("match_class"))
     )
+    chosen = materialize(chosen, "chosen-classes")
     return matched.join(chosen, ["term", "match_class"]).select("term", "match_class", "db", "table_name")
 
 

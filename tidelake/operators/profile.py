@@ -226,10 +226,17 @@ def split_scores(
 
 
 def top_column(scored: DataFrame, score: Column | str, name: str = "column_name", keys: Sequence[str] = ()) -> DataFrame:
-    """The column with the largest score per key, the first by name on a tie; never a sort."""
+    """The column with the largest score per key, the first by name on a tie.
+
+    The largest score comes from a hash aggregate; only rows that reach it are
+    compared by name.
+    """
     value = F.col(score) if isinstance(score, str) else score
-    best = scored.filter(value.isNotNull()).groupBy(*keys)
-    return best.agg(F.min_by(name, F.struct(-value, F.col(name))).alias(name), F.max(value).alias("score"))
+    rated = scored.filter(value.isNotNull()).select(*keys, name, value.alias("score"))
+    best = rated.groupBy(*keys).agg(F.max("score").alias("score"))
+    if keys:
+        return null_safe_join(rated, best, [*keys, "score"], "left_semi").groupBy(*keys, "score").agg(F.min(name).alias(name)).select(*keys, name, "score")
+    return rated.join(best, "score", "left_semi").groupBy("score").agg(F.min(name).alias(name)).select(name, "score")
 
 
 def suggest_keys(

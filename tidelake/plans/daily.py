@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tidelake.functions.predicates import compare
 from tidelake.operators.ordered import gap_groups, gap_ranges
 from tidelake.plans import incremental as I
 from tidelake.plans import slicing as S
@@ -62,7 +63,11 @@ def daily_update(
     loaded = rows.join(new.select(F.col("day").alias("_day")), F.col(day).cast("date") == F.col("_day"), "left_semi")
     land_append(loaded, lake_path)
 
+    # only files that may hold a new day are read again: the range prunes typed days, and row groups of them
     after = spark.read.parquet(lake_path)
+    low, high = new.agg(F.min("day"), F.max("day")).first()
+    if lake_day is None:
+        after = after.filter(compare(day, low, ">=") & compare(day, high, "<="))
     after_days = after.select((lake_day if lake_day is not None else F.col(day).cast("date")).alias("day"))
     checked = materialize(I.verify_dates(new, after_days, "day"), "checked-days")
     ended = I.verify_load(new, checked.filter("state = 'DONE'").select("day"), "day").first()

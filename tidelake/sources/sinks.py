@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 NULL_MARK = "\\N"
 SMALL_TABLE_ROWS = 100_000
+BYTES_PER_FILE = 64 << 20
 
 
 def land_append(df: DataFrame, path: str, compression: str = "snappy") -> None:
@@ -32,12 +33,19 @@ def _text_options(null_mark: str) -> dict[str, str]:
     }
 
 
-def write_text(df: DataFrame, path: str, null_mark: str = NULL_MARK, rows_per_file: int = 100_000) -> None:
+def write_text(df: DataFrame, path: str, null_mark: str = NULL_MARK, bytes_per_file: int = BYTES_PER_FILE) -> None:
     """Delimited text in which NULL is a mark of its own.
 
-    Files are kept small, because a file whose values span lines is read whole by one task.
+    Files are kept to about ``bytes_per_file``, because a file whose values span
+    lines is read whole by one task. The mean row, from one pass, gives the
+    rows of a file.
     """
-    options = {**_text_options(null_mark), "maxRecordsPerFile": str(rows_per_file)}
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    width = F.lit(24 * len(df.columns))
+    for c in texts:
+        width = width + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))
+    mean = df.agg(F.avg(width)).first()[0] or 1.0
+    options = {**_text_options(null_mark), "maxRecordsPerFile": str(max(1, int(bytes_per_file / mean)))}
     df.write.mode("overwrite").options(**options).csv(path)
 
 
