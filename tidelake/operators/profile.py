@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.functions import scores
-from tidelake.operators.aggregates import spread_of
+from tidelake.operators.aggregates import MAD_SCALE, spread_of
 from tidelake.operators.joins import null_safe_join
 from tidelake.session import materialize
 
@@ -326,9 +326,11 @@ def partition_drift(ranges: DataFrame) -> DataFrame:
     cells = F.explode(
         F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in ("diff", "low", "high")])
     )
-    spread = spread_of(
-        measured.select("column_name", cells.alias("c")).select("column_name", "c.*"), "x", ["column_name", "measure"]
-    )
+    keys = ["column_name", "measure"]
+    values = measured.select("column_name", cells.alias("c")).select("column_name", "c.*").filter("x IS NOT NULL")
+    medians = values.groupBy(*keys).agg(F.percentile("x", 0.5).alias("median"))
+    away = values.join(medians, keys).select(*keys, "median", F.abs(F.col("x") - F.col("median")).alias("away"))
+    spread = away.groupBy(*keys, "median").agg((F.percentile("away", 0.5) * MAD_SCALE).alias("mad"))
 
     def pick(measure: str, stat: str) -> Column:
         return F.max(F.when(F.col("measure") == measure, F.col(stat)))
