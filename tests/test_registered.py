@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry_points
+import registered
 from tests.harness import compare
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+registered.load()
+QUERIES, ORACLES = registered.QUERIES, registered.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -28,4 +29,6 @@ def test_entry(spark):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+    assert set(ORACLES) == set(QUERIES)
