@@ -14,8 +14,10 @@ identifier. Neighbouring windows that agree on it form a run of up to
 ``LENGTH - GRAM + 1`` windows, named by the refined identifiers of its ends.
 
 1. Runs are sorted by bucket, refined identifier and document. A run that also
-   stands in a smaller document goes whole. What is left of a bucket with several
-   different runs is ambiguous.
+   stands in a smaller document goes whole. Of the others a run is ambiguous if
+   its bucket has a different run that may agree with it: any common window holds
+   the bucket's bytes and at least ``SIDE`` more on one side, so a few hash bits
+   of both sides rule out most runs that meet by chance.
 2. Only ambiguous runs are taken apart into windows, which are sorted by their
    refined identifiers in the same way.
 3. Each text meets its marks, and the covered bytes are cut out.
@@ -43,10 +45,15 @@ from pyspark.sql import functions as F
 
 from tidelake.llm.arrays import _BYTE_VALUES, mix, powers, prefix_hash, row_groups, span_hash, utf8
 from tidelake.llm.bitmaps import bitmap, marked
-from tidelake.session import materialize
+from tidelake.llm.scratch import written
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
+SIDE = (LENGTH - GRAM) // 2
+#: Values of the side marks, and the one that says no window reaches that far.
+SIDES, NO_SIDE = 63, 63
+MARK_BITS = 15
+MARK = (1 << MARK_BITS) - 1
 #: Bytes of one text worked on at a time.
 PIECE = 4 << 20
 _U = np.uint64
@@ -115,7 +122,7 @@ def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def text_mark(column: pa.Array) -> np.ndarray:
-    """22 bits that tell apart the texts of one doc_id."""
+    """A few bits that tell apart the texts of one doc_id."""
     data, offsets = utf8(column)
     out = np.zeros(len(offsets) - 1, np.int64)
     for i, j in row_groups(offsets):
@@ -124,12 +131,22 @@ def text_mark(column: pa.Array) -> np.ndarray:
             cut = np.clip(offsets[i:j + 1] - offsets[i] - base, 0, PIECE)
             hashed = span_hash(prefix_hash(part[base : base + PIECE]), cut[:-1], cut[1:])
             out[i:j] = mix(out[i:j].view(np.uint64) * _K[2] + hashed).view(np.int64)
-    return (out.view(np.uint64) >> _U(42)).astype(np.int64)
+    return (out.view(np.uint64) >> _U(64 - MARK_BITS)).astype(np.int64)
 
 
-def packed_place(start: np.ndarray, extra: np.ndarray, offset: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """Start, further windows (5 bits), 5 bits more and the text's mark in one number, in order of start."""
-    return (start << 32) | (extra << 27) | (offset << 22) | mark
+def packed_place(start: np.ndarray, extra: np.ndarray, left: np.ndarray, right: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Start, further windows (5 bits), both side marks (6 bits each) and the text's mark in one number, in order of start."""
+    return (start << 32) | (extra << 27) | (left << 21) | (right << 15) | mark
+
+
+def _side_marks(texts: Suffixes, start: np.ndarray, last: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash bits of the bucket's bytes with ``SIDE`` more to the left, and to the right."""
+    left, right = np.full(len(place), NO_SIDE, np.int64), np.full(len(place), NO_SIDE, np.int64)
+    far = np.flatnonzero(place - start >= SIDE)
+    left[far] = (span_hash(texts.prefix, place[far] - SIDE, place[far] + GRAM) % _U(SIDES)).astype(np.int64)
+    far = np.flatnonzero(last - place + LENGTH - GRAM >= SIDE)
+    right[far] = (span_hash(texts.prefix, place[far], place[far] + GRAM + SIDE) % _U(SIDES)).astype(np.int64)
+    return left, right
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,47 +159,70 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(row):
                 continue
             ends = mix(texts.refined(start) * _K[2] + texts.refined(last) + ((place - start) * 64 + last - start).astype(np.uint64))
-            at = packed_place(start - offsets[row] + bases[row], last - start, place - start, mark[rows[row]])
+            left, right = _side_marks(texts, start, last, place)
+            at = packed_place(start - offsets[row] + bases[row], last - start, left, right, mark[rows[row]])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(texts.first[place].view(np.int64)), pa.array(ends.view(np.int64)), pa.array(ids[rows[row]]), pa.array(at)],
                 ["bucket", "run", "doc_id", "at"],
             )
 
 
+class Bucket:
+    """What is known of a bucket while its runs stream by, sorted by run and document.
+
+    For each side mark: the first run that has it, that run's rows so far, and
+    whether a second run has it too. The rows kept are those of one document.
+    """
+
+    def __init__(self, name: int):
+        self.name, self.run, self.first = name, None, 0
+        self.sides: list[dict[int, list]] = [{}, {}]
+
+    def see(self, run: int, doc: int, at: int) -> tuple[bool, list[tuple[int, int]]]:
+        """Whether the row goes whole, and the rows that turn out to be ambiguous."""
+        if run != self.run:
+            self.run, self.first = run, doc
+        if doc > self.first:
+            return True, []
+        found: list[tuple[int, int]] = []
+        shared = False
+        for side, shift in zip(self.sides, (21, 15), strict=True):
+            mark = (at >> shift) & 63
+            if mark == NO_SIDE:
+                continue
+            held = side.get(mark)
+            if held is None:
+                side[mark] = [run, [(doc, at)]]
+            elif held[0] == run and held[1] is not None:
+                held[1].append((doc, at))
+            else:
+                found += held[1] or []
+                held[1] = None
+                shared = True
+        return False, [*found, (doc, at)] if shared else found
+
+
 def _judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket, run, document. A run after its first document goes; the first ones of a mixed bucket are ambiguous."""
-    bucket = run = None
-    first = owner = 0  # first document of the run, and of the bucket
-    several = many = False  # the bucket has several runs, several documents
-    held: list[tuple[int, int]] = []
+    """Rows come sorted by bucket, run, document. A run after its first document goes; the first ones may be ambiguous."""
+    bucket = Bucket(0)
     for batch in batches:
         buckets, runs, ids, places = (np.asarray(batch.column(c)) for c in ("bucket", "run", "doc_id", "at"))
         alone = np.zeros(len(buckets), bool)  # the edges may go on in the next batch, so they always count
         if len(buckets) > 2:
             alone[1:-1] = (buckets[1:-1] != buckets[:-2]) & (buckets[1:-1] != buckets[2:])
         rest = np.flatnonzero(~alone)
-        out: tuple[list, list, list] = ([], [], [])
-
-        def emit(doc: int, at: int, whole: bool, out=out) -> None:
-            out[0].append(doc)
-            out[1].append(at)
-            out[2].append(whole)
-
+        out: list[tuple[int, int, bool]] = []
         for b, r, doc, at in zip(buckets[rest].tolist(), runs[rest].tolist(), ids[rest].tolist(), places[rest].tolist(), strict=True):
-            if b != bucket:
-                bucket, run, first, owner, several, many, held = b, r, doc, doc, False, False, []
-            elif r != run:
-                run, first, several = r, doc, True
-            many = many or doc != owner
-            if doc > first:
-                emit(doc, at, True)
-            else:
-                held.append((doc, at))
-            if several and many and held:
-                for d, a in held:
-                    emit(d, a, False)
-                held = []
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["doc_id", "at", "whole"])
+            if b != bucket.name or bucket.run is None:
+                bucket = Bucket(b)
+            whole, open_ = bucket.see(r, doc, at)
+            if whole:
+                out.append((doc, at, True))
+            out += [(d, a, False) for d, a in open_]
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "at", "whole"]
+        )
 
 
 def _judge_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +246,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc, mark, packed, places in zip(*(batch.column(c) for c in ("doc_id", "mark", "packed", "places")), strict=True):
             at = np.asarray(places.values)
-            at = np.unique(at[(at & 0x3FFFFF) == mark.as_py()])
+            at = np.unique(at[(at & MARK) == mark.as_py()])
             if not len(at):
                 continue
             data = np.frombuffer(open_.decompress(packed.as_py()), np.uint8)
@@ -218,7 +258,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     texts = Suffixes(data[base : base + PIECE + LENGTH - 1])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(texts.refined(own).view(np.int64)), pa.array(texts.second(own, own + LENGTH).view(np.int64)),
-                         pa.array(np.full(len(own), doc.as_py())), pa.array(packed_place(own + base, 0 * own, 0 * own, mark.as_py()))],
+                         pa.array(np.full(len(own), doc.as_py())), pa.array(packed_place(own + base, 0 * own, 0 * own, 0 * own, mark.as_py()))],
                         ["window", "second", "doc_id", "at"],
                     )
 
@@ -250,14 +290,14 @@ def find_marks(docs: DataFrame) -> DataFrame:
     known = docs.filter("doc_id IS NOT NULL")
     runs = known.select("doc_id", "text").mapInArrow(_runs, "bucket bigint, run bigint, doc_id bigint, at bigint")
     sorted_runs = runs.repartition("bucket").sortWithinPartitions("bucket", "run", "doc_id", "at")
-    judged = materialize(sorted_runs.mapInArrow(_judge_runs, "doc_id bigint, at bigint, whole boolean"), "runs")
+    judged = written(sorted_runs.mapInArrow(_judge_runs, "doc_id bigint, at bigint, whole boolean"), "runs")
     open_runs = judged.filter("NOT whole").select("doc_id", "at")
     asked = open_runs.groupBy("doc_id").agg(F.collect_list("at").alias("places"))
     _, packed = _split_by(known, bitmap(open_runs.select(F.xxhash64("doc_id").alias("h")), "h"))
     windows = packed.join(asked, "doc_id").mapInArrow(_windows, "window bigint, second bigint, doc_id bigint, at bigint")
     sorted_windows = windows.repartition("window").sortWithinPartitions("window", "second", "doc_id", "at")
     more = sorted_windows.mapInArrow(_judge_windows, "doc_id bigint, at bigint")
-    return judged.filter("whole").select("doc_id", "at").union(materialize(more, "windows"))
+    return judged.filter("whole").select("doc_id", "at").union(written(more, "windows"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +308,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = np.frombuffer(open_.decompress(batch.column("packed")[i].as_py()), np.uint8)
             places = batch.column("places")[i]
             at = np.asarray(places.values) if places.is_valid else np.zeros(0, np.int64)
-            at = at[(at & 0x3FFFFF) == batch.column("mark")[i].as_py()]
+            at = at[(at & MARK) == batch.column("mark")[i].as_py()]
             start = at >> 32
             change = np.zeros(len(data) + 1, np.int32)
             np.add.at(change, start, 1)
