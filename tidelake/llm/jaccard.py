@@ -14,9 +14,9 @@ components of all links.
    again: later only sets of different components are paired.
 4. Block skipping: what is left of the lists is joined by blocks of set size and
    position in the prefix. Blocks that cannot reach the overlap are never
-   paired. A pair's common prefix then bounds its overlap; a hub's known
-   overlaps with both sets bound it as well. Pairs that pass are verified on
-   their whole sets.
+   paired, and within them only shingles that stand early enough in both sets
+   for the sizes of this pair. A hub's known overlaps with both sets bound the
+   pair's. Pairs that pass are verified on their whole sets.
 
 Defined cases: words are lower-cased for A-Z only; fewer words than a shingle
 needs are one shingle; a document without words has an empty set and links with
@@ -197,24 +197,27 @@ def _block_width(size_class: Column) -> Column:
 
 
 def _skip_join(lists: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, m): pairs of different components and how many prefix shingles they share.
+    """(a, b, n_a, n_b): pairs of different components that may link.
 
     The index has one block for each shingle, size class and stretch of
-    positions; the smaller set of a pair looks only into blocks it can reach.
+    positions; the smaller set of a pair looks only into blocks it can reach. A
+    pair that links shares a shingle within the first ``n - needed + 1`` of both
+    sets, so sets that are alike but not alike enough mostly do not meet.
     """
     i, j, n_a, n_b = (F.col(c) for c in ("pos_a", "pos_b", "n_a", "n_b"))
     index = lists.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("component").alias("in_b"))
     index = index.withColumn("class", _size_class(n_b)).withColumn("block", F.floor(j / _block_width(F.col("class"))).cast("int"))
     probe = lists.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("component").alias("in_a"))
-    probe = probe.withColumn("class", F.explode(F.array(_size_class(n_a), _size_class(n_a) + 1)))
+    probe = probe.filter(i <= n_a - needed(n_a, n_a)).withColumn("class", F.explode(F.array(_size_class(n_a), _size_class(n_a) + 1)))
     width = _block_width(F.col("class"))
     low, high = F.floor(F.greatest(i - F.ceil(n_a * (100 - PERCENT) / (100 + PERCENT)) - 1, F.lit(0)) / width), F.floor((i + width + 1) / width)
     probe = probe.withColumn("block", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
     reach = F.least(i, j) + 1 + F.least(n_a - i - 1, n_b - j - 1)
     smaller_first = (n_a < n_b) | ((n_a == n_b) & (F.col("a") < F.col("b")))
-    close = (F.lit(PERCENT) * n_b <= 100 * n_a) & (reach >= needed(n_a, n_b))
+    need = needed(n_a, n_b)
+    close = (F.lit(PERCENT) * n_b <= 100 * n_a) & (reach >= need) & (i <= n_a - need) & (j <= n_b - need)
     joined = probe.join(index, ["token", "class", "block"]).filter(smaller_first & (F.col("in_a") != F.col("in_b")) & close)
-    return joined.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("m"))
+    return joined.select("a", "b", "n_a", "n_b").distinct()
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -246,7 +249,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     placed = lists.select("token", "node", "n", "pos").join(first, "node", "left")
     placed = materialize(placed.withColumn("component", F.coalesce("component", "node")), "placed")
     mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    pairs = _skip_join(placed.join(mixed, "token", "left_semi")).filter(_bounded(F.col("m"), F.col("n_a"), F.col("n_b")))
+    pairs = _skip_join(placed.join(mixed, "token", "left_semi"))
     # a hub's known overlaps: |a & b| <= |b & hub| + |a| - |a & hub|
     to_hub = answers.select(F.col("a").alias("x"), F.col("b").alias("hub"), "overlap")
     of_a = to_hub.select(F.col("x").alias("a"), F.col("hub").alias("hub_a"), F.col("overlap").alias("o_a"))
