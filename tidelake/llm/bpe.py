@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,12 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.arrays import mix, prefix_hash, powers, row_groups, utf8
-from tidelake.session import materialize
+from tidelake.llm.scratch import written
 
 #: Bytes: the rolling window, the mean chunk (a power of two), the least and the largest.
-ROLL, MEAN, LEAST, MOST = 16, 512, 128, 4096
+ROLL, MEAN, LEAST, MOST = 16, 1024, 256, 8192
 #: Pieces a task keeps before it starts its cache anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
+#: Bytes of ids handed on at a time.
+OUTPUT_BYTES = 4 << 20
 
 
 def text_key(text: Column) -> Column:
@@ -84,11 +86,11 @@ class Codec:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {"": b""}
+        self.tokens: list[str] | None = None
         whole = self.tokenizer.encode("one two\nthree", add_special_tokens=False).ids
         apart = [i for w in ("one", "two", "three") for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
         if whole != apart:
             raise ValueError(f"{path}: this tokenizer works across blanks or line breaks")
-        self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)] if self.tokenizer.decoder is None else None
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece; a piece holds no separator."""
@@ -109,10 +111,15 @@ class Codec:
         parts = text.replace("\n", " ").split(" ")
         return parts, self.pieces(parts)
 
+
     def decode(self, ids: np.ndarray) -> str:
-        if self.tokens is not None:
-            return " ".join(map(self.tokens.__getitem__, ids.tolist()))
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+        """The text of ids, special tokens kept. Without a decoder in the file it is the token strings with blanks between."""
+        if self.tokenizer.decoder is not None:
+            return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+        if self.tokens is None:
+            size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+            self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -221,28 +228,49 @@ def assemble(tool: Codec, raw: bytes, shared: list[dict]) -> bytes:
     return b"".join(out)
 
 
-def _encode(path: str):
+def whole_ids(tool: Codec, ids: np.ndarray) -> tuple:
+    """The ids of a text as little-endian unsigned 32-bit integers."""
+    return (ids.astype("<u4").tobytes(),)
+
+
+def _encode(path: str, fields: dict[str, pa.DataType], finish: Callable[[Codec, np.ndarray], tuple]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, open_ = codec(path), zstandard.ZstdDecompressor()
+
+        def made(keys: list[bytes], rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+            arrays = [pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *arrays], ["text_key", *fields])
+
         for batch in batches:
-            at, size, keys, rows = 0, 0, [], []
+            size, keys, rows = 0, [], []
             for key, packed, shared in zip(batch.column("text_key"), batch.column("packed"), batch.column("shared"), strict=True):
                 ids = np.frombuffer(assemble(tool, open_.decompress(packed.as_py()), shared.as_py() or []), tool.dtype)
                 keys.append(key.as_py())
-                rows.append(ids.astype("<u4").tobytes())
-                size += len(rows[-1])
-                at += 1
-                if size > 16 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(rows, pa.binary())], ["text_key", "ids"])
+                rows.append(finish(tool, ids))
+                size += 4 * len(ids)
+                if size > OUTPUT_BYTES:
+                    yield made(keys, rows)
                     size, keys, rows = 0, [], []
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(rows, pa.binary())], ["text_key", "ids"])
+            yield made(keys, rows)
 
     return run
 
 
-def encode_distinct(docs: DataFrame, path: str) -> DataFrame:
-    """(text_key, ids) of every distinct text: ids as little-endian unsigned 32-bit integers."""
-    chunked = materialize(distinct_chunks(docs), "chunks")
+_DDL = {pa.binary(): "binary", pa.string(): "string", pa.int64(): "bigint"}
+
+
+def encode_distinct(
+    docs: DataFrame, path: str, fields: dict[str, pa.DataType] | None = None, finish: Callable[[Codec, np.ndarray], tuple] = whole_ids
+) -> DataFrame:
+    """text_key and ``ids`` of every distinct text.
+
+    ``finish`` may make other columns, named and typed by ``fields``, of the
+    codec and a text's ids where they are encoded, so that the ids need not
+    leave the task.
+    """
+    fields = fields or {"ids": pa.binary()}
+    chunked = written(distinct_chunks(docs), "chunks")
     held = chunked.select("text_key", F.explode("chunks").alias("c")).select("text_key", "c.*")
     seen = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_key", "start", "end")).alias("owner"))
     shared = seen.filter("n > 1").select("key", "owner.*")
@@ -250,7 +278,8 @@ def encode_distinct(docs: DataFrame, path: str) -> DataFrame:
     packed = _packed(docs)
     encoded = packed.join(owned, "text_key").select("packed", "owned").mapInArrow(_export(path), "key binary, ids binary, head int, tail int")
     used = held.join(encoded, "key").groupBy("text_key").agg(F.collect_list(F.struct("start", "end", "ids", "head", "tail")).alias("shared"))
-    return packed.join(used, "text_key", "left").mapInArrow(_encode(path), "text_key binary, ids binary")
+    schema = ", ".join(["text_key binary", *[f"{name} {_DDL[kind]}" for name, kind in fields.items()]])
+    return packed.join(used, "text_key", "left").mapInArrow(_encode(path, fields, finish), schema)
 
 
 def decoded(encoded: DataFrame, path: str) -> DataFrame:

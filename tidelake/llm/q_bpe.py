@@ -3,38 +3,26 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelake.llm.bpe import codec, encode_distinct, per_document
+from tidelake.llm.bpe import Codec, encode_distinct, per_document
 from tidelake.llm.registry import register, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+DIGESTS = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """(text_key, n_tokens, ids_sha256, decoded_sha256), decoding inside the task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(path)
-        for batch in batches:
-            out = []
-            for ids in batch.column("ids"):
-                raw = ids.as_py()
-                text = tool.decode(np.frombuffer(raw, "<u4"))
-                out.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), *made], ["text_key", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.mapInArrow(run, "text_key binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+def digests(tool: Codec, ids: np.ndarray) -> tuple:
+    """Number and digest of the ids, and the digest of the text decoded from them."""
+    text = tool.decode(ids)
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
 @register("op1_bpe_chunks")
 def op1_bpe_chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return per_document(docs, digests(encode_distinct(docs, TOKENIZER), TOKENIZER), "doc_id")
+    return per_document(docs, encode_distinct(docs, TOKENIZER, DIGESTS, digests), "doc_id")
