@@ -314,6 +314,20 @@ def test_revisits(spark):
     assert warc.resolve_revisits(empty(spark, RECORD)).count() == 0
 
 
+def test_revisits_of_repeated_responses(spark):
+    tag = lambda v: [("ETag", v)]
+    rows = [
+        (1, "response", "http://a.com/x", 10, tag('"1"'), "one"), (1, "response", "http://a.com/x", 10, tag('"1"'), "one"),
+        (1, "response", "http://a.com/x", 10, tag('"1"'), "other"), (1, "response", "http://b.com/y", 10, tag('"1"'), "elsewhere"),
+        (1, "response", "http://a.com/x", 30, tag('"3"'), "later"), (1, "response", None, 10, tag('"1"'), "nowhere"),
+        (11, "revisit", "http://a.com/x", 15, tag('"1"'), None), (12, "revisit", "http://b.com/y", 15, tag('"1"'), None),
+        (13, "revisit", "http://a.com/x", 35, tag('"3"'), None), (13, "revisit", "http://a.com/x", 35, tag('"3"'), None),
+    ]
+    found = warc.resolve_revisits(spark.createDataFrame([(*r, "x") for r in rows], RECORD)).collect()
+    got = sorted((r["record_id"], r["status"], r["response_id"], r["payload"]) for r in found)
+    assert got == [(11, "resolved", 1, "one"), (12, "resolved", 1, "elsewhere"), (13, "resolved", 1, "later"), (13, "resolved", 1, "later")]
+
+
 def test_pipeline_stages(spark, tmp_path):
     base = [(i, f"der und ist ein haus {words(30, i)}") for i in range(1, 40)]
     secret = (60, "der hund " + words(25, 60) + " password=abcdefgh1234")

@@ -13,9 +13,10 @@ so a URL that holds a third of all records does not land in one task.
 Defined cases: a revisit with a null URL or time, or without an earlier
 response, is ``no_response``; without any validator ``no_validator``; with a
 different one ``changed``; these keep their own headers and have no payload. Of
-responses with the same URL and time the one with the largest record_id counts.
-Null header lists are empty; null header names are dropped; repeated records
-are resolved one by one; other columns are ignored.
+responses with the same URL and time the one with the largest record_id counts;
+of rows that repeat this response, the one with the least headers and then the
+least payload. Null header lists are empty; null header names are dropped;
+repeated revisits are resolved one by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelake.llm.scratch import written
 from tidelake.operators.ordered import forward_fill
 from tidelake.session import materialize
 
@@ -69,22 +71,26 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     rows = records.select(
         "record_id", "kind", canonical_url(F.col("url")).alias("url_key"), "time", _headers(F.col("headers")).alias("headers"), "payload"
     )
-    responses, revisits = rows.filter("kind = 'response'"), rows.filter("kind = 'revisit'")
     known = F.col("url_key").isNotNull() & F.col("time").isNotNull()
+    responses, revisits = rows.filter("kind = 'response'").filter(known), rows.filter("kind = 'revisit'")
     # at one time a revisit comes before a response: only earlier responses count
-    full = responses.filter(known).groupBy("url_key", "time").agg(F.max("record_id").cast("string").alias("found"))
-    asked = revisits.filter(known).groupBy("url_key", "time").agg(F.lit(None).cast("string").alias("found"))
+    full = responses.groupBy("url_key", "time").agg(F.max("record_id").cast("string").alias("found"))
+    full = full.withColumn("found_time", F.when(F.col("found").isNotNull(), F.col("time").cast("string")))
+    none = F.lit(None).cast("string")
+    asked = revisits.filter(known).groupBy("url_key", "time").agg(none.alias("found"), none.alias("found_time"))
     points = full.withColumn("at", F.col("time") * 2 + 1).union(asked.withColumn("at", F.col("time") * 2))
-    filled = forward_fill(materialize(points.drop("time"), "points"), ["url_key"], "at", ["found"])
+    filled = forward_fill(materialize(points.drop("time"), "points"), ["url_key"], "at", ["found", "found_time"])
     found = filled.filter((F.col("at") % 2 == 0) & F.col("found").isNotNull()).select(
-        "url_key", (F.col("at") / 2).cast("bigint").alias("time"), F.col("found").cast("bigint").alias("response_id")
+        "url_key", (F.col("at") / 2).cast("bigint").alias("time"), F.col("found").cast("bigint").alias("response_id"),
+        F.col("found_time").cast("bigint").alias("response_time"),
     )
     linked = revisits.drop("kind", "payload").join(found, ["url_key", "time"], "left")
-    stored = responses.select(
-        F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("payload").alias("stored_payload"),
-        F.col("url_key").alias("stored_key"),
+    # a response is one row, however often it is listed; written, as Spark splits no join whose side is an aggregate
+    once = responses.groupBy(F.col("record_id").alias("response_id"), "url_key", F.col("time").alias("response_time")).agg(
+        F.min(F.struct(F.col("headers").alias("stored"), F.col("payload").alias("stored_payload"))).alias("least")
     )
-    both = linked.join(stored, "response_id", "left")
+    stored = written(once.select("response_id", "url_key", "response_time", "least.*"), "responses")
+    both = linked.join(stored, ["response_id", "url_key", "response_time"], "left")
     own_tag, own_date = header(F.col("headers"), "etag"), header(F.col("headers"), "last-modified")
     tag, date = header(F.col("stored"), "etag"), header(F.col("stored"), "last-modified")
     weak = lambda c: F.regexp_replace(c, "^W/", "")
