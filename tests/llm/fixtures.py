@@ -57,6 +57,16 @@ def jaccard_components(texts: dict[int, str | None]) -> dict[int, tuple[int, int
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
+def jaccard_links(texts: dict[int, str | None]) -> dict[int, set[int]]:
+    """The other sets, each named by its smallest id, that the set of a document links with."""
+    heads: dict[frozenset, int] = {}
+    for d in sorted(texts):
+        if s := shingle_set(texts[d]):
+            heads.setdefault(s, d)
+    near = {a: {d for b, d in heads.items() if a != b and 100 * len(a & b) >= 80 * len(a | b)} for a in heads}
+    return {d: near.get(shingle_set(t), set()) for d, t in texts.items()}
+
+
 def repeat_spans(rows: list[tuple[int, bytes]], length: int = 50) -> list[tuple[int, list[tuple[int, int]]]]:
     starts = defaultdict(list)
     for d, t in rows:

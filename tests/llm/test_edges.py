@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.fixtures import DOC_SCHEMA, awkward_texts, documents, jaccard_components, repeat_spans, words
+from tests.llm.fixtures import DOC_SCHEMA, awkward_texts, documents, jaccard_components, jaccard_links, repeat_spans, words
 from tidelake.llm import bpe, chat, components, decontaminate, jaccard, langid, quality, repeats, secrets, vectors, warc
 from tidelake.llm.q_bpe import TOKENIZER
 
@@ -167,6 +167,36 @@ def test_jaccard(spark, repeat):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+@pytest.mark.parametrize("repeat", [False, True])
+@pytest.mark.parametrize("block", [7, 256])
+def test_jaccard_links(spark, repeat, block):
+    without = lambda n, seed, gone: " ".join(w for j, w in enumerate(words(n, seed).split()) if j not in gone)
+    texts = [(100 + i, without(120, 77, {i})) for i in range(40)] + [(200 + i, without(120, 77, {i, i + 40, 3 * i})) for i in range(30)]
+    texts += [(300 + i, words(40, 50) + " " + words(3 + i % 4, 300 + i)) for i in range(12)] + awkward_texts()
+    want = jaccard_links(dict(texts))
+    assert max(len(x) for x in want.values()) > 40 and any(len(x) < 60 for d, x in want.items() if d >= 200)
+    got: dict[int, list[int]] = {}
+    for r in jaccard.similar_links(documents(spark, texts, repeat), block).collect():
+        got.setdefault(r["node"], []).extend(r["linked"])
+    heads = {d for x in want.values() for d in x}
+    assert {d: sorted(x) for d, x in got.items()} == {d: sorted(want[d]) for d in heads}
+    rows = jaccard.similar_answers(documents(spark, texts, repeat), block).collect()
+    groups = jaccard_components(dict(texts))
+    assert len(rows) == len(texts) * (1 + repeat)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in rows} == {d: (*groups[d], len(want[d])) for d, _ in texts}
+
+
+def test_jaccard_links_of_ids_with_several_texts(spark):
+    base = words(60, 3).split()
+    texts = [(1, " ".join(base)), (1, words(60, 4)), (2, " ".join(base[1:])), (3, " ".join(base[:-1])), (4, words(59, 4))]
+    texts += [(5, words(58, 4)), (2, words(30, 8))]
+    found = jaccard.similar_links(documents(spark, texts)).collect()
+    assert sorted((r["node"], x) for r in found for x in r["linked"]) == sorted([
+        (1, 2), (2, 1), (1, 3), (3, 1), (2, 3), (3, 2), (1, 4), (4, 1), (1, 5), (5, 1), (4, 5), (5, 4),
+    ])
+    assert jaccard.similar_links(empty(spark)).count() == 0 and jaccard.similar_answers(empty(spark)).count() == 0
+
+
 def test_jaccard_null_id_and_empty(spark):
     rows = jaccard.similar_groups(documents(spark, [(None, words(30)), (2, words(30)), (3, words(30))])).collect()
     assert {(r["doc_id"], r["component_id"]) for r in rows} >= {(2, 2), (3, 2)} and len(rows) == 3

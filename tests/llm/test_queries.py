@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_points
 from tests.harness import compare
-from tests.llm.fixtures import jaccard_components, repeat_spans
+from tests.llm.fixtures import jaccard_components, jaccard_links, repeat_spans
 from tidelake.llm import queries
 from tidelake.llm.q_bpe import TOKENIZER
 
@@ -70,6 +70,11 @@ def test_op6(spark, sf, texts):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == jaccard_components(texts)
 
 
+def test_op6_links(spark, sf, texts):
+    rows = queries.QUERIES["op6_ngram_jaccard"](spark, sf).collect()
+    assert {r["doc_id"]: r["n_links"] for r in rows} == {d: len(x) for d, x in jaccard_links(texts).items()}
+
+
 def test_op7(spark, sf, texts):
     raw = {d: (t or "").encode() for d, t in texts.items()}
     rows = {r["doc_id"]: r for r in queries.QUERIES["op7_suffix_repeats"](spark, sf).collect()}

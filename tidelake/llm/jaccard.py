@@ -1,8 +1,9 @@
 """N-gram Jaccard join with set-relation skipping.
 
 A set holds the distinct shingles of a document, as 64-bit hashes. Two sets
-link when 100 * intersection >= PERCENT * union. The join finds the connected
-components of all links.
+link when 100 * intersection >= PERCENT * union. The join finds all links
+(``similar_links``, ``similar_answers``), or only their connected components
+(``similar_groups``).
 
 1. Equal sets are one class, and the smallest document stands for it.
 2. Shingles are ordered by rarity, from counts over all documents in a table of
@@ -10,8 +11,12 @@ components of all links.
    links with, so only prefixes are indexed.
 3. Answers from a similar set: each list of the index has a hub, its smallest
    set. A set is first compared with the hub it shares most of its prefix with.
-   Those that link share a component, and what that settles is not computed
-   again: later only sets of different components are paired.
+   The sets that link with one hub are a group. Where only components are asked
+   for, what this settles is not computed again: later only sets of different
+   components are paired. For all links, the answers inside a group are derived
+   from what each member has and its hub has not, or the other way round:
+   |a & b| = |a & hub| + |b & hub| - |hub| + |(a ^ hub) & (b ^ hub)|. A group is
+   cut into blocks, and each two blocks are a cell of their own.
 4. Block skipping: what is left of the lists is joined by blocks of set size and
    position in the prefix. Blocks that cannot reach the overlap are never
    paired, and within them only shingles that stand early enough in both sets
@@ -44,6 +49,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Counters for rarity; a fixed number.
 COUNTER_BITS = 16
+#: Members of a group in one block, and shingles compared at once in a cell.
+BLOCK, AT_ONCE = 256, 4096
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 
@@ -146,8 +153,11 @@ def _packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return kept.mapInArrow(run, "node bigint, packed binary").join(wanted, "node", "left_semi")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, overlap) of each pair (a, b), from the whole texts."""
+def verified(docs: DataFrame, pairs: DataFrame, deltas: bool = False) -> DataFrame:
+    """(a, b, n_a, n_b, overlap, delta) of each pair (a, b), from the whole texts.
+
+    With ``deltas``, ``delta`` holds the shingles that only one of two linked sets has, as 64-bit numbers.
+    """
     pairs = materialize(pairs.select("a", "b"), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = materialize(_packed_texts(docs, wanted), "texts")
@@ -164,18 +174,80 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 for i, _, found in sets_of(texts_):
                     sets.update(zip(packed[i : i + len(found)], found, strict=True))
                 overlap = [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(*sides, strict=True)]
+                delta = [
+                    np.setxor1d(sets[x], sets[y], assume_unique=True).tobytes() if deltas and _links(len(sets[x]), len(sets[y]), m) else None
+                    for x, y, m in zip(*sides, overlap, strict=True)
+                ]
                 size = [pa.array([len(sets[p]) for p in side], pa.int64()) for side in sides]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("a"), part.column("b"), *size, pa.array(overlap, pa.int64())], ["a", "b", "n_a", "n_b", "overlap"]
+                    [part.column("a"), part.column("b"), *size, pa.array(overlap, pa.int64()), pa.array(delta, pa.binary())],
+                    ["a", "b", "n_a", "n_b", "overlap", "delta"],
                 )
 
     first = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
     both = first.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
-    return materialize(both.select("a", "b", "pa", "pb").mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, overlap bigint"), "verified")
+    schema = "a bigint, b bigint, n_a bigint, n_b bigint, overlap bigint, delta binary"
+    return materialize(both.select("a", "b", "pa", "pb").mapInArrow(run, schema), "verified")
+
+
+def _links(n_a, n_b, overlap):
+    """Whether sets link, for columns, arrays and numbers."""
+    return 100 * overlap >= PERCENT * (n_a + n_b - overlap)
 
 
 def links_among(found: DataFrame) -> DataFrame:
-    return found.filter(100 * F.col("overlap") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b")
+    return found.filter(_links(F.col("n_a"), F.col("n_b"), F.col("overlap"))).select("a", "b")
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set on the left shares with each on the right."""
+    sides = [(np.concatenate([*side, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(side)), [len(x) for x in side])) for side in (left, right)]
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(shared), AT_ONCE):
+        part = shared[at : at + AT_ONCE]
+        held = []
+        for (values, owner), size in zip(sides, out.shape, strict=True):
+            place = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[place] == values
+            marks = np.zeros((size, len(part)), np.float32)
+            marks[owner[hit], place[hit]] = 1
+            held.append(marks)
+        out += (held[0] @ held[1].T).astype(np.int64)
+    return out
+
+
+def _cell_answers(cell: pa.Table) -> pa.Table:
+    """(node, linked): links between the members of a group's blocks ``i`` and ``j``, listed for both ends."""
+    block = np.asarray(cell.column("block"))
+    one = cell.column("i")[0].as_py() == cell.column("j")[0].as_py()
+    left = np.flatnonzero(block == cell.column("i")[0].as_py())
+    right = np.flatnonzero(block == cell.column("j")[0].as_py())
+    node, n, overlap, hub_n = (np.asarray(cell.column(c)) for c in ("node", "n", "overlap", "hub_n"))
+    delta = [np.frombuffer(d, np.uint64) for d in cell.column("delta").to_pylist()]
+    both = overlap[left][:, None] + overlap[right][None, :] - hub_n[0] + _common([delta[x] for x in left], [delta[x] for x in right])
+    links = _links(n[left][:, None], n[right][None, :], both)
+    if one:
+        np.fill_diagonal(links, False)
+    lists = [(node[a], node[right[row]]) for a, row in zip(left, links, strict=True)]
+    if not one:
+        lists += [(node[b], node[left[row]]) for b, row in zip(right, links.T, strict=True)]
+    lists = [(a, found) for a, found in lists if len(found)]
+    return pa.table(
+        {"node": pa.array([a for a, _ in lists], pa.int64()), "linked": pa.array([x for _, x in lists], pa.list_(pa.int64()))}
+    )
+
+
+def _group_answers(members: DataFrame, block: int) -> DataFrame:
+    """(node, linked): the links between members of the same group, without those to its hub, listed for both ends."""
+    sizes = materialize(members.groupBy("hub").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "groups")
+    blocks = F.ceil(F.col("k") / block).cast("int")
+    placed = members.join(sizes, "hub").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select(
+        "hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "overlap", "hub_n", "delta"
+    )
+    return cells.groupBy("hub", "i", "j").applyInArrow(_cell_answers, "node bigint, linked array<bigint>")
 
 
 def _bounded(m: Column, n_a: Column, n_b: Column) -> Column:
@@ -197,7 +269,7 @@ def _block_width(size_class: Column) -> Column:
 
 
 def _skip_join(lists: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b): pairs of different components that may link.
+    """(a, b, n_a, n_b): pairs of different groups that may link.
 
     The index has one block for each shingle, size class and stretch of
     positions; the smaller set of a pair looks only into blocks it can reach. A
@@ -205,9 +277,9 @@ def _skip_join(lists: DataFrame) -> DataFrame:
     sets, so sets that are alike but not alike enough mostly do not meet.
     """
     i, j, n_a, n_b = (F.col(c) for c in ("pos_a", "pos_b", "n_a", "n_b"))
-    index = lists.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("component").alias("in_b"))
+    index = lists.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("group").alias("in_b"))
     index = index.withColumn("class", _size_class(n_b)).withColumn("block", F.floor(j / _block_width(F.col("class"))).cast("int"))
-    probe = lists.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("component").alias("in_a"))
+    probe = lists.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("group").alias("in_a"))
     probe = probe.filter(i <= n_a - needed(n_a, n_a)).withColumn("class", F.explode(F.array(_size_class(n_a), _size_class(n_a) + 1)))
     width = _block_width(F.col("class"))
     low, high = F.floor(F.greatest(i - F.ceil(n_a * (100 - PERCENT) / (100 + PERCENT)) - 1, F.lit(0)) / width), F.floor((i + width + 1) / width)
@@ -220,8 +292,11 @@ def _skip_join(lists: DataFrame) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b").distinct()
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def _found(docs: DataFrame, every: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Rows with their sets, the heads of classes, the verified pairs with hubs and without, and the members of hubs.
+
+    Members are given if ``every`` link is asked for; the pairs then lack only those inside a group.
+    """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = materialize(set_rows(docs), "sets")
     classes = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL")
@@ -242,13 +317,26 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         _bounded(F.col("m"), F.col("n"), F.col("hub_n"))
     )
     best = with_hub.groupBy("node").agg(F.max_by("hub", F.struct("m", -F.col("hub"))).alias("hub"))
-    answers = verified(docs, best.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    first = components(links_among(answers))
-
-    # only lists with sets of several components are joined
+    answers = verified(docs, best.select(F.col("node").alias("a"), F.col("hub").alias("b")), deltas=every)
+    members = None
+    if every:
+        # an id with several sets has several answers to a hub, and is in no group
+        several = rows.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("doc_id")
+        several = materialize(several, "several")
+        members = answers.filter("delta IS NOT NULL").select(
+            F.col("b").alias("hub"), F.col("a").alias("node"), F.col("n_a").alias("n"), F.col("n_b").alias("hub_n"), "overlap", "delta"
+        )
+        for end in ("hub", "node"):
+            members = members.join(several.select(F.col("doc_id").alias(end)), end, "left_anti")
+        members = materialize(members.dropDuplicates(["node"]), "members")
+        first = members.select("node", F.col("hub").alias("group"))
+    else:
+        first = components(links_among(answers)).withColumnRenamed("component", "group")
+
+    # only lists with sets of several groups are joined
     placed = lists.select("token", "node", "n", "pos").join(first, "node", "left")
-    placed = materialize(placed.withColumn("component", F.coalesce("component", "node")), "placed")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
+    placed = materialize(placed.withColumn("group", F.coalesce("group", "node")), "placed")
+    mixed = placed.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y").select("token")
     pairs = _skip_join(placed.join(mixed, "token", "left_semi"))
     # a hub's known overlaps: |a & b| <= |b & hub| + |a| - |a & hub|
     to_hub = answers.select(F.col("a").alias("x"), F.col("b").alias("hub"), "overlap")
@@ -259,9 +347,47 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     settled = (F.col("hub_a") == F.col("hub_b")) & (cap < needed(F.col("n_a"), F.col("n_b")))
     direct = F.coalesce(F.col("hub_a") == F.col("b"), F.lit(False)) | F.coalesce(F.col("hub_b") == F.col("a"), F.lit(False))
     open_pairs = known.filter(~F.coalesce(settled, F.lit(False)) & ~direct).select("a", "b")
-    more = verified(docs, open_pairs)
+    return rows, heads, answers, verified(docs, open_pairs), members
 
-    groups = components(links_among(answers).union(links_among(more)))
-    of_class = heads.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+
+def _documents(rows: DataFrame, heads: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows with the head of their class and its component."""
+    of_class = heads.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = rows.join(of_class, "digest", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "node")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    rows, heads, answers, more, _ = _found(docs, every=False)
+    return _documents(rows, heads, links_among(answers).union(links_among(more))).drop("node")
+
+
+def _once(links: DataFrame) -> DataFrame:
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+
+
+def _listed(links: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """(node, linked): links as pairs and those inside groups, listed for both ends."""
+    one = links.select(F.col("a").alias("node"), F.array("b").alias("linked"))
+    other = links.select(F.col("b").alias("node"), F.array("a").alias("linked"))
+    return _group_answers(members, block).union(one).union(other)
+
+
+def similar_links(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node, linked): all links between different sets, each listed for both ends.
+
+    A set is named by its smallest doc_id. Its answers are spread over several
+    rows, so that no row grows with a group; no link is listed twice.
+    """
+    _, _, answers, more, members = _found(docs, every=True)
+    return _listed(_once(links_among(answers.union(more))), members, block)
+
+
+def similar_answers(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The columns of ``similar_groups`` and n_links: how many other sets the document's set links with."""
+    rows, heads, answers, more, members = _found(docs, every=True)
+    links = materialize(_once(links_among(answers.union(more))), "pairs-linked")
+    counts = _listed(links, members, block).groupBy("node").agg(F.sum(F.size("linked")).alias("n_links"))
+    found = _documents(rows, heads, links).join(counts, "node", "left")
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
