@@ -180,6 +180,38 @@ def column_profile_sketch(spark, sf):
     )
 
 
+_LINE_TYPES = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double",
+    "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz",
+}
+
+
+def _line_profile_sql() -> str:
+    parts = []
+    for name, kind in _LINE_TYPES.items():
+        width = f"avg(octet_length(CAST({name} AS BLOB)))" if kind == "string" else "4.0::DOUBLE" if kind == "int" else "8.0::DOUBLE"
+        text = "CAST(CAST({}({}) AS DECIMAL(38,6)) AS VARCHAR)" if kind == "double" else "CAST({}({}) AS VARCHAR)"
+        parts.append(
+            f"SELECT '{name}' AS column_name, '{kind}' AS data_type, true AS within_error, count(*) - count({name}) AS num_nulls, "
+            f"count(*) > count({name}) AS is_null_ever, round({width}, 6) AS avg_col_len, {text.format('min', name)} AS low_value, "
+            f"{text.format('max', name)} AS high_value FROM lineitem"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@register("column_profile_sketch_lines", _line_profile_sql())
+def column_profile_sketch_lines(spark, sf):
+    """As column_profile_sketch, over all rows and columns of a large table."""
+    lines = table(spark, sf, "lineitem")
+    sketch = P.column_profile(lines)
+    exact = P.column_profile(lines, exact=True).select("column_name", F.col("num_distinct").alias("n"))
+    near = F.abs(F.col("num_distinct") - F.col("n")) <= F.greatest(0.2 * F.col("n"), F.lit(1.0))
+    return sketch.join(exact, "column_name").select(
+        "column_name", "data_type", near.alias("within_error"), "num_nulls", "is_null_ever",
+        F.round("avg_col_len", 6).alias("avg_col_len"), "low_value", "high_value",
+    )
+
+
 @register("storage_balance", f"""
 WITH {FILES_SQL},
 sized AS (SELECT table_name, CAST(regexp_extract(size_text, '[0-9.]+') AS DOUBLE) *

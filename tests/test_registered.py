@@ -32,3 +32,9 @@ def test_every_oracle_has_a_query():
     assert set(QUERIES) <= set(entry_points.queries())
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     assert set(ORACLES) == set(QUERIES)
+
+
+def test_a_sketch_profiles_every_column_of_the_largest_table(spark, sf):
+    rows = QUERIES["column_profile_sketch_lines"](spark, sf).collect()
+    assert sorted(r["column_name"] for r in rows) == sorted(spark.read.parquet(f"{sf}/lineitem.parquet").columns)
+    assert all(r["within_error"] for r in rows)
