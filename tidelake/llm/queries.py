@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from tidelake.llm import (  # noqa: F401
-    q_align, q_bpe, q_chat, q_decontaminate, q_jaccard, q_langid, q_negatives, q_quality, q_repeats, q_secrets, q_vectors, q_warc,
+    q_align, q_bpe, q_chat, q_decontaminate, q_jaccard, q_langid, q_maxent, q_negatives, q_quality, q_repeats, q_secrets, q_vectors, q_warc,
 )
 from tidelake.llm.registry import ORACLES, QUERIES, register
 
