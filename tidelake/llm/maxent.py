@@ -352,8 +352,8 @@ def vocabulary(docs: DataFrame, listed: DataFrame) -> Vocabulary:
     classed = written(counts.select("word", "c", F.when(F.col("c") < 2, RARE).otherwise(place).cast("int").alias("class")), "classes")
 
     order = Window.partitionBy("class").orderBy(F.col("c").desc(), "word")
-    heads = written(classed.filter(F.col("class") != RARE).withColumn("slot", F.row_number().over(order) - 1)
-                    .filter(F.col("slot") < SLOTS - 1).select("word", "class", "c", "slot"), "heads")
+    heads = written(classed.filter(F.col("class") != RARE).withColumn("rank", F.row_number().over(order))
+                    .filter(F.col("rank") < SLOTS).select("word", "class", "c", (F.col("rank") - 1).alias("slot")), "heads")
     mass = np.zeros(CLASSES)
     for r in classed.groupBy("class").agg(F.sum("c").alias("n")).collect():
         mass[r["class"]] = r["n"]
