@@ -70,6 +70,7 @@ _NEVER = -1e9
 #: Above any score that training reaches, and far below what overflows.
 _HIGHEST = 60.0
 _ONES = np.ones(CLASSES, np.float32)
+_FEW = 4
 
 
 def tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
@@ -214,17 +215,43 @@ def softmax(base: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np
     return z
 
 
-def log10_probabilities(model: Model, ids: np.ndarray, starts: np.ndarray, a: int, b: int) -> np.ndarray:
-    """log10 P(class, slot | history) of the tokens [a, b)."""
+def _outcomes(ids: np.ndarray, starts: np.ndarray, a: int, b: int):
+    """Classes and slots of the tokens [a, b), features for the class, the tokens whose class has several slots, and theirs for the slot."""
     outcome = ids[a:b].astype(np.uint32)
     classes, slots = outcome // SLOTS, outcome % SLOTS
+    open_ = np.flatnonzero(classes != RARE)
     of_class, of_slot = features(histories(ids, starts, a, b), classes)
-    at = np.arange(b - a)
-    p = softmax(model.class_base, model.class_weights, of_class)[at, classes].astype(np.float64)
-    p *= softmax(model.slot_base.take(classes, axis=0), model.slot_weights, of_slot)[at, slots]
+    return classes, slots, of_class, open_, [r[open_] for r in of_slot]
+
+
+def log10_probabilities(model: Model, ids: np.ndarray, starts: np.ndarray, a: int, b: int) -> np.ndarray:
+    """log10 P(class, slot | history) of the tokens [a, b)."""
+    classes, slots, of_class, open_, of_slot = _outcomes(ids, starts, a, b)
+    p = softmax(model.class_base, model.class_weights, of_class)[np.arange(b - a), classes].astype(np.float64)
+    inside = softmax(model.slot_base.take(classes[open_], axis=0), model.slot_weights, of_slot)
+    p[open_] *= inside[np.arange(len(open_)), slots[open_]]
     return np.log10(np.maximum(p, 1e-30))
 
 
+def row_sums(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct row numbers, the sum of the values of each, and how many there are."""
+    order = np.argsort(row, kind="stable")
+    sorted_ = row[order]
+    heads = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    lengths = np.diff(heads, append=len(row))
+    total = values.take(order[heads], axis=0)
+    # most rows stand there a few times, which plain additions sum faster than a reduction
+    few = lengths <= _FEW
+    for r in range(1, _FEW):
+        more = np.flatnonzero(few & (lengths > r))
+        total[more] += values.take(order[heads[more] + r], axis=0)
+    many = np.flatnonzero(~few)
+    if len(many):
+        part = order[np.repeat(~few, lengths)]
+        total[many] = np.add.reduceat(values.take(part, axis=0), np.cumsum(lengths[many]) - lengths[many], axis=0)
+    return sorted_[heads], total, lengths
+
+
 class Learner:
     """AdaGrad steps on a copy of the weights."""
 
@@ -235,24 +262,24 @@ class Learner:
         self.touched = [np.zeros(len(w), np.float32) for w in self.weights]
 
     def step(self, ids: np.ndarray, starts: np.ndarray, a: int, b: int) -> None:
-        outcome = ids[a:b].astype(np.uint32)
-        classes, slots = outcome // SLOTS, outcome % SLOTS
-        at = np.arange(b - a)
-        bases = (self.model.class_base, self.model.slot_base.take(classes, axis=0))
-        for level, (base, rows, right) in enumerate(zip(bases, features(histories(ids, starts, a, b), classes), (classes, slots), strict=True)):
-            weights, sums, touched = self.weights[level], self.sums[level], self.touched[level]
-            gradient = softmax(base, weights, rows)
-            np.negative(gradient, out=gradient)
-            gradient[at, right] += 1
-            for row in rows:
-                order = np.argsort(row, kind="stable")
-                sorted_ = row[order]
-                heads = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-                total = np.add.reduceat(gradient.take(order, axis=0), heads, axis=0)
-                used = sorted_[heads]
-                sums[used] += np.einsum("ij,ij->i", total, total)
-                weights[used] += RATE * total / np.sqrt(sums[used])[:, None]
-                touched[used] += np.diff(np.append(heads, len(row)))
+        classes, slots, of_class, open_, of_slot = _outcomes(ids, starts, a, b)
+        self._move(0, self.model.class_base, of_class, classes)
+        if len(open_):
+            self._move(1, self.model.slot_base.take(classes[open_], axis=0), of_slot, slots[open_])
+
+    def _move(self, level: int, base: np.ndarray, rows: list[np.ndarray], right: np.ndarray) -> None:
+        weights, sums, touched = self.weights[level], self.sums[level], self.touched[level]
+        gradient = softmax(base, weights, rows)
+        np.negative(gradient, out=gradient)
+        gradient[np.arange(len(right)), right] += 1
+        for row in rows:
+            used, total, n = row_sums(gradient, row)
+            size = sums.take(used) + np.einsum("ij,ij->i", total, total)
+            sums[used] = size
+            total *= (RATE / np.sqrt(size))[:, None]
+            total += weights.take(used, axis=0)
+            weights[used] = total
+            touched[used] += n
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
