@@ -67,6 +67,7 @@ def random_model(seed=3):
     shape = (1 << maxent.BITS, maxent.CLASSES)
     base = np.log(rng.dirichlet(np.ones(maxent.CLASSES))).astype(np.float32)
     slots = np.log(rng.dirichlet(np.ones(maxent.SLOTS), maxent.CLASSES)).astype(np.float32)
+    slots[maxent.RARE] = [0, *[maxent._NEVER] * (maxent.SLOTS - 1)]  # its one slot is certain
     return maxent.Model(base, slots, rng.normal(size=shape).astype(np.float32), rng.normal(size=shape).astype(np.float32))
 
 
@@ -89,6 +90,7 @@ def dense(model, ids, starts):
 def test_batches_agree_with_a_dense_loop():
     rng = np.random.default_rng(1)
     model, ids, starts = random_model(), rng.integers(0, maxent.START, 60).astype("<u2"), np.array([0, 1, 17, 40])
+    ids[ids > maxent.RARE * maxent.SLOTS] = maxent.RARE * maxent.SLOTS
     want = dense(model, ids, starts)
     for size in (60, 7, 1):
         got = np.concatenate([maxent.log10_probabilities(model, ids, starts, a, min(a + size, 60)) for a in range(0, 60, size)])
