@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ("relational", "summaries", "profiles", "loads", "lake")
+_MODULES = ("relational", "summaries", "profiles", "loads", "lake", "stored")
 
 
 def register(name: str, sql: str | None = None):

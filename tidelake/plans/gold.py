@@ -14,8 +14,9 @@ from tidelake.operators.joins import filter_by_keys, key_set, null_safe_join
 from tidelake.operators.ordered import row_budget_groups
 from tidelake.operators.reports import compute_stats
 from tidelake.operators.schema import align, cast_columns, cast_failures
+from tidelake.plans.incremental import newest_in
 from tidelake.session import materialize, scratch_path
-from tidelake.sources.sinks import create_gold, insert_append, insert_overwrite, path_exists
+from tidelake.sources.sinks import create_gold, insert_append, insert_overwrite, path_exists, table_location
 
 ROWS_PER_GROUP = 100_000_000
 
@@ -76,6 +77,11 @@ def new_since(
     the text in any form, is compared as text besides, so that scans can skip.
     """
     newest = gold.agg(F.max(F.col(gold_key).cast("timestamp_ntz" if timed else "date"))).first()[0]
+    return landed_after(landing, landing_key, newest, landed, timed)
+
+
+def landed_after(landing: DataFrame, landing_key: str, newest, landed: bool = True, timed: bool = False) -> DataFrame:
+    """As ``new_since``, for a watermark that is known."""
     if newest is None:
         return landing
     if not landed:
@@ -154,7 +160,9 @@ def promote(
     gold = spark.table(table)
     gold_key = gold_key or landing_key
     if style == "INCREMENTAL":
-        rows = new_since(landing, gold, landing_key, gold_key, landed, timed)
+        # gold has one writer, so footers need no confirmation
+        newest = newest_in(spark, table_location(spark, table), gold_key, timed, confirm=False)
+        rows = landed_after(landing, landing_key, newest, landed, timed)
     elif style == "PARTITION_UPDATE":
         rows = new_partitions(landing, gold, landing_key, gold_key)
     else:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelake.functions.predicates import compare, landed_day, landed_second
 from tidelake.operators.joins import filter_by_keys, key_set, null_safe_join
 from tidelake.session import materialize
+from tidelake.sources import footers
 from tidelake.sources.sinks import land_append, path_exists, recover_folder, replace_folder
 
 MAX_NEW_DATES = 20
@@ -27,16 +28,32 @@ def rows_after_watermark(
         newest = F.max(landed_second(key) if timed else landed_day(key))
     else:
         newest = F.max(F.col(key).cast("timestamp_ntz" if timed else "date"))
-    top = lake.agg(newest).first()[0]
+    return rows_after(source, key, lake.agg(newest).first()[0])
+
+
+def rows_after(source: DataFrame, key: str, top) -> DataFrame:
+    """Source rows after a day or second; all of them where there is none."""
     return source if top is None else source.filter(compare(key, top, ">"))
 
 
+def newest_in(spark: SparkSession, path: str, key: str, timed: bool = False, confirm: bool = True):
+    """The newest day, or second, of a folder's column: from footers where they tell it, else from a scan."""
+    newest = footers.watermark(spark, path, key, confirm).rows
+    return newest.select(F.col("watermark").cast("timestamp_ntz" if timed else "date")).first()[0]
+
+
 def load_by_watermark(
     source: DataFrame, lake_path: str, key: str, landed: bool = False, timed: bool = False
 ) -> str:
-    """Append to the lake what came after its watermark; ``UP_TO_DATE`` when nothing did."""
-    lake = source.sparkSession.read.parquet(lake_path)
-    rows = rows_after_watermark(source, lake, key, landed, timed)
+    """Append to the lake what came after its watermark; ``UP_TO_DATE`` when nothing did.
+
+    The watermark of a typed key comes from footers; one landed as text is parsed.
+    """
+    spark = source.sparkSession
+    if landed:
+        rows = rows_after_watermark(source, spark.read.parquet(lake_path), key, landed, timed)
+    else:
+        rows = rows_after(source, key, newest_in(spark, lake_path, key, timed))
     if rows.isEmpty():
         return "UP_TO_DATE"
     land_append(rows, lake_path)
