@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from registered import register
-from registered.inputs import table
-from registered.lake import new_table
+from registered.inputs import CATALOGUE_SQL, catalogue, table
+from registered.lake import _LINE_TYPES as _GOLD_LINES
+from registered.lake import _landed_lines, new_table
 from registered.summaries import _LINE_TYPES, _line_profile_sql
+from tidelake.operators import ordered as O
 from tidelake.operators import profile as P
 from tidelake.operators import stored_profile as SP
+from tidelake.operators.trigrams import catalogue_search_indexed as catalogue_by_index
 from tidelake.plans import daily
+from tidelake.plans import gold as G
+from tidelake.plans import slicing as S
 from tidelake.plans import upsert as U
 from tidelake.session import scratch_path
 from tidelake.sources import days as D
@@ -178,3 +184,98 @@ def upsert_untouched(spark, sf):
     gone = {f.split("/run=")[0] for f in before - set(rows.inputFiles())}
     kept = all(f.endswith(f"/bucket={touched[0]}") for f in gone)
     return rows.agg(F.lit(len(touched)).alias("touched"), F.lit(kept).alias("others_kept"), F.count(F.lit(1)).alias("rows"), F.max("c_acctbal").alias("highest"))
+
+
+@register("gold_clustered_files", """
+SELECT (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, l_quantity, CASE WHEN l_orderkey % 100 = 99 THEN NULL ELSE l_shipdate END AS d FROM lineitem)) AS rows,
+       true AS few_files, true AS days_apart""")
+def gold_clustered_files(spark, sf):
+    """A distinct by buckets leaves a file a bucket, and no two files share more than the day at their border."""
+    name, path = new_table(spark, "clustered")
+    landing = _landed_lines(spark, sf)
+    budget = table(spark, sf, "lineitem").count() // 6
+    gold = G.sequential_distinct(landing, _GOLD_LINES, name, path, "l_shipdate", budget=budget)
+    buckets = -(-landing.count() // budget)
+    spans = gold.filter("l_shipdate IS NOT NULL").groupBy(F.input_file_name().alias("f")).agg(F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi"))
+    after = F.lead("lo").over(Window.partitionBy(F.lit(0)).orderBy("lo", "hi"))  # one row per file
+    apart = spans.select((F.coalesce(F.col("hi") <= after, F.lit(True))).alias("ok")).agg(F.bool_and("ok").alias("days_apart"))
+    few = len(gold.inputFiles()) <= buckets
+    return gold.agg(F.count(F.lit(1)).alias("rows"), F.lit(few).alias("few_files")).join(apart, F.lit(True))
+
+
+_SLICED_SQL = """sl AS (SELECT s_suppkey AS k, s_suppkey * 37 % 2400 AS a, s_suppkey * 37 % 2400 + s_suppkey % 40 - 3 AS b FROM supplier),
+ranges AS (SELECT DATE '1995-01-01' + CAST(a AS INT) AS lo, DATE '1995-01-01' + CAST(b AS INT) AS hi FROM sl WHERE a < b),
+points AS (SELECT DATE '1995-01-01' + CAST(a AS INT) AS p FROM sl WHERE k % 5 = 0),
+keys AS (SELECT CASE WHEN l_orderkey % 100 <> 0 THEN CAST(l_shipdate AS DATE) END AS day, count(*) AS rows FROM lineitem GROUP BY 1),
+held AS (SELECT day, rows, CASE WHEN day IS NULL THEN 1 ELSE (SELECT count(*) FROM ranges WHERE lo <= day AND day < hi) + (SELECT count(*) FROM points WHERE p = day) + 1 END AS n FROM keys)"""
+
+
+def _sliced(spark, sf):
+    """Lines by day, and overlapping ranges with gaps, points, one range without a start and one slice for rows without a day."""
+    at = lambda c: F.expr(f"date_add(DATE '1995-01-01', cast({c} as int))")
+    a, b = "s_suppkey * 37 % 2400", "s_suppkey * 37 % 2400 + s_suppkey % 40 - 3"
+    suppliers = table(spark, sf, "supplier")
+    none = F.lit(None).cast("date")
+    ranges = suppliers.select(at(a).alias("from_key"), at(b).alias("to_key"), none.alias("point"), F.lit(False).alias("no_key"))
+    points = suppliers.filter("s_suppkey % 5 = 0").select(none.alias("from_key"), none.alias("to_key"), at(a).alias("point"), F.lit(False).alias("no_key"))
+    ends = spark.range(2).select(none.alias("from_key"), none.alias("to_key"), none.alias("point"), (F.col("id") == 1).alias("no_key"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 100 != 0, F.col("l_shipdate").cast("date")).alias("day"))
+    return lines, ranges, points, ends
+
+
+@register("slice_coverage_swept", f"WITH {_SLICED_SQL} SELECT n AS slices_holding, CAST(sum(rows) AS BIGINT) AS rows FROM held GROUP BY 1")
+def slice_coverage_swept(spark, sf):
+    lines, ranges, points, ends = _sliced(spark, sf)
+    return S.coverage_of(lines, "day", ranges.unionByName(points).unionByName(ends))
+
+
+@register("rows_in_slices", f"""
+WITH {_SLICED_SQL}, inside AS (SELECT day FROM held WHERE day IS NOT NULL AND n > 1)
+SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_orderkey % 100 <> 0 AND CAST(l_shipdate AS DATE) IN (SELECT day FROM inside)""")
+def rows_in_slices(spark, sf):
+    lines, ranges, points, _ = _sliced(spark, sf)
+    return S.rows_in_slices(lines, "day", ranges.unionByName(points))
+
+
+@register("catalogue_search_indexed", f"""
+WITH {CATALOGUE_SQL}, terms AS (SELECT DISTINCT lower(term) AS term FROM (
+  SELECT replace(p_name, ' ', '_') || '_' || p_partkey AS term FROM part UNION ALL SELECT p_brand FROM part
+  UNION ALL SELECT substr(p_name, 3, 4) FROM part UNION ALL SELECT upper(substr(p_brand, 1, 2)) FROM part
+  UNION ALL SELECT CAST(p_partkey AS VARCHAR) FROM part UNION ALL SELECT substr(c_name, 2, 6) FROM customer)),
+names AS (SELECT lower(table_name) AS t, count(*) AS n FROM catalogue GROUP BY 1), owners AS (SELECT lower(db) AS t, count(*) AS n FROM catalogue GROUP BY 1),
+hits AS (
+  SELECT term, 1 AS c, n, t FROM terms JOIN names ON t = term UNION ALL SELECT term, 2, n, t FROM terms JOIN owners ON t = term
+  UNION ALL SELECT term, 3, n, t FROM terms JOIN names ON contains(t, term) UNION ALL SELECT term, 4, n, t FROM terms JOIN owners ON contains(t, term)),
+sized AS (SELECT term, c, sum(n) AS n FROM hits GROUP BY 1, 2),
+best AS (SELECT term, min(c) AS c FROM sized WHERE c IN (2, 4) OR n = 1 GROUP BY 1)
+SELECT h.term, h.c AS match_class, db, table_name FROM best JOIN hits h ON h.term = best.term AND h.c = best.c
+JOIN catalogue ON (h.c IN (1, 3) AND lower(table_name) = h.t) OR (h.c IN (2, 4) AND lower(db) = h.t)""")
+def catalogue_search_indexed(spark, sf):
+    """Terms from every part and customer: whole names, owners, pieces of names, short and unknown ones."""
+    part, customer = table(spark, sf, "part"), table(spark, sf, "customer")
+    terms = [part.select(x.alias("term")) for x in (
+        F.concat_ws("_", F.regexp_replace("p_name", " ", "_"), "p_partkey"), F.col("p_brand"), F.substring("p_name", 3, 4),
+        F.upper(F.substring("p_brand", 1, 2)), F.col("p_partkey").cast("string"))]
+    return catalogue_by_index(catalogue(spark, sf), reduce(lambda a, b: a.union(b), terms).union(customer.select(F.substring("c_name", 2, 6))))
+
+
+_KEY_DRIFT_SQL = """r AS (SELECT l_suppkey, min(l_orderkey) AS lo, max(l_orderkey) AS hi, min(l_returnflag || l_partkey) AS tlo, max(l_returnflag || l_partkey) AS thi FROM lineitem GROUP BY 1),
+v AS (SELECT 'l_orderkey' AS col, lo::DOUBLE AS lo, hi::DOUBLE AS hi, (hi - lo)::DOUBLE AS df FROM r
+  UNION ALL SELECT 'code', (dense_rank() OVER (ORDER BY tlo))::DOUBLE, (dense_rank() OVER (ORDER BY thi))::DOUBLE, (dense_rank() OVER (ORDER BY tlo || ' - ' || thi))::DOUBLE FROM r),
+m AS (SELECT col, median(lo) AS ml, median(hi) AS mh, median(df) AS md FROM v GROUP BY 1),
+s AS (SELECT v.col, 1.4826 * median(abs(lo - ml)) AS al, 1.4826 * median(abs(hi - mh)) AS ah, 1.4826 * median(abs(df - md)) AS ad FROM v JOIN m ON v.col = m.col GROUP BY 1)"""
+
+
+@register("partition_drift_by_key", f"""
+WITH {_KEY_DRIFT_SQL}
+SELECT m.col AS column_name, round((exp(-10 * (ad / (md + exp(-256)))) + exp(-10 * (al / (abs(ml) + exp(-256)) + ah / (abs(mh) + exp(-256))))) / 2, 6) AS drift FROM m JOIN s ON m.col = s.col""")
+def partition_drift_by_key(spark, sf):
+    """Drift where every value of a key is a partition, with a text column that has a rank per partition."""
+    lines = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", F.concat("l_returnflag", "l_partkey").alias("code"))
+    drift = P.partition_drift(P.partition_ranges(lines, "l_suppkey", ["l_orderkey", "code"]), rows_per_bucket=500)
+    return drift.select("column_name", F.round("drift", 6).alias("drift"))
+
+
+@register("dense_ranks", "SELECT DISTINCT l_returnflag, l_partkey, dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_partkey) AS rank FROM lineitem")
+def dense_ranks(spark, sf):
+    return O.dense_ranks(table(spark, sf, "lineitem"), ["l_returnflag"], "l_partkey", "rank", partitions=16)

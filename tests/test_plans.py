@@ -237,6 +237,25 @@ def test_sequential_distinct_equals_rebuild(spark, landing):
         assert parts.exceptAll(whole).isEmpty() and whole.exceptAll(parts).isEmpty()
 
 
+def test_a_distinct_by_bucket_shuffles_rows_once_and_makes_a_file_a_bucket(spark):
+    types = {"id": "bigint", "day": "date"}
+    rows = spark.range(3000).select((F.col("id") % 900).alias("id"), F.when(F.col("id") % 3 != 0, F.lit("2020-01-01")).when(F.col("id") % 9 == 0, "n/a").otherwise("2020-01-02").alias("day"))
+    hot = rows.unionByName(spark.range(4000).select(F.lit(5).cast("bigint").alias("id"), F.lit("2020-01-03").alias("day")))
+    for landing, copies in ((rows, 0), (hot, 1)):
+        out = G.distinct_by_bucket(landing, types, "day", budget=500)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ShufflePartitionIdPassThrough") + plan.count("Exchange shufflepartitionidpassthrough") == 1
+        after = plan[: plan.lower().index("exchange shufflepartitionidpassthrough")]
+        assert "Exchange" not in after.replace("BroadcastExchange", "") and "HashAggregate" in after
+        want = {tuple(r) for r in landing.select("id", F.col("day").try_cast("date")).collect()}
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(want) and set(got) == want
+        sizes = [len(p) for p in out.rdd.glom().collect()]
+        assert len(sizes) == 6 + copies and max(sizes) <= 500
+    table = G.sequential_distinct(hot, types, *gold_name(spark, "t_buckets"), "day", budget=500)
+    assert len(table.inputFiles()) <= 7
+
+
 def test_sequential_distinct_of_nothing_empties_the_table(spark, landing):
     name, path = gold_name(spark, "t_emptied")
     G.rebuild(landing, TYPES, name, path)

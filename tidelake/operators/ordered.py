@@ -266,6 +266,25 @@ def ranked_values(
     return ranked.withColumn("_lo", F.col("_hi") - F.col("_mult"))
 
 
+def dense_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
+    """Each distinct value of a key once with its dense rank, ``out``, from 1; values of any type, NULL left out.
+
+    The distinct values are range-partitioned and written, so a partition holds
+    neighbours and no key is one task. A partition numbers its values itself;
+    one row per key and partition carries the numbers on.
+    """
+    keys = list(keys)
+    known = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
+    spread = known.repartitionByRange(partitions, *keys, value) if partitions else known.repartitionByRange(*keys, value)
+    placed = materialize(spread.withColumn("_part", F.spark_partition_id()), "ranked-values")
+    inside = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(value))
+    sizes = placed.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    carried = sizes.select("_part", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    numbered = placed.withColumn("_in", inside)
+    return null_safe_join(numbered, carried, ["_part", *keys], "left").select(*keys, value, (F.col("_from") + F.col("_in")).alias(out))
+
+
 def at_fraction(value: str, fraction: float, whole: WindowSpec | None = None) -> Column:
     """The linearly interpolated quantile over ``ranked_values``: an aggregate, or one over the window ``whole``."""
     pos = f"((_n - 1) * {float(fraction)!r}D)"

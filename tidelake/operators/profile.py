@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.functions import scores
-from tidelake.operators.aggregates import MAD_SCALE, spread_of
+from tidelake.operators.aggregates import spread_of
 from tidelake.operators.joins import null_safe_join
+from tidelake.operators.ordered import ROWS_PER_BUCKET, dense_ranks
 from tidelake.session import materialize
 
 ROWS_PER_SPLIT = 1_000_000
@@ -294,43 +295,35 @@ def partition_ranges(df: DataFrame, partition: str | Column, columns: Sequence[s
     return one.select("partition", F.explode(F.array(*cells)).alias("s")).select("partition", "s.*")
 
 
-def partition_drift(ranges: DataFrame) -> DataFrame:
+def partition_drift(ranges: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """How far each column's range moves between partitions, from ``partition_ranges``.
 
-    Text that does not all read as numbers is replaced by rank codes. Input
-    and windows hold one row per column and partition.
+    Text that does not all read as numbers is replaced by dense ranks. Ranges
+    hold one row per column and partition, and a partition may be a key's
+    value: so ranks come from a range-partitioned list of the distinct texts,
+    and medians from ranked values, without a task per column.
     """
     ranges = materialize(ranges, "partition-ranges")
-    per_column = Window.partitionBy("column_name")
-
-    def numeric(text: str, num: str) -> Column:
-        return F.count(text).over(per_column) == F.count(num).over(per_column)
-
-    joined_text = F.when(
-        F.col("lo_text").isNotNull(), F.concat_ws(" - ", "lo_text", "hi_text")
-    )
-    coded = ranges.withColumn("span_text", joined_text).select(
-        "*", (numeric("lo_text", "lo_num") & numeric("hi_text", "hi_num")).alias("is_num")
-    )
-
-    def code(text: str) -> Column:
-        rank = F.dense_rank().over(per_column.orderBy(F.col(text).asc_nulls_last()))
-        return F.when(F.col(text).isNotNull(), rank.cast("double"))
-
-    measured = coded.select(
-        "column_name",
-        F.when(F.col("is_num"), F.col("hi_num") - F.col("lo_num")).otherwise(code("span_text")).alias("diff"),
-        F.when(F.col("is_num"), F.col("lo_num")).otherwise(code("lo_text")).alias("low"),
-        F.when(F.col("is_num"), F.col("hi_num")).otherwise(code("hi_text")).alias("high"),
-    )
-    cells = F.explode(
-        F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in ("diff", "low", "high")])
-    )
-    keys = ["column_name", "measure"]
-    values = measured.select("column_name", cells.alias("c")).select("column_name", "c.*").filter("x IS NOT NULL")
-    medians = values.groupBy(*keys).agg(F.percentile("x", 0.5).alias("median"))
-    away = values.join(medians, keys).select(*keys, "median", F.abs(F.col("x") - F.col("median")).alias("away"))
-    spread = away.groupBy(*keys, "median").agg((F.percentile("away", 0.5) * MAD_SCALE).alias("mad"))
+    kinds = ranges.groupBy("column_name").agg(
+        ((F.count("lo_text") == F.count("lo_num")) & (F.count("hi_text") == F.count("hi_num"))).alias("is_num"))
+    kinds = {r["column_name"]: r["is_num"] for r in kinds.collect()}  # one row per column
+    numeric = F.col("column_name").isin([c for c, n in kinds.items() if n])
+
+    def cells(source: DataFrame, diff: Column, low: Column, high: Column) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(m).alias("measure"), x.alias("x")) for m, x in (("diff", diff), ("low", low), ("high", high))])
+        return source.select("column_name", F.explode(each).alias("c")).select("column_name", "c.*").filter("x IS NOT NULL")
+
+    values = cells(ranges.filter(numeric), F.col("hi_num") - F.col("lo_num"), F.col("lo_num"), F.col("hi_num"))
+    if not all(kinds.values()):
+        span = F.when(F.col("lo_text").isNotNull(), F.concat_ws(" - ", "lo_text", "hi_text"))
+        texts = cells(ranges.filter(~numeric), span, F.col("lo_text"), F.col("hi_text")).withColumnRenamed("x", "text")
+        counted = texts.groupBy("column_name", "measure", "text").agg(F.count(F.lit(1)).alias("n"))
+        ranks = dense_ranks(counted, ["column_name", "measure"], "text", "code")
+        coded = counted.join(ranks, ["column_name", "measure", "text"]).select("column_name", "measure", F.col("code").cast("double").alias("x"), "n")
+        values = values.withColumn("n", F.lit(1).cast("bigint")).unionByName(coded)
+    else:
+        values = values.withColumn("n", F.lit(1).cast("bigint"))
+    spread = spread_of(materialize(values, "drift-values"), "x", ["column_name", "measure"], count="n", rows_per_bucket=rows_per_bucket)
 
     def pick(measure: str, stat: str) -> Column:
         return F.max(F.when(F.col("measure") == measure, F.col(stat)))

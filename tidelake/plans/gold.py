@@ -11,14 +11,16 @@ from pyspark.sql import types as T
 
 from tidelake.functions.predicates import compare, landed_day, landed_second
 from tidelake.operators.joins import filter_by_keys, key_set, null_safe_join
-from tidelake.operators.ordered import row_budget_groups
+from tidelake.operators.ordered import cuts_below, running_total
 from tidelake.operators.reports import compute_stats
 from tidelake.operators.schema import align, cast_columns, cast_failures
 from tidelake.plans.incremental import newest_in
-from tidelake.session import materialize, scratch_path
-from tidelake.sources.sinks import create_gold, insert_append, insert_overwrite, path_exists, table_location
+from tidelake.session import materialize
+from tidelake.sources.sinks import create_gold, insert_append, insert_overwrite, table_location
 
 ROWS_PER_GROUP = 100_000_000
+#: Cells of a day, and the day number of rows without one.
+SLOTS, _NO_DAY = 4096, -10_000_000
 
 
 def gold_schema(types: Mapping[str, str]) -> T.StructType:
@@ -41,30 +43,46 @@ def sequential_distinct(
     landed: bool = True,
     budget: int = ROWS_PER_GROUP,
 ) -> DataFrame:
-    """As ``rebuild``, but one bounded distinct per group of days.
-
-    Equal rows share their parsed day, so the groups together hold the distinct
-    rows; rows without a readable day are group -1. Landing is read twice,
-    whatever the number of groups: once to count days, once to write the typed
-    rows by group. The table changes in one insert at the end. The plain rebuild
-    spills and is the default; this bounds the working space of one distinct.
+    """As ``rebuild``, but gold lies in buckets of about ``budget`` landing rows, in the order of their days, one file each.
+
+    A row's cell is its parsed day and a hash of the row, so equal rows share
+    one; rows without a readable day come first. Cells are counted once, packed
+    into buckets along their order, and rows go to their bucket in a single
+    shuffle, after which the distinct of a bucket needs no other. A day above
+    the budget spans several buckets. A cell that is above it by itself holds
+    copies; its rows are made distinct before, where copies merge ahead of the
+    shuffle. The table changes in one insert.
     """
     spark = landing.sparkSession
+    distinct = distinct_by_bucket(landing, types, split_column, landed, budget)
+    create_gold(spark, table, gold_schema(types), path)
+    insert_overwrite(distinct, table)
+    return spark.table(table)
+
+
+def distinct_by_bucket(landing: DataFrame, types: Mapping[str, str], split_column: str, landed: bool = True, budget: int = ROWS_PER_GROUP) -> DataFrame:
+    """The typed, distinct rows of landing, a partition per bucket of days (see ``sequential_distinct``)."""
     day = landed_day(split_column) if landed else F.col(split_column).cast("date")
-    counts = landing.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_cnt"))
-    groups = materialize(row_budget_groups(counts, "_day", "_cnt", budget).select("_day", F.col("group_id").alias("_group")), "day-groups")
-    raw, staged = scratch_path(spark, "by-group"), scratch_path(spark, "distinct")
     typed = landing.withColumn("_day", day).select("_day", *[F.col(c).try_cast(t).alias(c) for c, t in types.items()])
-    grouped = null_safe_join(typed, groups, ["_day"], "left").drop("_day")
-    grouped.write.partitionBy("_group").parquet(raw)
-    schema = gold_schema(types)
-    for group in range(-1, (groups.agg(F.max("_group")).first()[0] or 0) + 1):
-        if path_exists(spark, f"{raw}/_group={group}"):
-            spark.read.schema(schema).parquet(f"{raw}/_group={group}").dropDuplicates().write.mode("append").parquet(staged)
-    create_gold(spark, table, schema, path)
-    done = spark.read.schema(schema).parquet(staged) if path_exists(spark, staged) else cast_columns(landing, types).limit(0)
-    insert_overwrite(done, table)
-    return spark.table(table)
+    slot = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in types]), F.lit(SLOTS))
+    cell = (F.coalesce(F.unix_date("_day").cast("bigint"), F.lit(_NO_DAY)) * SLOTS + slot).alias("_cell")
+    placed = typed.select(cell, *[F.col(f"`{c}`") for c in types])
+    counts = materialize(placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_cnt")), "cells")
+    hot = materialize(counts.filter(F.col("_cnt") > budget).select("_cell"), "hot-cells")
+    if not hot.isEmpty():
+        copies = placed.join(hot, "_cell", "left_semi").dropDuplicates()
+        placed = placed.join(hot, "_cell", "left_anti").unionByName(copies)
+        counts = materialize(placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_cnt")), "cells")
+    upto = running_total(counts, "_cell", {"_upto": "_cnt"})
+    packed = materialize(upto.select("_cell", F.floor((F.col("_upto") - 1) / budget).cast("bigint").alias("_bucket")), "buckets")
+    # per day, which is all a row needs to look up: the first slot of each of its buckets
+    starts = packed.groupBy(F.floor(F.col("_cell") / SLOTS).alias("_unit"), "_bucket").agg(F.min("_cell").alias("_from"))
+    days = materialize(starts.groupBy("_unit").agg(F.array_sort(F.collect_list("_from")).alias("_from"), F.min("_bucket").alias("_first")), "days")
+    buckets = 1 + (packed.agg(F.max("_bucket")).first()[0] or 0)
+    found = placed.withColumn("_unit", F.floor(F.col("_cell") / SLOTS)).join(days, "_unit")
+    bucket = (F.col("_first") + cuts_below(F.col("_from"), F.col("_cell"), inclusive=True) - 1).cast("int")
+    rows = found.select(bucket.alias("_bucket"), *[F.col(f"`{c}`") for c in types])
+    return rows.repartitionById(buckets, "_bucket").dropDuplicates().drop("_bucket")
 
 
 def new_since(

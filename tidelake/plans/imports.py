@@ -73,6 +73,8 @@ def analyse(
     stored_rows: int | None = None,
     value_counts: DataFrame | None = None,
     partition_stats: DataFrame | None = None,
+    profile: DataFrame | None = None,
+    ranges: DataFrame | None = None,
 ) -> Analysis:
     """Profile a table and score its columns as split and job-split keys.
 
@@ -84,9 +86,13 @@ def analyse(
     ``stored_rows`` stands for the profile, ``value_counts`` (column_name, day,
     n) for the date columns' counts, and ``partition_stats`` (column_name,
     partition, LOW_VALUE, HIGH_VALUE as text) for the ranges per partition.
+    ``profile`` and ``ranges`` are either of them as the library keeps it itself
+    (``stored_profile.merged_profile`` and ``stored_ranges``).
     """
     rows_per_job = rows_per_job or 100 * rows_per_split
-    if column_stats is None or stored_rows is None:
+    if profile is not None:
+        profile = materialize(profile, "profile")
+    elif column_stats is None or stored_rows is None:
         profile = materialize(P.profile_pass(df, exact=exact), "profile")
     else:
         profile = materialize(P.profile_from_stats(df, column_stats, stored_rows), "profile")
@@ -107,7 +113,9 @@ def analyse(
         joined = joined.select("*", F.lit(False).alias("is_chunked"), F.lit(False).alias("is_chrono"))
     if partition:
         full = [r["column_name"] for r in columns if r["num_nulls"] == 0]
-        if partition_stats is None:
+        if ranges is not None:
+            ranges = ranges.filter(F.col("column_name").isin(full))
+        elif partition_stats is None:
             ranges = P.partition_ranges(df, partition if partition_by is None else partition_by, full)
         else:
             ranges = P.ranges_from_stats(df, partition_stats, full)

@@ -16,7 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelake.operators.ordered import cuts_below
+from tidelake.operators.joins import null_safe_join
+from tidelake.operators.ordered import ROWS_PER_BUCKET, cuts_below, running_total
+from tidelake.session import materialize
 
 
 def _sql_literal(value) -> str:
@@ -207,3 +209,50 @@ def slice_coverage(df: DataFrame, key: str, slices: Iterable[Slice]) -> DataFram
     held = F.when(col.isNull(), sum(s.no_key for s in slices)).otherwise(held)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
     return counts.groupBy(held.alias("slices_holding")).agg(F.sum("rows").alias("rows"))
+
+
+def swept(df: DataFrame, key: str, slices: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Every distinct key of ``df`` with its ``rows`` and how many of the slices hold it, ``slices_holding``.
+
+    ``slices`` has ``from_key`` and ``to_key``, half-open, of which a NULL
+    leaves that side open, and, if it likes, ``point`` and ``no_key``; rows
+    with a point or without a key ignore the bounds. Slices may overlap and be
+    of any number: their starts and ends become events beside the counted
+    keys, and a running total along the key, in buckets, is what holds a key.
+    Keys are numbers, dates or timestamps.
+    """
+    columns = {c: F.col(c) if c in slices.columns else F.lit(None) for c in ("point", "no_key")}
+    kind = df.schema[key].dataType
+    cut = slices.select(F.col("from_key").cast(kind).alias("_from"), F.col("to_key").cast(kind).alias("_to"),
+                        columns["point"].cast(kind).alias("_point"), F.coalesce(columns["no_key"].cast("boolean"), F.lit(False)).alias("_none"))
+    ranges = cut.filter(~F.col("_none") & F.col("_point").isNull() & (F.col("_from").isNull() | F.col("_to").isNull() | (F.col("_from") < F.col("_to"))))
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def events(source: DataFrame, at: str, moves: Column, here: Column, rows: Column) -> DataFrame:
+        return source.select(F.col(at).alias("_at"), moves.alias("_moves"), here.alias("_here"), rows.alias("rows"))
+
+    counted = df.groupBy(F.col(key).alias("_at")).agg(F.count(F.lit(1)).alias("rows"))
+    all_ = (
+        events(counted, "_at", zero, zero, F.col("rows"))
+        .unionByName(events(ranges.filter("_from IS NOT NULL"), "_from", one, zero, zero))
+        .unionByName(events(ranges.filter("_to IS NOT NULL"), "_to", -one, zero, zero))
+        .unionByName(events(cut.filter("NOT _none AND _point IS NOT NULL"), "_point", zero, one, zero))
+    )
+    # ranges without a start hold from the first key on
+    fixed = cut.agg(F.count_if("_none").alias("none")).join(ranges.agg(F.count_if(F.col("_from").isNull()).alias("begun")), F.lit(True)).first()
+    merged = materialize(all_.groupBy("_at").agg(*[F.sum(c).alias(c) for c in ("_moves", "_here", "rows")]), "sweep-events")
+    summed = running_total(merged.filter("_at IS NOT NULL"), "_at", {"_open": "_moves"}, rows_per_bucket=rows_per_bucket)
+    keyed = summed.select(F.col("_at").alias(key), "rows", (F.col("_open") + F.col("_here") + fixed["begun"]).alias("slices_holding"))
+    without = merged.filter("_at IS NULL").select(F.col("_at").alias(key), "rows", F.lit(fixed["none"]).cast("bigint").alias("slices_holding"))
+    return keyed.unionByName(without).filter("rows > 0")
+
+
+def coverage_of(df: DataFrame, key: str, slices: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """As ``slice_coverage``, for slices of any number given as rows (see ``swept``)."""
+    return swept(df, key, slices, rows_per_bucket).groupBy("slices_holding").agg(F.sum("rows").alias("rows"))
+
+
+def rows_in_slices(df: DataFrame, key: str, slices: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The rows that any of the slices holds, each once."""
+    held = materialize(swept(df, key, slices, rows_per_bucket).filter("slices_holding > 0").select(key), "held-keys")
+    return null_safe_join(df, held, [key], "left_semi")
