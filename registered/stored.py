@@ -14,6 +14,7 @@ from registered.lake import _landed_lines, new_table
 from registered.summaries import _LINE_TYPES, _line_profile_sql
 from tidelake.operators import ordered as O
 from tidelake.operators import profile as P
+from tidelake.operators import reports as R
 from tidelake.operators import stored_profile as SP
 from tidelake.operators.trigrams import catalogue_search_indexed as catalogue_by_index
 from tidelake.plans import daily
@@ -21,6 +22,7 @@ from tidelake.plans import gold as G
 from tidelake.plans import slicing as S
 from tidelake.plans import upsert as U
 from tidelake.session import scratch_path
+from tidelake.sources import blocks as B
 from tidelake.sources import days as D
 from tidelake.sources import footers as FF
 from tidelake.sources import sinks as K
@@ -279,3 +281,36 @@ def partition_drift_by_key(spark, sf):
 @register("dense_ranks", "SELECT DISTINCT l_returnflag, l_partkey, dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_partkey) AS rank FROM lineitem")
 def dense_ranks(spark, sf):
     return O.dense_ranks(table(spark, sf, "lineitem"), ["l_returnflag"], "l_partkey", "rank", partitions=16)
+
+
+@register("block_sample", """
+SELECT true AS some_files, true AS by_fraction, true AS known, true AS whole_files, count(*) AS all_rows, true AS one_at_least FROM lineitem""")
+def block_sample(spark, sf):
+    """A quarter of the files: bytes read follow the files chosen; their rows are known and come once; all files give all rows."""
+    path = scratch_path(spark, "blocks")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    lines.repartitionByRange(32, "l_orderkey").write.parquet(path)
+    quarter, all_, least = (B.block_sample(spark, path, f) for f in (0.25, 1.0, 0.0))
+    part, total = quarter.files_read / quarter.files, quarter.bytes_read / quarter.bytes
+    counted = quarter.rows.agg(F.count(F.lit(1)).alias("n"))
+    apart = quarter.rows.exceptAll(lines).agg(F.count(F.lit(1)).alias("strange"))
+    chosen = {f.rsplit("/", 1)[-1] for f in quarter.rows.inputFiles()}
+    whole = sum(r["rows"] for r in R.file_rows(spark.read.parquet(path), "lines").collect() if r["path"].rsplit("/", 1)[-1] in chosen)
+    return counted.join(apart, F.lit(True)).join(all_.rows.agg(F.count(F.lit(1)).alias("all_rows")), F.lit(True)).select(
+        F.lit(0 < quarter.files_read < quarter.files).alias("some_files"), F.lit(abs(part - total) < 0.1).alias("by_fraction"),
+        (F.col("strange") == 0).alias("known"), (F.col("n") == whole).alias("whole_files"), "all_rows", F.lit(least.files_read == 1).alias("one_at_least"))
+
+
+@register("cheap_key_range", """
+SELECT 'l_orderkey' AS column_name, 'FOOTERS' AS origin, CAST(min(l_orderkey) AS DOUBLE) AS lo, CAST(max(l_orderkey) AS DOUBLE) AS hi FROM lineitem
+UNION ALL SELECT 'l_extendedprice', 'SAMPLE', min(l_extendedprice) - 1, max(l_extendedprice) + 1 FROM lineitem""")
+def cheap_key_range(spark, sf):
+    """Exact from footers where they tell it; else a sample of blocks, widened by a profile, here the wider."""
+    path = scratch_path(spark, "cheap")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice")
+    lines.repartition(32).write.parquet(path)
+    profiled = lines.agg((F.min("l_extendedprice") - 1).alias("lo"), (F.max("l_extendedprice") + 1).alias("hi"))
+    found = {c: B.cheap_key_range(spark, path, c, profiled if c == "l_extendedprice" else None, 0.1) for c in lines.columns}
+    return reduce(lambda a, b: a.union(b), [
+        rows.select(F.lit(c).alias("column_name"), F.lit(origin).alias("origin"), F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))
+        for c, (rows, origin) in found.items()])

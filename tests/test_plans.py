@@ -1,6 +1,7 @@
 """Slices, styles, guards, gold and upserts on edge rows."""
 
 import datetime as dt
+import math
 import random
 from collections import Counter
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from tidelake.functions import predicates as P
 from tidelake.operators import aggregates as A
 from tidelake.operators import catalogue as C
+from tidelake.operators import ordered as O
 from tidelake.operators import profile as R
 from tidelake.operators import reports as T
 from tidelake.operators import schema as S
+from tidelake.operators.trigrams import catalogue_search_indexed
 from tidelake.plans import gold as G
 from tidelake.plans import incremental as I
 from tidelake.plans import slicing as L
@@ -530,3 +533,85 @@ def test_daily_update_does_not_reload_days_between_new_ones(spark):
     assert daily.daily_update(spark, source, lake, ledger, "day").status == "COMPLETE"
     rows = spark.read.parquet(lake)
     assert rows.count() == rows.distinct().count() == 300
+
+
+# --- slices as events, dense ranks, letter triples ----------------------------
+
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 40])
+def test_swept_slices_agree_with_a_test_of_every_slice(spark, rows_per_bucket):
+    rng = random.Random(9)
+    spans = [(rng.choice([None, rng.randrange(300)]), rng.choice([None, rng.randrange(300)])) for _ in range(120)] + [(7, 7), (9, 3)]
+    points = [rng.randrange(300) for _ in range(40)]
+    slices = spark.createDataFrame(
+        [(a, b, None, False) for a, b in spans] + [(None, None, p, None) for p in points] + [(None, None, None, True)] * 2,
+        "from_key long, to_key long, point long, no_key boolean")
+    keys = [rng.randrange(-5, 320) for _ in range(900)] + [None] * 5
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+
+    def held(k):
+        if k is None:
+            return 2
+        return sum((a is None or a <= k) and (b is None or k < b) for a, b in spans) + points.count(k)
+
+    want = Counter(held(k) for k in keys)
+    got = L.coverage_of(df, "k", slices, rows_per_bucket)
+    assert {r["slices_holding"]: r["rows"] for r in got.collect()} == want
+    inside = L.rows_in_slices(df, "k", slices.filter("point IS NOT NULL"), rows_per_bucket)
+    assert sorted(r["k"] for r in inside.collect()) == sorted(k for k in keys if k in points)
+
+
+def test_a_hundred_thousand_slices(spark):
+    n = 100_000
+    slices = spark.range(n).select((F.col("id") * 3).alias("from_key"), (F.col("id") * 3 + 2).alias("to_key"))
+    df = spark.range(3 * n).select(F.col("id").alias("k"))
+    got = {r["slices_holding"]: r["rows"] for r in L.coverage_of(df, "k", slices, rows_per_bucket=50_000).collect()}
+    assert got == {1: 2 * n, 0: n}
+    assert L.rows_in_slices(df, "k", slices).filter("k % 3 = 2").isEmpty()
+
+
+def test_slices_of_days_and_no_slices(spark):
+    df = days(spark, D(2020, 1, 1), D(2020, 1, 2), None)
+    none = spark.createDataFrame([], "from_key date, to_key date")
+    assert [tuple(r) for r in L.coverage_of(df, "day", none).collect()] == [(0, 3)]
+    assert L.rows_in_slices(df, "day", none).isEmpty()
+    one = spark.createDataFrame([(D(2020, 1, 2), None)], "from_key date, to_key date")
+    assert [r["day"] for r in L.rows_in_slices(df, "day", one).collect()] == [D(2020, 1, 2)]
+    assert L.coverage_of(df.limit(0), "day", one).isEmpty()
+
+
+def test_dense_ranks_over_partitions(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), rng.choice([None, f"v{rng.randrange(400):03d}"])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v string")
+    want = {}
+    for k in "abc":
+        for n, v in enumerate(sorted({v for x, v in rows if x == k and v is not None}), 1):
+            want[k, v] = n
+    for partitions in (1, 5, 40):
+        got = O.dense_ranks(df, ["k"], "v", "rank", partitions).collect()
+        assert len(got) == len(want) and {(r["k"], r["v"]): r["rank"] for r in got} == want
+    assert {r["v"]: r["rank"] for r in O.dense_ranks(df.select("v"), [], "v", "rank", 4).collect()} == {
+        v: n for n, v in enumerate(sorted({v for _, v in rows if v is not None}), 1)}
+
+
+def test_drift_of_a_column_with_very_many_partitions(spark):
+    n = 200_000
+    ranges = spark.range(n).select(
+        F.col("id").cast("string").alias("partition"), F.lit("c").alias("column_name"), F.concat(F.lit("t"), F.col("id") % 1000).alias("lo_text"),
+        F.concat(F.lit("u"), F.col("id") % 1000).alias("hi_text"), F.lit(None).cast("double").alias("lo_num"), F.lit(None).cast("double").alias("hi_num"))
+    row = R.partition_drift(ranges, rows_per_bucket=20_000).first()
+    # ranks 1 to 1000, equally often: median 500.5, scaled MAD 250 * 1.4826
+    mad, med = 250 * 1.4826, 500.5
+    want = (math.exp(-10 * mad / med) + math.exp(-10 * (2 * mad / med))) / 2
+    assert row["column_name"] == "c" and abs(row["drift"] - want) < 1e-9
+
+
+def test_search_by_letter_triples_equals_the_scan(spark):
+    rows = [("Sales", "Orders"), ("Sales", "orders_2020"), ("HR", "people"), ("sal", "a"), ("Ops", "Straße"), ("Ops", "ab_ab"), (None, "alone"), ("Ops", None), ("HR", "people"), ("", "x")]
+    catalogue = spark.createDataFrame(rows, "db string, table_name string")
+    terms = ["orders", "sal", "SALES", "people", "a", "ab", "ab_ab", "ß", "e", "zzz", "der", "orders_2020", "alone", "o", "", "raß", "peoplex"]
+    want = sorted(map(tuple, C.catalogue_search(catalogue, terms).collect()), key=repr)
+    asked = spark.createDataFrame([(t,) for t in [*terms, "ORDERS", None]], "term string")
+    assert sorted(map(tuple, catalogue_search_indexed(catalogue, asked).collect()), key=repr) == want
+    assert catalogue_search_indexed(catalogue, asked.limit(0)).isEmpty()
+    assert catalogue_search_indexed(catalogue.limit(0), asked).isEmpty()

@@ -1,12 +1,15 @@
 """JDBC scans against Derby inside this process, and the poll with a restart."""
 
 import datetime as dt
+import threading
+import time
 import uuid
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidelake.plans import pool
 from tidelake.plans import slicing as L
 from tidelake.session import scratch_path
 from tidelake.sources import jdbc
@@ -280,3 +283,69 @@ def test_main_range(spark):
     assert M.main_range(numbers.filter("k < 0"), "k", True) == (None, None, "UNKNOWN")
     days = spark.createDataFrame([(dt.date(2020, 1, 1),), (dt.date(2020, 1, 9),)], "d date")
     assert M.main_range(days, "d", False) == (dt.date(2020, 1, 1), dt.date(2020, 1, 9), "COMPLETE")
+
+
+# --- jobs side by side --------------------------------------------------------
+
+def test_jobs_share_a_limit(spark):
+    lock, now, seen = threading.Lock(), [0], []
+
+    def job(weight):
+        def run():
+            with lock:
+                now[0] += weight
+                seen.append(now[0])
+            spark.range(10).count()
+            time.sleep(0.1)
+            with lock:
+                now[0] -= weight
+
+        return pool.Job(weight, run)
+
+    shared = pool.run_jobs(spark, [job(w) for w in (2, 3, 1, 4, 2, 1, 3, 9)], 4)
+    assert len(seen) == 8 and max(s for s in seen if s < 9) <= 4
+    assert shared.free == shared.limit == 4 and shared.highest == 4
+    assert max(seen[:-1]) > 2  # some ran side by side
+    assert pool.run_jobs(spark, [], 3).free == 3
+
+
+def test_a_failed_job_stops_those_that_have_not_started(spark):
+    ran = []
+
+    def fails():
+        raise ValueError("lost")
+
+    with pytest.raises(ValueError):
+        pool.run_jobs(spark, [pool.Job(1, fails)] + [pool.Job(1, lambda n=n: ran.append(n)) for n in range(20)], 1)
+    assert ran == []
+
+
+def test_split_jobs_of_an_import_run_side_by_side_and_restart(spark, keyed, monkeypatch):
+    url, _ = keyed
+    jobs = tuple(L.Slice("V", low=a, high=a + 250) for a in range(0, 1000, 250)) + (L.Slice("V", low=1000), L.Slice("V", no_key=True))
+    plan = M.ImportPlan("KEYED", "RANGE+FIXED", "K", Decimal("0.25"), Decimal("2697.25"), 2, 4, jobs)
+    path = scratch_path(spark, "side-by-side")
+    limits = []
+
+    def watched(spark, todo, limit):
+        shared = pool.run_jobs(spark, todo, limit)
+        limits.append((len(todo), [j.weight for j in todo], shared.highest))
+        return shared
+
+    real, dying = M._run_job, iter([False, False, True])
+
+    def dies(*args):
+        if next(dying, False):
+            raise RuntimeError("lost")
+        real(*args)
+
+    monkeypatch.setattr(M, "run_jobs", watched)
+    with monkeypatch.context() as m:
+        m.setattr(M, "_run_job", dies)
+        with pytest.raises(RuntimeError):
+            M.run_import(spark, url, plan, path, DRIVER)
+    again = M.run_import(spark, url, plan, path, DRIVER)
+    assert 1 <= again < 6
+    assert limits[-1][0] == again and limits[-1][2] <= 4 and set(limits[-1][1]) <= {1, 2}
+    assert M.run_import(spark, url, plan, path, DRIVER) == 0
+    assert sorted(r["V"] for r in M.read_imported(spark, path).collect()) == list(range(900))

@@ -8,12 +8,14 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, fields, replace
 from decimal import Decimal
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.operators import profile as P
 from tidelake.plans import slicing as S
+from tidelake.plans.pool import Job, run_jobs
 from tidelake.session import materialize
 from tidelake.sources import jdbc
 from tidelake.sources.sinks import path_exists
@@ -280,7 +282,8 @@ def run_import(
     first and last range are open and so are the outer splits, so rows that
     came in past the planned range are read; an import is no snapshot of a
     source that changes meanwhile. Slices without a split column are read side
-    by side, as many as there are connections.
+    by side in one job, as many as there are connections; jobs with one run
+    side by side as long as their splits together fit the connections.
     """
     before = stored_plan(spark, path)
     if before is None:
@@ -289,7 +292,6 @@ def run_import(
         raise ValueError(f"{path} was begun with another plan; take stored_plan() or a new folder")
     jobs: Sequence[S.Slice | None] = plan.jobs or (None,)
     todo = [(n, j) for n, j in enumerate(jobs) if not path_exists(spark, f"{path}/job={n}/_SUCCESS")]
-    source = f"SELECT * FROM {plan.table}"
     if plan.split_key is None and len(jobs) > 1:
         for start in range(0, len(todo), plan.connections):
             part = todo[start : start + plan.connections]
@@ -299,21 +301,28 @@ def run_import(
             for n, _ in part:  # an empty slice leaves no folder
                 spark.createDataFrame([], read.schema).write.mode("append").parquet(f"{path}/job={n}")
         return len(todo)
-    for number, job in todo:
-        where = job.sql() if job is not None else None
-        low, high = plan.low, plan.high
-        if plan.style == "RANGE+SAME_RANGE" and job is not None and not job.no_key:
-            low, high = plan.low if job.low is None else job.low, plan.high if job.high is None else job.high
-        if plan.split_key is None or (job is not None and job.no_key):
-            rows = jdbc.read_query(spark, url, source, where, properties=properties)
-        else:
-            rows = jdbc.read_query(
-                spark, url, source, where, plan.split_key, low, high, plan.splits, plan.connections, properties
-            )
-        rows.write.mode("overwrite").parquet(f"{path}/job={number}")
+    run_jobs(spark, [Job(_splits_of(plan, j), partial(_run_job, spark, url, plan, f"{path}/job={n}", j, properties)) for n, j in todo], plan.connections)
     return len(todo)
 
 
+def _splits_of(plan: ImportPlan, job: S.Slice | None) -> int:
+    """The connections a job opens at most."""
+    return 1 if plan.split_key is None or (job is not None and job.no_key) else plan.splits
+
+
+def _run_job(spark: SparkSession, url: str, plan: ImportPlan, path: str, job: S.Slice | None, properties: Mapping[str, str] | None) -> None:
+    source = f"SELECT * FROM {plan.table}"
+    where = job.sql() if job is not None else None
+    low, high = plan.low, plan.high
+    if plan.style == "RANGE+SAME_RANGE" and job is not None and not job.no_key:
+        low, high = plan.low if job.low is None else job.low, plan.high if job.high is None else job.high
+    if _splits_of(plan, job) == 1:
+        rows = jdbc.read_query(spark, url, source, where, properties=properties)
+    else:
+        rows = jdbc.read_query(spark, url, source, where, plan.split_key, low, high, plan.splits, plan.connections, properties)
+    rows.write.mode("overwrite").parquet(path)
+
+
 def _job_of(jobs: Sequence[tuple[int, S.Slice]]) -> Column:
     """The number of the slice a row belongs to."""
     out = F.lit(None).cast("int")

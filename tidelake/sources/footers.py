@@ -85,17 +85,18 @@ def key_range(spark: SparkSession, path: str, key: str, by: Sequence[str] = (),
     Groups are not confirmed, so with ``by`` and ``confirm`` the column is scanned.
     """
     source = spark.read.parquet(path)
+    key = min((n for n in source.columns if n.upper() == key.upper()), key=lambda n: n != key, default=key)  # names are case-blind, as in queries
     kind = source.schema[key].dataType
     found = None
     if _flat(source.schema, key) and isinstance(kind, _WHOLE + _TIMES) and not (by and confirm):
         asked = T.StructType([T.StructField(f.name, T.LongType()) if f.name == key and isinstance(kind, _TIMES) else f for f in source.schema])
-        found = _pushed(spark, path, asked, by, [F.min(key).alias("lo"), F.max(key).alias("hi")], None)
+        found = _pushed(spark, path, asked, by, [F.min(f"`{key}`").alias("lo"), F.max(f"`{key}`").alias("hi")], None)
     schema = T.StructType([source.schema[c] for c in by] + [T.StructField(c, kind) for c in ("lo", "hi")])
     if found is not None:
         rows = [(*r[:-2], _value(r["lo"], kind), _value(r["hi"], kind)) for r in found]
         if not confirm or _holds(source, key, rows[0]):
             return Facts(spark.createDataFrame(rows, schema), True)
-    return Facts(source.groupBy(*by).agg(F.min(key).alias("lo"), F.max(key).alias("hi")), False)
+    return Facts(source.groupBy(*by).agg(F.min(f"`{key}`").alias("lo"), F.max(f"`{key}`").alias("hi")), False)
 
 
 def _value(raw: Any, kind: T.DataType) -> Any:
@@ -108,12 +109,13 @@ def _value(raw: Any, kind: T.DataType) -> Any:
 def _holds(source: DataFrame, key: str, bounds: tuple) -> bool:
     """Whether no row lies outside the bounds and some row lies on each; row groups are skipped by their statistics."""
     low, high = bounds
+    col = F.col(f"`{key}`")
     if low is None or high is None:
-        return source.filter(F.col(key).isNotNull()).isEmpty()
+        return source.filter(col.isNotNull()).isEmpty()
     if isinstance(source.schema[key].dataType, T.BooleanType):
-        return all(not source.filter(F.col(key) == b).isEmpty() for b in bounds) and (low != high or source.filter(F.col(key) != low).isEmpty())
-    return (source.filter((F.col(key) < F.lit(low)) | (F.col(key) > F.lit(high))).isEmpty()
-            and all(not source.filter(F.col(key) == F.lit(b)).isEmpty() for b in (low, high)))
+        return all(not source.filter(col == b).isEmpty() for b in bounds) and (low != high or source.filter(col != low).isEmpty())
+    return (source.filter((col < F.lit(low)) | (col > F.lit(high))).isEmpty()
+            and all(not source.filter(col == F.lit(b)).isEmpty() for b in (low, high)))
 
 
 def watermark(spark: SparkSession, path: str, key: str, confirm: bool = True) -> Facts:
