@@ -285,13 +285,13 @@ def range_slices(spark, sf):
 
 @register("strict_slices", f"""
 WITH {GAP_SQL},
-r AS (SELECT group_id, min(day) AS lo, datediff('day', min(day), max(day)) AS span FROM gaps GROUP BY 1),
+r AS (SELECT o_custkey, group_id, min(day) AS lo, datediff('day', min(day), max(day)) AS span FROM gaps GROUP BY 1, 2),
 p AS (SELECT *, CASE WHEN span = 0 THEN 1 ELSE greatest(greatest(round_even(span / least(10, span)::DOUBLE + 0.9::DOUBLE, 0), 1) - 1, 1)::BIGINT END AS n FROM r),
 e AS (SELECT *, unnest(range(0, n)) AS slice_no FROM p)
-SELECT group_id, slice_no, lo + CAST((span * slice_no) // n AS INT) AS from_key,
+SELECT o_custkey, group_id, slice_no, lo + CAST((span * slice_no) // n AS INT) AS from_key,
        lo + CAST(CASE WHEN slice_no = n - 1 THEN span + 1 ELSE (span * (slice_no + 1)) // n END AS INT) AS to_key FROM e""")
 def strict_slices(spark, sf):
-    return S.strict_slices(O.gap_ranges(gap_days(spark, sf), "day"), 10, ["group_id"])
+    return S.strict_slices(O.gap_ranges(gap_days(spark, sf), "day", ["o_custkey"]), 10, ["o_custkey", "group_id"])
 
 
 @register("slice_coverage", "SELECT 1 AS slices_holding, count(*) AS rows FROM lineitem")

@@ -271,19 +271,18 @@ def row_budget_groups(spark, sf):
     return O.row_budget_groups(counts, "day", "cnt", _BUDGET)
 
 
-GAP_SQL = """days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE day(o_orderdate) IN (3, 5, 20) OR month(o_orderdate) = 7),
-starts AS (SELECT day, CASE WHEN lag(day) OVER (ORDER BY day) IS NULL OR day - lag(day) OVER (ORDER BY day) >= 6 THEN 1 ELSE 0 END AS s FROM days),
-gaps AS (SELECT day, CAST(sum(s) OVER (ORDER BY day) AS BIGINT) AS group_id FROM starts)"""
+GAP_SQL = """days AS (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate IS NOT NULL),
+starts AS (SELECT o_custkey, day, CASE WHEN lag(day) OVER w IS NULL OR day - lag(day) OVER w >= 60 THEN 1 ELSE 0 END AS s FROM days WINDOW w AS (PARTITION BY o_custkey ORDER BY day)),
+gaps AS (SELECT o_custkey, day, CAST(sum(s) OVER (PARTITION BY o_custkey ORDER BY day) AS BIGINT) AS group_id FROM starts)"""
 
 
 def gap_days(spark, sf):
-    return O.gap_groups(
-        table(spark, sf, "orders").filter("day(o_orderdate) IN (3, 5, 20) OR month(o_orderdate) = 7")
-        .select(F.col("o_orderdate").cast("date").alias("day")), "day"
-    )
+    """Runs of order days of every customer, over all orders."""
+    days = table(spark, sf, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("day"))
+    return O.gap_groups(days, "day", gap=60, keys=["o_custkey"])
 
 
-@register("gap_groups", f"WITH {GAP_SQL} SELECT day, group_id FROM gaps")
+@register("gap_groups", f"WITH {GAP_SQL} SELECT o_custkey, day, group_id FROM gaps")
 def gap_groups(spark, sf):
     return gap_days(spark, sf)
 

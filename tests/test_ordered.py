@@ -103,6 +103,23 @@ def test_gap_groups(spark, limit):
     assert O.gap_groups(df.filter("day IS NULL"), "day").collect() == []
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 20])
+def test_gap_groups_within_keys(spark, limit):
+    rng = random.Random(11)
+    rows = [(rng.choice([1, 1, 1, 2, None]), dt.date(2020, 1, 1) + dt.timedelta(days=rng.randrange(900))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k int, day date")
+    want = {}
+    for k in (1, 2, None):
+        n, before = 0, None
+        for day in sorted({d for x, d in rows if x == k}):
+            n += before is None or (day - before).days >= 6
+            want[k, day], before = n, day
+    got = O.gap_groups(df, "day", rows_per_bucket=limit, keys=["k"])
+    assert {(r["k"], r["day"]): r["group_id"] for r in got.collect()} == want
+    ranges = O.gap_ranges(got, "day", ["k"]).collect()
+    assert len(ranges) == len({(k, n) for (k, _), n in want.items()})
+
+
 @pytest.mark.parametrize("limit", [10, 1_000_000])
 def test_row_budget_groups(spark, limit):
     rng = random.Random(5)

@@ -38,3 +38,14 @@ def test_a_sketch_profiles_every_column_of_the_largest_table(spark, sf):
     rows = QUERIES["column_profile_sketch_lines"](spark, sf).collect()
     assert sorted(r["column_name"] for r in rows) == sorted(spark.read.parquet(f"{sf}/lineitem.parquet").columns)
     assert all(r["within_error"] for r in rows)
+
+
+def test_the_rest_is_there_without_the_text_part(monkeypatch):
+    import sys
+
+    whole = set(entry_points.queries())
+    for name in [m for m in sys.modules if m.split(".")[0] == "corpus_pipeline" or m.startswith("tidelake.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(entry_points.queries()) == set(QUERIES) <= whole
+    assert set(entry_points.oracle_sql()) == set(ORACLES)

@@ -192,24 +192,25 @@ def forward_fill(
 
 
 def gap_groups(
-    dates: DataFrame, day: str, gap: int = 6, rows_per_bucket: int = ROWS_PER_BUCKET
+    dates: DataFrame, day: str, gap: int = 6, rows_per_bucket: int = ROWS_PER_BUCKET, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Number runs of dates: a date ``gap`` or more days after the one before starts a run."""
-    known = materialize(dates.select(day).filter(F.col(day).isNotNull()).distinct(), "dates")
-    fits = largest_key(known, []) <= rows_per_bucket
-    lagged = previous_value(known, day, "_prev", rows_per_bucket=rows_per_bucket, fits=fits)
+    """Number runs of dates within ``keys``: a date ``gap`` or more days after the one before starts a run."""
+    keys = list(keys)
+    known = materialize(dates.select(*keys, day).filter(F.col(day).isNotNull()).distinct(), "dates")
+    fits = largest_key(known, keys) <= rows_per_bucket
+    lagged = previous_value(known, day, "_prev", keys, rows_per_bucket, fits)
     starts = lagged.select(
-        day,
+        *keys, day,
         F.when(F.col("_prev").isNull() | (F.datediff(day, "_prev") >= gap), 1).otherwise(0).alias("_start"),
     )
     return running_total(
-        starts, day, {"group_id": "_start"}, rows_per_bucket=rows_per_bucket, fits=fits
+        starts, day, {"group_id": "_start"}, keys, rows_per_bucket=rows_per_bucket, fits=fits
     ).drop("_start")
 
 
-def gap_ranges(groups: DataFrame, day: str) -> DataFrame:
+def gap_ranges(groups: DataFrame, day: str, keys: Sequence[str] = ()) -> DataFrame:
     """First and last date of every run, the input of strict slices."""
-    return groups.groupBy("group_id").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+    return groups.groupBy(*keys, "group_id").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
 
 
 def row_budget_groups(
