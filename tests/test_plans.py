@@ -615,3 +615,29 @@ def test_search_by_letter_triples_equals_the_scan(spark):
     assert sorted(map(tuple, catalogue_search_indexed(catalogue, asked).collect()), key=repr) == want
     assert catalogue_search_indexed(catalogue, asked.limit(0)).isEmpty()
     assert catalogue_search_indexed(catalogue.limit(0), asked).isEmpty()
+
+
+def test_spread_of_few_equals_spread_of(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), float(rng.randrange(50))) for _ in range(301)] + [("c", 4.0), ("d", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    few = {r["k"]: r for r in A.spread_of_few(df, "x", ["k"]).collect()}
+    want = {r["k"]: r for r in A.spread_of(df, "x", ["k"]).collect()}
+    assert set(few) == set(want) == {"a", "b", "c", None}
+    for k, r in want.items():
+        for c in ("n", "trimmed_mean", "median", "mad", "sd"):
+            assert few[k][c] == pytest.approx(r[c]), (k, c)
+
+
+def test_analysis_takes_few_jobs(spark, sf):
+    from tidelake.plans.imports import analyse
+
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    context = spark.sparkContext
+    for exact, most in ((False, 14), (True, 18)):
+        group = f"analysis {exact}"
+        context.setJobGroup(group, group)
+        found = analyse(orders, partition="o_orderdate", partition_by=F.year("o_orderdate"), rows_per_split=100, exact=exact)
+        jobs = len(context.statusTracker().getJobIdsForGroup(group))
+        context.setLocalProperty("spark.jobGroup.id", None)
+        assert found.split_key and jobs <= most, jobs

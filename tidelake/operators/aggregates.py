@@ -92,10 +92,14 @@ def spread_of(
     trim: float = 0.2,
     count: str | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    fits: bool | None = None,
 ) -> DataFrame:
-    """Trimmed mean, median, scaled MAD, sample deviation and size, exact, per key."""
+    """Trimmed mean, median, scaled MAD, sample deviation and size, exact, per key.
+
+    ``fits`` says whether every key is known to have at most ``rows_per_bucket`` rows; if not known it is counted.
+    """
     keys = list(keys)
-    fits = largest_key(df, keys) <= rows_per_bucket
+    fits = largest_key(df, keys) <= rows_per_bucket if fits is None else fits
     ranked = ranked_values(df, value, keys, count, rows_per_bucket=rows_per_bucket, fits=fits)
     x, mult = F.col(value).cast("double"), F.col("_mult")
 
@@ -131,6 +135,24 @@ def spread_of(
     )
 
 
+def spread_of_few(df: DataFrame, value: str, keys: Sequence[str], trim: float = 0.2) -> DataFrame:
+    """As ``spread_of`` from one aggregate, for keys of few values, which it gathers."""
+    def middle(a: str) -> str:
+        return f"({a}[CAST((size({a}) - 1) DIV 2 AS INT)] + {a}[CAST(size({a}) DIV 2 AS INT)]) / 2"
+
+    x = F.col(value).cast("double")
+    skip = f"CAST(floor(_n * {float(trim)!r}D) AS INT)"
+    return (
+        df.filter(F.col(value).isNotNull()).groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(x)).alias("_all"), F.count(F.lit(1)).alias("_n"), F.stddev_samp(x).alias("sd"))
+        .select(*keys, "_all", "_n", "sd", F.expr(middle("_all")).alias("median"),
+                F.expr(f"slice(_all, {skip} + 1, CAST(_n AS INT) - 2 * {skip})").alias("_inner"))
+        .select(*keys, F.col("_n").alias("n"), F.expr("aggregate(_inner, 0D, (s, v) -> s + v) / size(_inner)").alias("trimmed_mean"), "median",
+                F.array_sort(F.transform("_all", lambda v: F.abs(v - F.col("median")))).alias("_away"), "sd")
+        .select(*keys, "n", "trimmed_mean", "median", (F.expr(middle("_away")) * MAD_SCALE).alias("mad"), "sd")
+    )
+
+
 def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add per-key columns; without keys ``right`` is a single row, added as literals."""
     if keys:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.functions import scores
-from tidelake.operators.aggregates import spread_of
+from tidelake.operators.aggregates import spread_of, spread_of_few
 from tidelake.operators.joins import null_safe_join
 from tidelake.operators.ordered import ROWS_PER_BUCKET, dense_ranks
-from tidelake.session import materialize
+from tidelake.session import SMALL_ROWS, materialize, settled
 
 ROWS_PER_SPLIT = 1_000_000
 ROWS_PER_JOB = 100 * ROWS_PER_SPLIT
@@ -75,12 +75,17 @@ def profile_pass(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
     profile = one.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
     if not exact:
         return profile
-    counts = df.agg(*[F.count_distinct(c).alias(f"_ndv{i}") for i, c in enumerate(columns)])
+    counts = exact_distinct(df, columns)
     pairs = [F.struct(F.lit(c).alias("column_name"), F.col(f"_ndv{i}").alias("_ndv")) for i, c in enumerate(columns)]
     ndv = counts.select(F.explode(F.array(*pairs)).alias("s")).select("s.*")
     return profile.join(ndv, "column_name").withColumn("num_distinct", F.col("_ndv")).drop("_ndv")
 
 
+def exact_distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with the distinct values of every column, ``_ndv`` and its place; expands every row by the number of columns."""
+    return df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"_ndv{i}") for i, c in enumerate(columns)])
+
+
 def profile_from_stats(df: DataFrame, stats: DataFrame, num_rows: int) -> DataFrame:
     """As ``profile_pass``, from a catalogue's column statistics (COLUMN_NAME, NUM_DISTINCT, NUM_NULLS, AVG_COL_LEN, LOW_VALUE, HIGH_VALUE).
 
@@ -161,8 +166,8 @@ def load_pattern(counts: DataFrame, value: str, count: str, keys: Sequence[str]
     three scaled MADs. ``is_chrono``: the most frequent value is the smallest.
     """
     keys = list(keys)
-    counts = materialize(counts.filter(F.col(value).isNotNull()).select(*keys, value, count), "load-counts")
-    spread = spread_of(counts, count, keys)
+    counts, small = settled(counts.filter(F.col(value).isNotNull()).select(*keys, value, count), "load-counts")
+    spread = spread_of_few(counts, count, keys) if small else spread_of(counts, count, keys)
     top = counts.groupBy(*keys).agg(
         F.min_by(value, F.struct(-F.col(count), F.col(value))).alias("high_freq"),
         F.min(value).alias("lo"),
@@ -262,7 +267,8 @@ def suggest_keys(
             F.struct(F.lit("job_split").alias("role"), F.col("job_split").alias("score")),
         )
     )
-    return top_column(rated.select("column_name", parts.alias("p")).select("column_name", "p.*"), "score", keys=["role"])
+    each = rated.select("column_name", parts.alias("p")).select("column_name", "p.*").filter("score IS NOT NULL")
+    return each.groupBy("role").agg(F.min_by("column_name", F.struct(-F.col("score"), "column_name")).alias("column_name"), F.max("score").alias("score"))
 
 
 def partition_ranges(df: DataFrame, partition: str | Column, columns: Sequence[str]) -> DataFrame:
@@ -300,10 +306,10 @@ def partition_drift(ranges: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -
 
     Text that does not all read as numbers is replaced by dense ranks. Ranges
     hold one row per column and partition, and a partition may be a key's
-    value: so ranks come from a range-partitioned list of the distinct texts,
+    value: so, unless they are few, ranks come from a range-partitioned list of the distinct texts,
     and medians from ranked values, without a task per column.
     """
-    ranges = materialize(ranges, "partition-ranges")
+    ranges, small = settled(ranges, "partition-ranges", min(SMALL_ROWS, rows_per_bucket))
     kinds = ranges.groupBy("column_name").agg(
         ((F.count("lo_text") == F.count("lo_num")) & (F.count("hi_text") == F.count("hi_num"))).alias("is_num"))
     kinds = {r["column_name"]: r["is_num"] for r in kinds.collect()}  # one row per column
@@ -314,16 +320,19 @@ def partition_drift(ranges: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -
         return source.select("column_name", F.explode(each).alias("c")).select("column_name", "c.*").filter("x IS NOT NULL")
 
     values = cells(ranges.filter(numeric), F.col("hi_num") - F.col("lo_num"), F.col("lo_num"), F.col("hi_num"))
-    if not all(kinds.values()):
-        span = F.when(F.col("lo_text").isNotNull(), F.concat_ws(" - ", "lo_text", "hi_text"))
-        texts = cells(ranges.filter(~numeric), span, F.col("lo_text"), F.col("hi_text")).withColumnRenamed("x", "text")
-        counted = texts.groupBy("column_name", "measure", "text").agg(F.count(F.lit(1)).alias("n"))
-        ranks = dense_ranks(counted, ["column_name", "measure"], "text", "code")
-        coded = counted.join(ranks, ["column_name", "measure", "text"]).select("column_name", "measure", F.col("code").cast("double").alias("x"), "n")
-        values = values.withColumn("n", F.lit(1).cast("bigint")).unionByName(coded)
+    span = F.when(F.col("lo_text").isNotNull(), F.concat_ws(" - ", "lo_text", "hi_text"))
+    texts = cells(ranges.filter(~numeric), span, F.col("lo_text"), F.col("hi_text")).withColumnRenamed("x", "text")
+    keys = ["column_name", "measure"]
+    if small:
+        code = F.dense_rank().over(Window.partitionBy(*keys).orderBy("text")).cast("double")
+        spread = spread_of_few(values.unionByName(texts.select(*keys, code.alias("x"))).coalesce(1), "x", keys)
     else:
         values = values.withColumn("n", F.lit(1).cast("bigint"))
-    spread = spread_of(materialize(values, "drift-values"), "x", ["column_name", "measure"], count="n", rows_per_bucket=rows_per_bucket)
+        if not all(kinds.values()):
+            counted = texts.groupBy(*keys, "text").agg(F.count(F.lit(1)).alias("n"))
+            ranks = dense_ranks(counted, keys, "text", "code")
+            values = values.unionByName(counted.join(ranks, [*keys, "text"]).select(*keys, F.col("code").cast("double").alias("x"), "n"))
+        spread = spread_of(materialize(values, "drift-values"), "x", keys, count="n", rows_per_bucket=rows_per_bucket)
 
     def pick(measure: str, stat: str) -> Column:
         return F.max(F.when(F.col("measure") == measure, F.col(stat)))

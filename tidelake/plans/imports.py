@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.operators import profile as P
+from tidelake.operators import stored_profile as SP
 from tidelake.plans import slicing as S
 from tidelake.plans.pool import Job, run_jobs
-from tidelake.session import materialize
+from tidelake.session import materialize, settled
 from tidelake.sources import jdbc
 from tidelake.sources.sinks import path_exists
 
@@ -92,16 +93,24 @@ def analyse(
     (``stored_profile.merged_profile`` and ``stored_ranges``).
     """
     rows_per_job = rows_per_job or 100 * rows_per_split
-    if profile is not None:
-        profile = materialize(profile, "profile")
-    elif column_stats is None or stored_rows is None:
-        profile = materialize(P.profile_pass(df, exact=exact), "profile")
-    else:
-        profile = materialize(P.profile_from_stats(df, column_stats, stored_rows), "profile")
-    columns = profile.collect()  # one row per column
-    num_rows = columns[0]["num_rows"]
-    dated = [r["column_name"] for r in columns if r["is_date"]]
-    joined = profile
+    spark = df.sparkSession
+    if profile is None and (column_stats is None or stored_rows is None) and partition and ranges is None and partition_stats is None:
+        # one pass for the profile and the ranges of partitions
+        of = F.col(partition) if partition_by is None else partition_by
+        kept, _ = settled(SP.profile_partitions(df, of), "profile-parts")
+        profile, ranges = SP.merged_profile(kept), SP.stored_ranges(kept, df.columns)
+    elif profile is None and (column_stats is None or stored_rows is None):
+        profile = P.profile_pass(df)
+    elif profile is None:
+        profile, exact = P.profile_from_stats(df, column_stats, stored_rows), False
+    columns = {r["column_name"]: r.asDict() for r in profile.collect()}  # one row per column
+    if exact:
+        distinct = P.exact_distinct(df, list(columns)).first()
+        for i, c in enumerate(columns):
+            columns[c]["num_distinct"] = distinct[f"_ndv{i}"]
+    num_rows = next((r["num_rows"] for r in columns.values()), 0)
+    dated = [c for c, r in columns.items() if r["is_date"]]
+    pattern = {}
     if dated:
         cells = F.explode(
             F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("date").alias("day")) for c in dated])
@@ -109,37 +118,32 @@ def analyse(
         counts = value_counts
         if counts is None:
             counts = df.select(cells.alias("c")).select("c.*").groupBy("column_name", "day").agg(F.count(F.lit(1)).alias("n"))
-        pattern = P.load_pattern(counts, "day", "n", ["column_name"]).select("column_name", "is_chunked", "is_chrono")
-        joined = joined.join(pattern, "column_name", "left")
-    else:
-        joined = joined.select("*", F.lit(False).alias("is_chunked"), F.lit(False).alias("is_chrono"))
+        pattern = {r["column_name"]: r for r in P.load_pattern(counts, "day", "n", ["column_name"]).collect()}
+    drift = {}
     if partition:
-        full = [r["column_name"] for r in columns if r["num_nulls"] == 0]
+        full = [c for c, r in columns.items() if r["num_nulls"] == 0]
         if ranges is not None:
             ranges = ranges.filter(F.col("column_name").isin(full))
         elif partition_stats is None:
             ranges = P.partition_ranges(df, partition if partition_by is None else partition_by, full)
         else:
             ranges = P.ranges_from_stats(df, partition_stats, full)
-        drift = P.partition_drift(ranges)
-        joined = joined.join(drift, "column_name", "left")
-    else:
-        joined = joined.withColumn("drift", F.lit(0.0))
-    name = F.upper("column_name")
-    part = F.lit(0.0)
-    if subpartition:
-        part = F.when(name == subpartition.upper(), 0.3).otherwise(part)
-    if partition:
-        part = F.when(name == partition.upper(), 1.0).otherwise(part)
-    flagged = joined.select(
-        "column_name", "data_type", "num_distinct", "num_nulls", "is_date",
-        F.coalesce("is_chunked", F.lit(False)).alias("is_chunked"),
-        F.coalesce("is_chrono", F.lit(False)).alias("is_chrono"),
-        F.coalesce("drift", F.lit(0.0)).alias("drift"),
-        part.alias("score_partition"),
-        name.isin([c.upper() for c in index_columns]).alias("is_index") if index_columns else F.lit(False).alias("is_index"),
-    )
-    scored = materialize(P.split_scores(flagged, num_rows, rows_per_split, rows_per_job, connections), "scores")
+        drift = {r["column_name"]: r["drift"] for r in P.partition_drift(ranges).collect()}
+
+    def weight(name: str) -> float:
+        if partition and name.upper() == partition.upper():
+            return 1.0
+        return 0.3 if subpartition and name.upper() == subpartition.upper() else 0.0
+
+    indexed = {c.upper() for c in index_columns}
+    flagged = spark.createDataFrame(
+        [(c, r["data_type"], r["num_distinct"], r["num_nulls"], r["is_date"],
+          bool(c in pattern and pattern[c]["is_chunked"]), bool(c in pattern and pattern[c]["is_chrono"]),
+          drift.get(c) or 0.0, weight(c), c.upper() in indexed) for c, r in columns.items()],
+        "column_name string, data_type string, num_distinct bigint, num_nulls bigint, is_date boolean, is_chunked boolean, "
+        "is_chrono boolean, drift double, score_partition double, is_index boolean",
+    ).coalesce(1)
+    scored = materialize(P.split_scores(flagged, num_rows, rows_per_split, rows_per_job, connections), "scores").coalesce(1)
     keys = {r["role"]: r["column_name"] for r in P.suggest_keys(scored, split_bias, job_bias).collect()}
     return Analysis(
         num_rows, rows_per_split, rows_per_job, connections, partition is not None or subpartition is not None,

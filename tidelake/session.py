@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows one task handles without a shuffle.
+SMALL_ROWS = 100_000
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -66,3 +69,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame, name: str = "stage", small: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+    """As ``materialize``, and whether the result has at most ``small`` rows.
+
+    Such a result comes back as one partition, on which windows and aggregates
+    need no shuffle. The rows are counted while they are written.
+    """
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    few = seen.get["rows"] <= small
+    return (out.coalesce(1) if few else out), few
