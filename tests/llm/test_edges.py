@@ -391,3 +391,42 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     empty(spark, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     empty(spark, schema).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_bitmaps_never_rule_out_what_is_shared():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n, m = rng.integers(0, 400, 2)
+        pool = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, k)) for k in (n, m))
+        both = len(np.intersect1d(a, b))
+        only_a, only_b = jaccard.missing(jaccard.places(a), jaccard.places(b))
+        assert len(a) - only_a >= both and len(b) - only_b >= both
+    a, b = (rng.integers(0, 1 << 63, 300, dtype=np.uint64) for _ in range(2))
+    assert 300 - jaccard.missing(jaccard.places(a), jaccard.places(b))[0] < 150
+
+
+def test_links_in_a_group_of_several_thousand_near_copies(spark):
+    base = words(400, 3).split()
+    rng = np.random.default_rng(4)
+    texts = {0: " ".join(base)}
+    for d in range(1, 2001):
+        w = list(base)
+        for at in rng.choice(400, int(rng.integers(1, 14)), replace=False):
+            w[at] = f"x{d}y{at}"
+        texts[d] = " ".join(w)
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.similar_answers(documents(spark, list(texts.items()))).collect()}
+    # every shingle that a copy lost comes from a changed word, and no two copies share a new one
+    lost = {}
+    for d, t in texts.items():
+        changed = [i for i, (x, y) in enumerate(zip(base, t.split(), strict=True)) if x != y]
+        lost[d] = {s for i in changed for s in range(max(0, i - 4), min(396, i + 1))}
+    marks = np.zeros((len(texts), 396), np.float32)
+    for d, x in lost.items():
+        marks[d, list(x)] = 1
+    gone = marks.sum(axis=1)
+    shared = 396 - gone[:, None] - gone[None, :] + marks @ marks.T
+    linked = 100 * shared >= 80 * (2 * 396 - shared)
+    np.fill_diagonal(linked, False)
+    assert {d: n for d, (_, n) in got.items()} == dict(enumerate(linked.sum(axis=1).astype(int).tolist()))
+    assert {c for c, n in got.values() if n} == {0} and all(c == d for d, (c, n) in got.items() if not n)

@@ -21,7 +21,9 @@ link when 100 * intersection >= PERCENT * union. The join finds all links
    position in the prefix. Blocks that cannot reach the overlap are never
    paired, and within them only shingles that stand early enough in both sets
    for the sizes of this pair. A hub's known overlaps with both sets bound the
-   pair's. Pairs that pass are verified on their whole sets.
+   pair's, and so do their bitmaps: a place that one set fills and the other
+   does not is at least one shingle they do not share. Pairs that pass are
+   verified on their whole sets.
 
 Defined cases: words are lower-cased for A-Z only; fewer words than a shingle
 needs are one shingle; a document without words has an empty set and links with
@@ -49,6 +51,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Counters for rarity; a fixed number.
 COUNTER_BITS = 16
+#: Places of a set's bitmap for each of its shingles.
+PLACES = 4
 #: Members of a group in one block, and shingles compared at once in a cell.
 BLOCK, AT_ONCE = 256, 4096
 IS_WORD = np.ones(256, bool)
@@ -70,20 +74,60 @@ def sets_of(column: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, int, list
         yield i, j, rows
 
 
+def places(shingles_: np.ndarray) -> np.ndarray:
+    """A bitmap of a set: the places its shingles fill, of a power of two that is at least ``PLACES`` for each."""
+    size = max(64, 1 << (PLACES * len(shingles_) - 1).bit_length()) if len(shingles_) else 64
+    at = (shingles_ & np.uint64(size - 1)).astype(np.int64)
+    out = np.zeros(size, bool)
+    out[at] = True
+    return np.packbits(out, bitorder="little")
+
+
+def missing(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How many places only ``a`` fills, and only ``b``; the larger bitmap is folded to the size of the smaller."""
+    size = min(len(a), len(b))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (a, b))
+    return int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
+
+
 def set_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digest) of each document; equal digests mean equal sets."""
+    """(doc_id, n, digest, places) of each document; equal digests mean equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, sets in sets_of(batch.column("text")):
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())],
-                    ["doc_id", "n", "digest"],
+                    [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                     pa.array([places(s).tobytes() for s in sets], pa.binary())],
+                    ["doc_id", "n", "digest", "places"],
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, digest binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, digest binary, places binary")
+
+
+def _plausible(pairs: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) whose bitmaps leave room for the overlap they need. An id with several sets has no bitmap."""
+    pairs = materialize(pairs, "open-pairs")
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(heads, "node"), "open-nodes")
+    of_head = rows.select(F.col("doc_id").alias("node"), "digest", "places").join(asked, ["node", "digest"])
+    single = F.when(F.min("digest") == F.max("digest"), F.first("places"))
+    known = materialize(of_head.groupBy("node").agg(single.alias("places")), "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [np.asarray(batch.column(c)).astype(np.int64) for c in ("n_a", "n_b")]
+            need = -(-PERCENT * (n[0] + n[1]) // (100 + PERCENT))
+            sides = [[None if x.as_py() is None else np.frombuffer(x.as_py(), np.uint8) for x in batch.column(c)] for c in ("x", "y")]
+            off = [(0, 0) if x is None or y is None else missing(x, y) for x, y in zip(*sides, strict=True)]
+            off = np.array(off, np.int64).reshape(-1, 2)
+            keep = pa.array((n[0] - off[:, 0] >= need) & (n[1] - off[:, 1] >= need))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+    first = pairs.join(known.select(F.col("node").alias("a"), F.col("places").alias("x")), "a")
+    both = first.join(known.select(F.col("node").alias("b"), F.col("places").alias("y")), "b")
+    return both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def shingle_counts(docs: DataFrame) -> np.ndarray:
@@ -346,8 +390,8 @@ def _found(docs: DataFrame, every: bool) -> tuple[DataFrame, DataFrame, DataFram
     cap = F.least(F.col("o_b") + F.col("n_a") - F.col("o_a"), F.col("o_a") + F.col("n_b") - F.col("o_b"))
     settled = (F.col("hub_a") == F.col("hub_b")) & (cap < needed(F.col("n_a"), F.col("n_b")))
     direct = F.coalesce(F.col("hub_a") == F.col("b"), F.lit(False)) | F.coalesce(F.col("hub_b") == F.col("a"), F.lit(False))
-    open_pairs = known.filter(~F.coalesce(settled, F.lit(False)) & ~direct).select("a", "b")
-    return rows, heads, answers, verified(docs, open_pairs), members
+    open_pairs = known.filter(~F.coalesce(settled, F.lit(False)) & ~direct).select("a", "b", "n_a", "n_b")
+    return rows, heads, answers, verified(docs, _plausible(open_pairs, rows, heads)), members
 
 
 def _documents(rows: DataFrame, heads: DataFrame, links: DataFrame) -> DataFrame:
