@@ -349,17 +349,13 @@ def _found(docs: DataFrame, every: bool) -> tuple[DataFrame, DataFrame, DataFram
     prefixes = _prefixes(docs, shingle_counts(docs))
     standing = prefixes.join(heads.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
     postings = standing.select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
-    # most is always positive; with it both uses of the postings read the same columns, and Spark shuffles the prefixes once
-    held = postings.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.max("n").alias("most"))
-    hubs = held.filter("hub <> top AND most > 0").select("token", "hub")
+    held = postings.groupBy("token").agg(F.min(F.struct("node", (-F.col("n")).alias("n"))).alias("h"), F.max("node").alias("top"))
+    hubs = held.filter("h.node <> top").select("token", F.col("h.node").alias("hub"), (-F.col("h.n")).alias("hub_n"))
     lists = materialize(postings.join(hubs, "token"), "lists")
 
-    # each set against the hub it has most in common with
-    sizes = lists.groupBy("node").agg(F.max("n").alias("n"))
-    common = lists.filter("node <> hub").groupBy("node", "hub", "n").agg(F.count(F.lit(1)).alias("m"))
-    with_hub = common.join(sizes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")), "hub").filter(
-        _bounded(F.col("m"), F.col("n"), F.col("hub_n"))
-    )
+    # each set against the hub it has most in common with; a hub brings its size, so that no join gathers its members
+    common = lists.filter("node <> hub").groupBy("node", "hub", "n", "hub_n").agg(F.count(F.lit(1)).alias("m"))
+    with_hub = common.filter(_bounded(F.col("m"), F.col("n"), F.col("hub_n")))
     best = with_hub.groupBy("node").agg(F.max_by("hub", F.struct("m", -F.col("hub"))).alias("hub"))
     answers = verified(docs, best.select(F.col("node").alias("a"), F.col("hub").alias("b")), deltas=every)
     members = None
