@@ -1,9 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is a group-by with a combinable minimum and a join that Spark may
-split, so a node with very many links is no task of its own. The number of
-rounds grows with the logarithm of the longest chain. Every round is written
-out, so a lost executor repeats one round.
+Each step is a group-by with a combinable minimum and a join. The minima are
+written before they are joined, so that Spark may split the edges of a node with
+very many links. The number of rounds grows with the logarithm of the longest
+chain. Every round is written out, so a lost executor repeats one round.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ def _state(edges: DataFrame) -> tuple:
 
 def _stars(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     large = materialize(large, "large-star")
-    below = large.groupBy("u").agg(F.min("v").alias("m"))
+    below = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "below")
     others = large.join(below, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return materialize(others.union(below.select("u", F.col("m").alias("v"))).distinct(), "small-star")
 

@@ -9,10 +9,10 @@ fifth sets the softmax temperature. Whole texts are read, in numpy inside each
 task.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
-so is every text when nothing can be learned; only the ``MAX_LANGUAGES`` most
-frequent languages are learned; a document listed more than once counts once in
-the sample, with its smallest text; rows are scored one by one, so repeated
-rows need no care; other columns are ignored.
+so is every text when nothing can be learned; every language is learned, a rare
+one from a document at least, and the weights have a row for each; a document
+listed more than once counts once in the sample, with its smallest text; rows
+are scored one by one, so repeated rows need no care; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 BITS = 16
 SIZE = 1 << BITS
-#: Most documents a model is fitted on, and most languages it knows.
-SAMPLE_ROWS, MAX_LANGUAGES = 2_000, 256
+#: Documents a model is fitted on, and more only where there are more languages.
+SAMPLE_ROWS = 2_000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.002, 0.01
 #: Features are shares of a text; this brings them to the size the penalties assume.
 SCALE = 20.0
@@ -168,7 +168,8 @@ def temperature_of(logits: np.ndarray, truth: np.ndarray) -> float:
 def train(docs: DataFrame, learnable: Column, max_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from text and lang of the documents for which ``learnable`` holds and lang is not null."""
     known = docs.filter(learnable & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1_000_000.0
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(place).alias("first")).collect()
     if not sizes:
         return Model((), np.zeros((0, SIZE + 1), np.float32), np.zeros(0), 1.0)
     languages = tuple(sorted(r["lang"] for r in sizes))
@@ -179,11 +180,10 @@ def train(docs: DataFrame, learnable: Column, max_rows: int = SAMPLE_ROWS) -> Mo
     idf = np.full(SIZE + 1, np.log(1 + n_docs) + 1)
     for r in counts:
         idf[r["gram"]] = np.log((1 + n_docs) / (1 + r["n"])) + 1
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(max_rows / len(sizes) / r["count"])).otherwise(share)
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1_000_000.0
-    picked = known.filter(place < share).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    # each language has an equal part of the sample, and its first document at least
+    parts = [x for r in sizes for x in (F.lit(r["lang"]), F.lit(max(max_rows / len(sizes) / r["count"], (r["first"] or 0.0) + 5e-7)))]
+    share = F.element_at(F.create_map(*parts), F.col("lang"))
+    picked = known.filter(F.coalesce(place, F.lit(0.0)) < share).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     sample = picked.mapInArrow(_features, "doc_id bigint, lang string, gram binary, share binary").collect()
     sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"]))
     rows = []

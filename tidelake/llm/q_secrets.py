@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.llm.registry import register, table
-from tidelake.llm.secrets import BASE, KINDS, NEEDS, PATTERNS, REACH, find_secrets, spans_text
+from tidelake.llm.secrets import BASE, KINDS, NEEDS, PATTERNS, find_secrets, spans_text
 
 
 def _either_case(pattern: str) -> str:
@@ -47,7 +47,7 @@ parts AS (SELECT doc_id, kind, stop - own AS start, stop, scope FROM placed WHER
 weak AS (
   SELECT DISTINCT w.doc_id, w.kind, w.start, w.stop FROM parts w JOIN parts o
     ON w.doc_id = o.doc_id AND w.scope = o.scope AND w.kind >= {len(BASE)} AND ({_NEEDS_SQL})
-    AND greatest(o.start - w.stop, w.start - o.stop) BETWEEN 0 AND {REACH}),
+    AND (o.stop <= w.start OR o.start >= w.stop)),
 spans AS (
   SELECT doc_id, kind, start, stop FROM parts WHERE kind < {len(BASE)}
   UNION ALL SELECT * FROM weak w WHERE NOT EXISTS (

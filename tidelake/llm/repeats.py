@@ -1,13 +1,14 @@
-"""Removal of repeated byte strings by bucket-pointer refinement over all suffixes.
+"""Removal of repeated byte strings by minimiser selection with content hashes.
 
 A byte of a document goes when it is covered by a string of ``LENGTH`` bytes
 that also starts in a document with a smaller doc_id.
 
-The suffixes of all texts are sorted into buckets by their first ``GRAM``
-bytes, and a bucket's identifier is a hash of those bytes, so that every task
-knows it without asking. Buckets are refined by the identifiers of later
-offsets: 20 bytes and the bucket 20 further on give 40, these and the bucket 30
-further on give 50, and the refined identifiers are used again for longer runs.
+A bucket holds the suffixes that share their first ``GRAM`` bytes, and its
+identifier is a hash of those bytes, so that every task knows it without asking.
+Longer stretches are named by the identifiers of later offsets: 20 bytes and the
+bucket 20 further on give 40, these and the bucket 30 further on give 50. No
+sort gives new identifiers to a later round, as a refinement of bucket pointers
+would.
 
 Of the suffixes in a window only one is sent: the one with the least bucket
 identifier. Neighbouring windows that agree on it form a run of up to
@@ -24,7 +25,8 @@ identifier. Neighbouring windows that agree on it form a run of up to
 
 Sorted buckets are read as a stream with a state of a few rows, so a string in a
 third of all documents needs no more memory than another one. Identifiers of
-runs and windows have 128 bits.
+windows have 128 bits; a run's bucket and its name come from the same 64-bit
+hashes of 20 bytes.
 
 Defined cases: a null text is empty; texts below ``LENGTH`` bytes stay whole;
 rows that share a doc_id are not smaller than one another and each is judged by

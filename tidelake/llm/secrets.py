@@ -4,9 +4,12 @@ Base matches stand on their own: assignments to a secret's name, access key
 ids, long hex strings. Weak parts are reported only together with what
 completes them: an identifier needs a secret near it, a secret-like string an
 identifier or an endpoint, an endpoint a secret or an identifier. Parts are
-intervals of a text; an interval join inside scopes (paragraphs) finds
-complements at most ``REACH`` code points apart. Both sides are put into cells
-of that length, so a join key never holds more parts than a cell has room for.
+intervals of a text, and the scope, a paragraph, is as far as they reach. A
+complement that does not overlap a part ends before it or starts after it, so
+the least end and the largest start of each kind in a scope tell whether there
+is one. Parts that overlap base parts are found by an interval join: both sides
+are put into cells of ``CELL`` code points, so a join key never holds more parts
+than a cell has room for.
 
 Spans are in code points, end exclusive, and cover the whole match. They come
 from the lengths of the pieces between matches, summed along each text.
@@ -26,7 +29,7 @@ from tidelake.session import materialize
 #: Kinds of spans in the order in which equal starts are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 BASE = KINDS[:3]
-REACH = 200
+CELL = 200
 #: Pattern, the group whose length counts, the least length, and what that group must hold.
 #: Letters outside classes match in either case where a pattern starts with (?i).
 PATTERNS = {
@@ -82,43 +85,40 @@ def find_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("row", "doc_id"), parts.drop("n")
 
 
-def linked_weak(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """Weak parts with a complement in their scope at most ``reach`` code points away: row, start, end, kind.
+def linked_weak(parts: DataFrame, cell: int = CELL) -> DataFrame:
+    """Weak parts with a complement in their scope: row, start, end, kind.
 
-    An interval join: a weak part meets the complements in the cells it reaches
-    into. Overlapping parts do not complete each other, and a weak part that
-    overlaps a base part is not reported again.
+    Overlapping parts do not complete each other, and a weak part that overlaps
+    a base part is not reported again. A scope is part of one text.
     """
-    place = lambda c: F.floor(c / reach)
-    weak = parts.filter(F.col("kind") >= len(BASE)).withColumn(
-        "cell", F.explode(F.sequence(place(F.greatest(F.col("start") - reach, F.lit(0))), place(F.col("end") + reach)))
-    ).alias("w")
-    other = parts.select(
-        "row", "scope", F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("kind").alias("o_kind"),
-        F.explode(F.sequence(place(F.col("start")), place(F.col("end") - 1))).alias("cell"),
-    ).alias("o")
-    same = (F.col("w.row") == F.col("o.row")) & (F.col("w.cell") == F.col("o.cell"))
+    scope = Window.partitionBy("row", "scope")
     completes = F.lit(False)
     for kind, needed in NEEDS.items():
-        completes = completes | ((F.col("kind") == _number(kind)) & F.col("o_kind").isin(*[_number(k) for k in needed]))
-    apart = F.greatest(F.col("o_start") - F.col("end"), F.col("start") - F.col("o_end"))
-    near = weak.join(other, same & (F.col("w.scope") == F.col("o.scope")) & completes & apart.between(0, reach), "left_semi")
-    near = near.select("row", "start", "end", "kind").distinct()
-    # the same cells again, now only those that the part itself covers
+        other = F.col("kind").isin(*[_number(k) for k in needed])
+        before = F.min(F.when(other, F.col("end"))).over(scope) <= F.col("start")
+        after = F.max(F.when(other, F.col("start"))).over(scope) >= F.col("end")
+        completes = completes | ((F.col("kind") == _number(kind)) & (F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))))
+    near = materialize(parts.withColumn("completed", completes).filter("completed").select("row", "start", "end", "kind").distinct(), "completed")
+
+    place = lambda c: F.floor(c / cell)
     covers = near.withColumn("cell", F.explode(F.sequence(place(F.col("start")), place(F.col("end") - 1)))).alias("w")
-    inside = (F.col("o_kind") < len(BASE)) & (apart < 0)
-    hidden = covers.join(other, same & inside, "left_semi").select("row", "start", "end", "kind").distinct()
+    base = parts.filter(F.col("kind") < len(BASE)).select(
+        "row", F.col("start").alias("o_start"), F.col("end").alias("o_end"),
+        F.explode(F.sequence(place(F.col("start")), place(F.col("end") - 1))).alias("cell"),
+    ).alias("o")
+    meets = (F.col("w.row") == F.col("o.row")) & (F.col("w.cell") == F.col("o.cell")) & (F.col("o_start") < F.col("end")) & (F.col("start") < F.col("o_end"))
+    hidden = covers.join(base, meets, "left_semi").select("row", "start", "end", "kind").distinct()
     return near.join(hidden, ["row", "start", "end", "kind"], "left_anti")
 
 
-def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def find_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id and ``spans`` (start, kind number, end; see ``KINDS``), sorted.
 
     Base spans always stay; weak ones only when completed.
     """
     rows, parts = find_parts(docs)
     parts = materialize(parts, "parts")
-    spans = parts.filter(F.col("kind") < len(BASE)).select("row", "start", "end", "kind").union(linked_weak(parts, reach))
+    spans = parts.filter(F.col("kind") < len(BASE)).select("row", "start", "end", "kind").union(linked_weak(parts))
     lists = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     return rows.join(lists, "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))

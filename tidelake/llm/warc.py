@@ -7,8 +7,9 @@ has no tag, Last-Modified must be equal. The resolved record has the payload of
 the response and its headers, updated with those a 304 answer may change.
 
 The as-of join forward-fills over the distinct (URL, time) points. These are
-merged before the shuffle and one URL's points are cut into buckets along time,
-so a URL that holds a third of all records does not land in one task.
+merged before the shuffle, and a URL with more points than the row budget of
+``ordered.py`` is cut into buckets along time. Below that budget a URL's points
+are one task.
 
 Defined cases: a revisit with a null URL or time, or without an earlier
 response, is ``no_response``; without any validator ``no_validator``; with a
