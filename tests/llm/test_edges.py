@@ -460,3 +460,37 @@ def test_more_than_256_languages_are_learned(spark):
     got = langid.predict(docs, model, "doc_id", "lang").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.6
     assert len({r["lang_pred"] for r in got}) > 256 * 0.6
+
+
+def test_quality_learns_from_the_least_text_of_an_id(spark):
+    rng = np.random.default_rng(6)
+    good = [(i, " ".join(f"word{rng.integers(90)}" for _ in range(60)) + ".") for i in range(60)]
+    bad = [(i, "!!! " * int(rng.integers(5, 60))) for i in range(60, 120)]
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id bigint, quality int")
+    once = spark.createDataFrame([*good, *bad], "doc_id bigint, text string")
+    more = once.unionByName(spark.createDataFrame([(i, "~~~ " + t) for i, t in [*good, *bad]], "doc_id bigint, text string"))
+    want = quality.train(once, labels, F.lit(True))
+    assert quality.train(more.repartition(7), labels, F.lit(True)) == want == quality.train(more.repartition(3, "text"), labels, F.lit(True))
+
+
+def test_many_separate_hits_make_as_many_runs(spark):
+    window = [f"b{i}" for i in range(10)]
+    text = " gap ".join([" ".join(window)] * 3000)
+    docs = spark.createDataFrame([(1, text), (2, " ".join(window[:5] * 4))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, " ".join(window))], "item_id bigint, text string")
+    rows = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench).collect()}
+    assert [tuple(r) for r in rows[1]["runs"][:2]] == [(0, 10), (11, 21)] and len(rows[1]["runs"]) == 3000
+    assert rows[2]["runs"] == [] and rows[1]["items"] == ["7"]
+
+
+def test_pipeline_stages_keep_a_column_with_a_dot_and_settle_ties(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40).withColumn("a.b", F.lit("dot"))
+    twice = docs.unionByName(docs.withColumn("source", F.lit("0 first")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, twice, sf)
+        assert out.columns == docs.columns, name
+        assert {r["a.b"] for r in out.collect()} <= {"dot"}
+    for n in (1, 5):
+        kept = corpus_pipeline.near_duplicates(spark, twice.repartition(n), sf).filter("doc_id IS NOT NULL").collect()
+        assert {r["source"] for r in kept} == {"0 first"}
+    assert corpus_pipeline.tokenize(spark, docs, sf).columns == ["doc_id", "n_tokens", "ids"]

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelake.llm.arrays import Words, row_groups, shingles, utf8
@@ -170,15 +170,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows, hits, windows = find_windows(docs, benchmark)
     hits = materialize(hits, "hits")
     none = F.array().cast("array<struct<first:bigint,stop:bigint>>")
-    spans = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("first", "stop"))).alias("spans"))
-
-    def merge(state, s):
-        last = F.try_element_at(state, F.lit(-1))
-        wider = F.array(F.struct(last["first"].alias("first"), F.greatest(last["stop"], s["stop"]).alias("stop")))
-        joins = (F.size(state) > 0) & (last["stop"] >= s["first"])
-        return F.when(joins, F.concat(F.slice(state, F.lit(1), F.size(state) - 1), wider)).otherwise(F.concat(state, F.array(s)))
-
-    runs = spans.select("row", F.aggregate("spans", none, merge).alias("runs"))
+    # a hit that begins after all hits before it have ended opens a run; the hits of a row are those of one text
+    along = Window.partitionBy("row").orderBy("first", "stop")
+    before = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opened = hits.select("row", "first", "stop").distinct().withColumn("opens", (before.isNull() | (before < F.col("first"))).cast("int"))
+    numbered = opened.withColumn("run", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = numbered.groupBy("row", "run").agg(F.min("first").alias("first"), F.max("stop").alias("stop"))
+    runs = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("runs"))
     items = (
         hits.select("row", "words").distinct().join(windows.filter("item_id IS NOT NULL"), "words")
         .groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))

@@ -7,7 +7,7 @@ the statistics, which come from numpy inside each task over whole texts.
 
 Defined cases: a null or empty text has zero statistics and gets a score like
 any other; a document labelled more than once counts once, with its smallest
-non-null label; with labels of one kind only every score is that label's share,
+non-null label; of rows that share an id the least text is learned from; with labels of one kind only every score is that label's share,
 and 0.5 without labels; rows are scored one by one, so repeated rows and an
 empty table need no care; other columns are ignored.
 """
@@ -228,8 +228,9 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int =
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
     # at most about max_rows ids, whatever the size of the tables
     picked = F.broadcast(known.filter(place < share))
-    texts = docs.select("doc_id", "text").join(picked, "doc_id")
-    rows = with_statistics(texts, "doc_id", "quality").dropDuplicates(["doc_id"]).collect()
+    # of rows that share an id the least text is learned from
+    texts = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = with_statistics(texts, "doc_id", "quality").collect()
     rows.sort(key=lambda r: r["doc_id"])
     x = np.array([[r[s] for s in STATISTICS] for r in rows], np.float64).reshape(len(rows), len(STATISTICS))
     return fit(x, np.array([float(r["quality"] > 0) for r in rows]))
