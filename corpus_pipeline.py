@@ -7,8 +7,8 @@ the text's digest, so null and repeated ids need no care.
 
 Defined cases: a document without letters, or whose language stays unlikely, is
 rejected; a document with a null id is never a copy of another; rows that share
-an id are one document, of which the smallest text stays; a null text is
-rejected by the first stage; extra columns are kept under their own names;
+an id are one document, of which the smallest text stays, and of equal texts the
+row that comes first as JSON; a null text is rejected by the first stage; extra columns are kept under their own names;
 empty tables give empty results.
 """
 
@@ -47,9 +47,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = similar_groups(docs)
     heads = groups.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(heads, "doc_id", "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = kept.groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("_least")).select("_least.*")
-    return once.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # rows that share an id and a text are told apart by the rest of the row, as text
+    order = F.struct(F.coalesce("text", F.lit("")), F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])))
+    once = kept.groupBy("doc_id").agg(F.min_by(F.struct(*columns), order).alias("_least"))
+    least = F.col("_least")
+    return once.select(*[least[c].alias(c) for c in docs.columns]).union(docs.filter("doc_id IS NULL"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +60,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     keyed = docs.withColumn(_KEY, text_key(F.col("text")))
     found = contamination(keyed.select(F.col(_KEY).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = found.filter(F.size("runs") > 0).select(F.col("doc_id").alias(_KEY)).distinct()
-    return keyed.join(hit, _KEY, "left_anti").select(*docs.columns)
+    return keyed.join(hit, _KEY, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
