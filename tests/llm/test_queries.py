@@ -57,12 +57,13 @@ def test_op3(spark, sf):
 
 
 def test_op4(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest tables have some twenty labels that are held out
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = queries.QUERIES["op4_quality_rules"](spark, sf).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in rows)
     asked = [r for r in rows if r["held_out"] and r["doc_id"] in truth]
-    assert asked and np.mean([r["predicted"] == truth[r["doc_id"]] for r in asked]) >= 0.9
+    assert len(asked) > 50 and np.mean([r["predicted"] == truth[r["doc_id"]] for r in asked]) >= 0.9
 
 
 def test_op6(spark, sf, texts):
