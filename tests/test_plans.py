@@ -259,6 +259,27 @@ def test_a_distinct_by_bucket_shuffles_rows_once_and_makes_a_file_a_bucket(spark
     assert len(table.inputFiles()) <= 7
 
 
+def test_buckets_above_a_task_are_made_distinct_before_and_only_streamed(spark):
+    types = {"id": "bigint", "day": "date"}
+    day = F.when(F.col("id") % 3 != 0, F.lit("2020-01-01")).when(F.col("id") % 9 == 0, "n/a").when(F.col("id") % 3 == 0, "2020-01-02")
+    rows = spark.range(3000).select((F.col("id") % 900).alias("id"), day.alias("day"))
+    hot = rows.unionByName(spark.range(4000).select(F.lit(5).cast("bigint").alias("id"), F.lit("2020-01-03").alias("day")))
+    odd = rows.unionByName(spark.createDataFrame([(None, None), (None, None), (7, None)], "id bigint, day string"))
+    for landing, buckets in ((rows, 6), (hot, 7), (odd, 7)):
+        out = G.distinct_by_bucket(landing, types, "day", budget=500, rows_per_task=100)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan[: plan.lower().index("exchange shufflepartitionidpassthrough")]
+        want = {tuple(r) for r in landing.select("id", F.col("day").try_cast("date")).collect()}
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(want) and set(got) == want
+        # the same rows lie in the same buckets as where each is small enough for its task
+        parts = lambda df: [sorted(map(tuple, p), key=repr) for p in df.rdd.glom().collect()]
+        assert len(parts(out)) == buckets and parts(out) == parts(G.distinct_by_bucket(landing, types, "day", budget=500))
+    table = G.sequential_distinct(hot, types, *gold_name(spark, "t_streamed"), "day", budget=500, rows_per_task=100)
+    assert len(table.inputFiles()) <= 7 and table.count() == table.distinct().count() == hot.select("id", F.col("day").try_cast("date")).distinct().count()
+    assert G.distinct_by_bucket(rows.limit(0), types, "day", rows_per_task=100).isEmpty()
+
+
 def test_sequential_distinct_of_nothing_empties_the_table(spark, landing):
     name, path = gold_name(spark, "t_emptied")
     G.rebuild(landing, TYPES, name, path)

@@ -19,6 +19,8 @@ from tidelake.session import materialize
 from tidelake.sources.sinks import create_gold, insert_append, insert_overwrite, table_location
 
 ROWS_PER_GROUP = 100_000_000
+#: Landing rows that one task makes distinct.
+ROWS_PER_TASK = 500_000
 #: Cells of a day, and the day number of rows without one.
 SLOTS, _NO_DAY = 4096, -10_000_000
 
@@ -42,25 +44,36 @@ def sequential_distinct(
     split_column: str,
     landed: bool = True,
     budget: int = ROWS_PER_GROUP,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """As ``rebuild``, but gold lies in buckets of about ``budget`` landing rows, in the order of their days, one file each.
 
     A row's cell is its parsed day and a hash of the row, so equal rows share
     one; rows without a readable day come first. Cells are counted once, packed
     into buckets along their order, and rows go to their bucket in a single
-    shuffle, after which the distinct of a bucket needs no other. A day above
-    the budget spans several buckets. A cell that is above it by itself holds
-    copies; its rows are made distinct before, where copies merge ahead of the
-    shuffle. The table changes in one insert.
+    shuffle, after which the distinct of a bucket needs no other. Buckets of
+    more than ``rows_per_task`` rows would not fit a task's memory: their rows
+    are made distinct before, by cells in tasks of about that many rows, and
+    the bucket's task only writes them as they come. A day above the budget
+    spans several buckets. A cell that is above it by itself holds copies; its
+    rows are made distinct before, where copies merge ahead of the shuffle. The
+    table changes in one insert.
     """
     spark = landing.sparkSession
-    distinct = distinct_by_bucket(landing, types, split_column, landed, budget)
+    distinct = distinct_by_bucket(landing, types, split_column, landed, budget, rows_per_task)
     create_gold(spark, table, gold_schema(types), path)
     insert_overwrite(distinct, table)
     return spark.table(table)
 
 
-def distinct_by_bucket(landing: DataFrame, types: Mapping[str, str], split_column: str, landed: bool = True, budget: int = ROWS_PER_GROUP) -> DataFrame:
+def distinct_by_bucket(
+    landing: DataFrame,
+    types: Mapping[str, str],
+    split_column: str,
+    landed: bool = True,
+    budget: int = ROWS_PER_GROUP,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
     """The typed, distinct rows of landing, a partition per bucket of days (see ``sequential_distinct``)."""
     day = landed_day(split_column) if landed else F.col(split_column).cast("date")
     typed = landing.withColumn("_day", day).select("_day", *[F.col(c).try_cast(t).alias(c) for c, t in types.items()])
@@ -74,15 +87,20 @@ def distinct_by_bucket(landing: DataFrame, types: Mapping[str, str], split_colum
         placed = placed.join(hot, "_cell", "left_anti").unionByName(copies)
         counts = materialize(placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_cnt")), "cells")
     upto = running_total(counts, "_cell", {"_upto": "_cnt"})
-    packed = materialize(upto.select("_cell", F.floor((F.col("_upto") - 1) / budget).cast("bigint").alias("_bucket")), "buckets")
+    packed = materialize(upto.select("_cell", "_upto", F.floor((F.col("_upto") - 1) / budget).cast("bigint").alias("_bucket")), "buckets")
     # per day, which is all a row needs to look up: the first slot of each of its buckets
     starts = packed.groupBy(F.floor(F.col("_cell") / SLOTS).alias("_unit"), "_bucket").agg(F.min("_cell").alias("_from"))
     days = materialize(starts.groupBy("_unit").agg(F.array_sort(F.collect_list("_from")).alias("_from"), F.min("_bucket").alias("_first")), "days")
-    buckets = 1 + (packed.agg(F.max("_bucket")).first()[0] or 0)
+    last, total = packed.agg(F.max("_bucket"), F.max("_upto")).first()
+    buckets = 1 + (last or 0)
+    large = min(budget, total or 0) > rows_per_task
+    if large:
+        placed = placed.repartition(-(-total // rows_per_task), "_cell").dropDuplicates()
     found = placed.withColumn("_unit", F.floor(F.col("_cell") / SLOTS)).join(days, "_unit")
     bucket = (F.col("_first") + cuts_below(F.col("_from"), F.col("_cell"), inclusive=True) - 1).cast("int")
     rows = found.select(bucket.alias("_bucket"), *[F.col(f"`{c}`") for c in types])
-    return rows.repartitionById(buckets, "_bucket").dropDuplicates().drop("_bucket")
+    dealt = rows.repartitionById(buckets, "_bucket")
+    return (dealt if large else dealt.dropDuplicates()).drop("_bucket")
 
 
 def new_since(
