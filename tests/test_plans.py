@@ -15,7 +15,7 @@ from tidelake.operators import ordered as O
 from tidelake.operators import profile as R
 from tidelake.operators import reports as T
 from tidelake.operators import schema as S
-from tidelake.operators.trigrams import catalogue_search_indexed
+from tidelake.operators.trigrams import catalogue_search_indexed, name_index, runs_of
 from tidelake.plans import gold as G
 from tidelake.plans import incremental as I
 from tidelake.plans import slicing as L
@@ -638,6 +638,22 @@ def test_search_by_letter_triples_equals_the_scan(spark):
     assert catalogue_search_indexed(catalogue.limit(0), asked).isEmpty()
 
 
+def test_search_by_numbers_makes_no_list_of_candidates(spark):
+    names = spark.range(2000).select(F.concat(F.lit("Own"), F.col("id") % 3).alias("db"), F.concat(F.lit("bolt_"), F.col("id") + 10_000).alias("table_name"))
+    catalogue = names.union(spark.createDataFrame([("Own1", "ababa"), ("x", "twice"), ("y", "twice"), ("twice", "z"), ("q", None), (None, "11_999")], "db string, table_name string"))
+    terms = [*map(str, range(9_990, 12_000, 3)), "aba", "twice", "wice", "own1", "wn", "bolt_11999", "bolt_1", "_11999", "11999", "1", "", "nowhere", "x"]
+    want = sorted(map(tuple, C.catalogue_search(catalogue, terms).collect()), key=repr)
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    index = name_index(catalogue)
+    assert index.count() == 2000 + 4 + 7  # tables, owners: each name once
+    for i in (None, index):
+        assert sorted(map(tuple, catalogue_search_indexed(catalogue, asked, i).collect()), key=repr) == want
+    # a name has a run per place and length at most, however many terms share letters with it
+    numbers = asked.filter("term RLIKE '^[0-9]{4,5}$'")
+    runs = runs_of(index.filter("kind = 'table'"), numbers)
+    assert runs.count() <= 2000 * 3 and runs.filter("gram = '11997'").count() == 1
+
+
 def test_spread_of_few_equals_spread_of(spark):
     rng = random.Random(2)
     rows = [(rng.choice("ab"), float(rng.randrange(50))) for _ in range(301)] + [("c", 4.0), ("d", None), (None, 1.0), (None, 2.0)]
