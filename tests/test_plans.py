@@ -280,6 +280,33 @@ def test_buckets_above_a_task_are_made_distinct_before_and_only_streamed(spark):
     assert G.distinct_by_bucket(rows.limit(0), types, "day", rows_per_task=100).isEmpty()
 
 
+def test_cells_follow_days_and_buckets_not_rows(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(G, "materialize", lambda df, name="stage", keep=G.materialize: seen.setdefault(name, []).append(out := keep(df, name)) or out)
+    types = {"id": "bigint", "day": "date"}
+    day = F.when(F.col("id") % 10 == 0, "n/a").when(F.col("id") % 10 == 1, "2020-01-01").otherwise(F.date_add(F.lit(D(2020, 2, 1)), (F.col("id") % 97).cast("int")).cast("string"))
+    rows = spark.range(20_000).select("id", day.alias("day"))
+    hot = rows.unionByName(spark.range(9000).select(F.lit(5).cast("bigint").alias("id"), F.lit("2020-01-01").alias("day")))
+    for landing, copies in ((rows, 0), (hot, 1)):
+        seen.clear()
+        out = G.distinct_by_bucket(landing, types, "day", budget=5000)
+        # 97 days, and two that are cut: runs of slots of 5000 / 16 rows or somewhat fewer
+        assert [c.count() <= 99 + 2 * 4 * G.CELLS_PER_BUCKET for c in seen["cells"]] == [True] * (1 + copies)
+        assert [c.agg(F.sum("_cnt")).first()[0] for c in seen["cells"]] == [landing.count(), 20_001][: 1 + copies]
+        parts = [[tuple(r) for r in p] for p in out.rdd.glom().collect()]
+        assert len(parts) == 4 + copies and max(len(p) for p in parts) <= 5000 * (1 + 2 / G.CELLS_PER_BUCKET)
+        found = [r for p in parts for r in p]
+        want = {tuple(r) for r in landing.select("id", F.col("day").try_cast("date")).collect()}
+        assert len(found) == len(want) and set(found) == want
+        spans = [sorted((d or D(1, 1, 1)) for _, d in p) for p in parts if p]
+        assert all(a[-1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_tasks_of_a_distinct_stay_few_enough_to_shuffle_rows_as_they_come():
+    assert [G.distinct_tasks(n, 500_000) for n in (1, 500_000, 500_001, 40_000_000, 100_000_000, 100_000_001, 242_000_000, 400_000_000)] == [1, 1, 2, 80, 200, 200, 200, 200]
+    assert G.distinct_tasks(4_000_000_000, 500_000) == 2000
+
+
 def test_sequential_distinct_of_nothing_empties_the_table(spark, landing):
     name, path = gold_name(spark, "t_emptied")
     G.rebuild(landing, TYPES, name, path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,12 @@ from tidelake.sources.sinks import create_gold, insert_append, insert_overwrite,
 ROWS_PER_GROUP = 100_000_000
 #: Landing rows that one task makes distinct.
 ROWS_PER_TASK = 500_000
-#: Cells of a day, and the day number of rows without one.
+#: Tasks up to which a shuffle writes rows as they come; for more, it holds those of a whole file split and sorts them.
+UNSORTED_TASKS = 200
+#: Slots of a day, and the day number of rows without one.
 SLOTS, _NO_DAY = 4096, -10_000_000
+#: Cells that a bucket is packed from, at least, where slots allow.
+CELLS_PER_BUCKET = 16
 
 
 def gold_schema(types: Mapping[str, str]) -> T.StructType:
@@ -48,15 +52,17 @@ def sequential_distinct(
 ) -> DataFrame:
     """As ``rebuild``, but gold lies in buckets of about ``budget`` landing rows, in the order of their days, one file each.
 
-    A row's cell is its parsed day and a hash of the row, so equal rows share
-    one; rows without a readable day come first. Cells are counted once, packed
-    into buckets along their order, and rows go to their bucket in a single
-    shuffle, after which the distinct of a bucket needs no other. Buckets of
-    more than ``rows_per_task`` rows would not fit a task's memory: their rows
-    are made distinct before, by cells in tasks of about that many rows, and
-    the bucket's task only writes them as they come. A day above the budget
-    spans several buckets. A cell that is above it by itself holds copies; its
-    rows are made distinct before, where copies merge ahead of the shuffle. The
+    A row's slot is its parsed day and a hash of the row, so equal rows share
+    one; rows without a readable day come first. Cells are whole days, or runs
+    of slots of the days that are more than a sixteenth of a bucket, so their
+    number follows days and buckets, not rows. They are counted, packed into
+    buckets along their order, and rows go to their bucket in a single shuffle,
+    after which the distinct of a bucket needs no other. Buckets of more than
+    ``rows_per_task`` rows would not fit a task's memory: their rows are made
+    distinct before, by slots in tasks of about that many rows (see
+    ``distinct_tasks``), and the bucket's task only writes them as they come. A day above the budget spans
+    several buckets. A cell that is above it by itself holds copies; its rows
+    are made distinct before, where copies merge ahead of the shuffle. The
     table changes in one insert.
     """
     spark = landing.sparkSession
@@ -80,29 +86,58 @@ def distinct_by_bucket(
     slot = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in types]), F.lit(SLOTS))
     cell = (F.coalesce(F.unix_date("_day").cast("bigint"), F.lit(_NO_DAY)) * SLOTS + slot).alias("_cell")
     placed = typed.select(cell, *[F.col(f"`{c}`") for c in types])
-    counts = materialize(placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_cnt")), "cells")
-    hot = materialize(counts.filter(F.col("_cnt") > budget).select("_cell"), "hot-cells")
+    by_day = materialize(placed.groupBy(_unit()).agg(F.count(F.lit(1)).alias("_cnt")), "day-counts")
+    counts = _cell_counts(placed, by_day, budget)
+    slots = F.explode(F.sequence("_cell", F.col("_cell") + F.col("_step") - 1))
+    hot = materialize(counts.filter(F.col("_cnt") > budget).select(slots.alias("_cell")), "hot-cells")
     if not hot.isEmpty():
         copies = placed.join(hot, "_cell", "left_semi").dropDuplicates()
         placed = placed.join(hot, "_cell", "left_anti").unionByName(copies)
-        counts = materialize(placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_cnt")), "cells")
+        counts = _cell_counts(placed, by_day, budget)
     upto = running_total(counts, "_cell", {"_upto": "_cnt"})
     packed = materialize(upto.select("_cell", "_upto", F.floor((F.col("_upto") - 1) / budget).cast("bigint").alias("_bucket")), "buckets")
     # per day, which is all a row needs to look up: the first slot of each of its buckets
-    starts = packed.groupBy(F.floor(F.col("_cell") / SLOTS).alias("_unit"), "_bucket").agg(F.min("_cell").alias("_from"))
+    starts = packed.groupBy(_unit(), "_bucket").agg(F.min("_cell").alias("_from"))
     days = materialize(starts.groupBy("_unit").agg(F.array_sort(F.collect_list("_from")).alias("_from"), F.min("_bucket").alias("_first")), "days")
     last, total = packed.agg(F.max("_bucket"), F.max("_upto")).first()
     buckets = 1 + (last or 0)
     large = min(budget, total or 0) > rows_per_task
     if large:
-        placed = placed.repartition(-(-total // rows_per_task), "_cell").dropDuplicates()
-    found = placed.withColumn("_unit", F.floor(F.col("_cell") / SLOTS)).join(days, "_unit")
+        placed = placed.repartition(distinct_tasks(total, rows_per_task), "_cell").dropDuplicates()
+    found = placed.withColumn("_unit", _unit()).join(days, "_unit")
     bucket = (F.col("_first") + cuts_below(F.col("_from"), F.col("_cell"), inclusive=True) - 1).cast("int")
     rows = found.select(bucket.alias("_bucket"), *[F.col(f"`{c}`") for c in types])
     dealt = rows.repartitionById(buckets, "_bucket")
     return (dealt if large else dealt.dropDuplicates()).drop("_bucket")
 
 
+def distinct_tasks(rows: int, rows_per_task: int = ROWS_PER_TASK) -> int:
+    """How many tasks make ``rows`` distinct: each takes up to four times its rows before they are more than ``UNSORTED_TASKS``."""
+    tasks = -(-rows // rows_per_task)
+    return tasks if tasks <= UNSORTED_TASKS else max(UNSORTED_TASKS, -(-tasks // 4))
+
+
+def _unit() -> Column:
+    """The day number of a row or cell."""
+    return F.floor(F.col("_cell") / SLOTS).alias("_unit")
+
+
+def _cell_counts(placed: DataFrame, by_day: DataFrame, budget: int) -> DataFrame:
+    """Rows of each cell, named by its first slot, and how many slots it has.
+
+    Days of up to a cell's share of ``budget`` are one cell and have been
+    counted; only the rows of larger days are read again. A day is cut into as
+    many equal runs of slots as its rows in ``by_day`` ask for.
+    """
+    runs = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("_cnt") * CELLS_PER_BUCKET / F.lit(float(budget)), F.lit(1.0)))))
+    days = by_day.withColumn("_step", (SLOTS / F.least(runs, F.lit(float(SLOTS)))).cast("bigint"))
+    whole = days.filter(F.col("_step") == SLOTS).select((F.col("_unit") * SLOTS).alias("_cell"), "_step", "_cnt")
+    cut = days.filter(F.col("_step") < SLOTS).select("_unit", "_step")
+    found = placed.select("_cell", _unit()).join(cut, "_unit")
+    first = F.col("_cell") - F.pmod("_cell", "_step")
+    return materialize(whole.unionByName(found.groupBy(first.alias("_cell"), "_step").agg(F.count(F.lit(1)).alias("_cnt"))), "cells")
+
+
 def new_since(
     landing: DataFrame, gold: DataFrame, landing_key: str, gold_key: str, landed: bool = True, timed: bool = False
 ) -> DataFrame:
