@@ -291,10 +291,10 @@ def test_cells_follow_days_and_buckets_not_rows(spark, monkeypatch):
         seen.clear()
         out = G.distinct_by_bucket(landing, types, "day", budget=5000)
         # 97 days, and two that are cut: runs of slots of 5000 / 16 rows or somewhat fewer
-        assert [c.count() <= 99 + 2 * 4 * G.CELLS_PER_BUCKET for c in seen["cells"]] == [True] * (1 + copies)
+        assert [c.count() <= 99 + 2 * 4 * 16 for c in seen["cells"]] == [True] * (1 + copies)
         assert [c.agg(F.sum("_cnt")).first()[0] for c in seen["cells"]] == [landing.count(), 20_001][: 1 + copies]
         parts = [[tuple(r) for r in p] for p in out.rdd.glom().collect()]
-        assert len(parts) == 4 + copies and max(len(p) for p in parts) <= 5000 * (1 + 2 / G.CELLS_PER_BUCKET)
+        assert len(parts) == 4 + copies and max(len(p) for p in parts) <= 5000 * (1 + 2 / 16)
         found = [r for p in parts for r in p]
         want = {tuple(r) for r in landing.select("id", F.col("day").try_cast("date")).collect()}
         assert len(found) == len(want) and set(found) == want
